@@ -50,8 +50,8 @@ class LineFormat:
         parts = F.split(F.regexp_replace(value, F.lit(self.pattern), F.lit(joined)), _SEP)
         return F.when(F.size(parts) == self.groups, parts)
 
-    def fields(self, groups: Column) -> Column:
-        built = self.build([groups[i] for i in range(self.groups)])
+    def fields_of(self, groups: str) -> Column:
+        built = self.build([F.get(groups, i) for i in range(self.groups)])
         return F.struct(*[built[c].alias(c) for c in ("timestamp", "level", "source", "message")])
 
 
