@@ -1,0 +1,85 @@
+"""Whole runs: files or events in, ranked and summarised results out."""
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+from eventsift.operators import report
+from eventsift.operators.parse import ParseResult, parse_log_file
+from eventsift.plans.detector import AnomalyDetector
+from eventsift.plans.features import FeatureModel, fit_features
+from eventsift.plans.model_store import load_features, save_features
+from eventsift.schema import DEFAULT_CONTAMINATION
+from eventsift.sources.guard import enforce_row_limit
+from eventsift.storage import materialise
+
+
+@dataclass
+class Analysis:
+    """Result of a run: the scored events (full messages) and the fitted models."""
+
+    results: DataFrame
+    features: FeatureModel
+    detector: AnomalyDetector
+
+    def summary(self) -> DataFrame:
+        return report.run_summary(self.results)
+
+    def ranked(self, max_len: int = 200) -> DataFrame:
+        return report.rank_results(report.with_short_messages(self.results, max_len))
+
+    def top(self, n: int = 25) -> DataFrame:
+        return report.with_short_messages(report.top_anomalies(self.results, n))
+
+    def save(self, path: str) -> None:
+        """Both models, so that raw events can be scored later."""
+        save_models(self.features, self.detector, path)
+
+
+class NoEventsError(ValueError):
+    """The input holds no log line at all."""
+
+
+def save_models(features: FeatureModel, detector: AnomalyDetector, path: str) -> None:
+    save_features(features, path)
+    detector.save(path)
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[FeatureModel, AnomalyDetector]:
+    return load_features(path, spark), AnomalyDetector.load(path, spark=spark)
+
+
+def analyze_events(
+    events: DataFrame,
+    contamination: float = DEFAULT_CONTAMINATION,
+    detector: AnomalyDetector | None = None,
+    **feature_options,
+) -> Analysis:
+    """Features, forest and scores of an event table (stored, with unique ``event_id``)."""
+    if events.isEmpty():
+        raise NoEventsError("no log lines were found in the input")
+    unscaled, model = fit_features(events, **feature_options)
+    detector = detector or AnomalyDetector(contamination)
+    matrix = model.scaled(unscaled)
+    scored = detector.fit_score(matrix, model.columns)
+    return Analysis(scored.drop(*model.columns), model, detector)
+
+
+def analyze(
+    spark: SparkSession,
+    paths: str | list[str],
+    contamination: float = DEFAULT_CONTAMINATION,
+    max_rows: int | None = None,
+    feature_options: dict | None = None,
+    **parse_options,
+) -> Analysis:
+    """Parse files, then ``analyze_events``; the parsed table is stored once for all passes."""
+    parsed: ParseResult = parse_log_file(spark, paths, **parse_options)
+    events = materialise(enforce_row_limit(parsed.events, max_rows), "events")
+    return analyze_events(events, contamination, **(feature_options or {}))
+
+
+def score_events(events: DataFrame, features: FeatureModel, detector: AnomalyDetector) -> DataFrame:
+    """New events scored with saved models: nothing is refitted, scores use the fitted bounds."""
+    scored = detector.score(features.transform(events), bounds="fitted")
+    return scored.drop(*features.columns)
