@@ -30,19 +30,25 @@ def read_lines(
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(paths).select(
+    raw = with_file_fields(reader.text(paths))
+    if max_bytes is not None:
+        raw = raw.filter(F.col("file_size") <= max_bytes)
+    return to_lines(raw).select(F.monotonically_increasing_id().alias("event_id"), "value", "file", "block_start")
+
+
+def with_file_fields(raw: DataFrame) -> DataFrame:
+    """Text rows with the file they come from; works on batch and streaming reads."""
+    return raw.select(
         F.make_valid_utf8("value").alias("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_size").alias("file_size"),
     )
-    if max_bytes is not None:
-        raw = raw.filter(F.col("_size") <= max_bytes)
+
+
+def to_lines(raw: DataFrame) -> DataFrame:
+    """Split at the line ends the reader leaves in, and drop blank lines."""
     pieces = F.when(F.col("value").rlike(EXTRA_LINE_ENDS), F.split("value", EXTRA_LINE_ENDS)).otherwise(
         F.array("value")
     )
-    return (
-        raw.select(F.explode(pieces).alias("value"), "file", "block_start")
-        .filter(not_blank(F.col("value")))
-        .select(F.monotonically_increasing_id().alias("event_id"), "value", "file", "block_start")
-    )
+    return raw.select(F.explode(pieces).alias("value"), "file", "block_start").filter(not_blank(F.col("value")))
