@@ -28,7 +28,7 @@ from eventsift.operators.report import (  # noqa: E402
 from eventsift.operators.lof import local_outlier_factor  # noqa: E402
 from eventsift.plans.detector import AnomalyDetector, run_detection  # noqa: E402
 from eventsift.plans.features import FeatureModel, build_feature_matrix  # noqa: E402
-from eventsift.plans.pipeline import analyze, analyze_events  # noqa: E402
+from eventsift.plans.analysis import analyze, analyze_events  # noqa: E402
 from eventsift.sources.guard import enforce_row_limit, validate_input  # noqa: E402
 
 __all__ = [

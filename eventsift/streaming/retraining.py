@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsift.plans.pipeline import Analysis, analyze_events, load_models
+from eventsift.plans.analysis import Analysis, analyze_events, load_models
 from eventsift.schema import DEFAULT_CONTAMINATION
 from eventsift.storage import materialise
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from eventsift.operators.parse import parse_lines
 from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import FeatureModel
-from eventsift.plans.pipeline import score_events
+from eventsift.plans.analysis import score_events
 from eventsift.schema import ROLLING_WINDOW_SECONDS
 from eventsift.sources.text import to_lines, with_file_fields
 from eventsift.storage import materialise

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventsift import analyze_events
 from eventsift.operators.behaviour import source_windows
-from eventsift.plans.pipeline import load_models, score_events
+from eventsift.plans.analysis import load_models, score_events
 from eventsift.streaming.retraining import load_latest, retrain
 from eventsift.streaming.scoring import CarriedEvents, StreamScorer, parse_batch, read_line_stream, sliding_counts
 
