@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from eventsift.storage import materialise
 
+_MIN_TASK_ROWS = 10_000
+
 
 def sorted_ranges(df: DataFrame, order: list[str], rows: int | None, rows_per_task: int) -> DataFrame:
     """``df`` with its range number ``_pid`` in the given order, stored once.
@@ -20,7 +22,7 @@ def sorted_ranges(df: DataFrame, order: list[str], rows: int | None, rows_per_ta
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if rows is not None:
-        parts = max(1, min(parts, rows), rows // rows_per_task + 1)
+        parts = max(1, min(parts, rows), rows // max(rows_per_task, _MIN_TASK_ROWS) + 1)
     ranged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
     return materialise(ranged, "ranges")
 

@@ -116,19 +116,23 @@ def write_results(
     if partition_by_date:
         out = out.withColumn("date", F.to_date("timestamp"))
         columns.append("date")
+    if fmt == "csv":
+        out = _csv_times(out)
     writer = out.select(*columns).write.mode(mode)
     if partition_by_date:
         writer = writer.partitionBy("date")
-    if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
-    else:
-        writer.parquet(path)
+    writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.parquet(path)
+
+
+def _csv_times(df: DataFrame) -> DataFrame:
+    # The CSV writer alone would cut microseconds.
+    return df.withColumn("timestamp", F.col("timestamp").cast("string"))
 
 
-def write_events(events: DataFrame, path: str) -> None:
+def write_events(events: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The four event fields as CSV, for use as an input again."""
-    out = events.select("timestamp", "level", "source", "message")
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    out = _csv_times(events.select("timestamp", "level", "source", "message"))
+    out.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def detector_agreement(left: DataFrame, right: DataFrame, id_col: str = "event_id") -> DataFrame:

@@ -192,9 +192,7 @@ def log_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.filter("level = 'ERROR'").select(
         F.concat(_second("timestamp"), F.lit(" ERROR "), "source", F.lit(": "), "message").alias("value")
     ).write.text(path)
-    events.filter("level <> 'ERROR'").select(*EVENT_FIELDS).write.mode("append").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    report.write_events(events.filter("level <> 'ERROR'"), path, mode="append")
     return parse_log_file(spark, path).events.select(*EVENT_FIELDS, "fmt")
 
 
@@ -469,7 +467,7 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed 60 s windows of a stream over ``events``, every 10 s."""
     out = _fresh_path(spark, "stream")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = stream.select(F.col("ts").alias("timestamp"), _source().alias("source"))
     query = (
         sliding_counts(events, delay="10 minutes")
