@@ -20,6 +20,9 @@ NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, n_sample
 
 _KEY_BITS = 60
 
+# Fixed value: a feature with a smaller range inside a node counts as constant there.
+_SAME = 1e-7
+
 
 def average_path(n: float) -> float:
     """Mean depth of an unsuccessful search among ``n`` points."""
@@ -81,7 +84,7 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         node, depth, rows = todo.pop()
         part = x[rows]
         low, high = part.min(axis=0), part.max(axis=0)
-        open_features = np.flatnonzero(high > low)
+        open_features = np.flatnonzero(high > low + _SAME)
         if depth >= limit or len(rows) <= 1 or len(open_features) == 0:
             nodes.append((node, -1, 0.0, len(rows), depth))
             continue

@@ -179,10 +179,7 @@ def component_count(n_terms: int, n_docs: int, wanted: int = TEXT_COMPONENTS) ->
 def fit_components(
     events: DataFrame, vocabulary: Vocabulary, wanted: int = TEXT_COMPONENTS, message: str = "message"
 ) -> Components:
-    """Truncated SVD without centring, from the Gram matrix (at most 500 x 500 on the driver).
-
-    The sign of a component is free; its largest loading is made positive.
-    """
+    """Truncated SVD without centring, from the Gram matrix (at most 500 x 500 on the driver)."""
     size = len(vocabulary.terms)
     k = component_count(size, vocabulary.n_docs, wanted)
     if size == 0:
@@ -192,10 +189,34 @@ def fit_components(
     gram[entries["i"], entries["j"]] = entries["value"]
     gram = np.triu(gram) + np.triu(gram, 1).T
     values, vectors = np.linalg.eigh(gram)
-    top = np.argsort(values)[::-1][:k]
-    loadings = vectors[:, top]
-    peak = loadings[np.abs(loadings).argmax(axis=0), np.arange(k)]
-    return Components(loadings * np.where(peak < 0, -1.0, 1.0), np.sqrt(np.clip(values[top], 0, None)))
+    values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+    loadings = np.zeros((size, k))
+    start = 0
+    while start < k and values[start] > 1e-12 * values[0]:
+        end = start + 1
+        while end < size and values[end - 1] - values[end] <= 1e-9 * values[0]:
+            end += 1
+        taken = min(end, k) - start
+        loadings[:, start : start + taken] = _fixed_basis(vectors[:, start:end], taken)
+        start = end
+    return Components(loadings, np.sqrt(values[:k]))
+
+
+def _fixed_basis(space: np.ndarray, n: int) -> np.ndarray:
+    """``n`` orthonormal vectors of a space that do not depend on the basis it is given in.
+
+    Signs and, among equal singular values, directions are free; the order in which tasks add
+    up must not decide them. Each vector is the projection of the term closest to the space
+    that is left, so its largest loading is positive.
+    """
+    rest, out = space.copy(), []
+    for _ in range(n):
+        norms = (rest * rest).sum(axis=1)
+        at = int(np.flatnonzero(norms >= norms.max() * (1 - 1e-6))[0])
+        direction = rest[at] / np.linalg.norm(rest[at])
+        out.append(space @ direction)
+        rest = rest - np.outer(rest @ direction, direction)
+    return np.column_stack(out)
 
 
 def projected(message: Column, vocabulary: Vocabulary, components: Components) -> Column:

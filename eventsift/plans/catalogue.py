@@ -295,7 +295,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gram = text.gram_matrix(docs, _fitted_vocabulary(docs), "text")
-    return gram.select("i", "j", F.round("value", 5).alias("value"))
+    return gram.select("i", "j", F.round("value", 4).alias("value"))
 
 
 def svd_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,7 +232,7 @@ SELECT event_id, CAST(coalesce(gap, (SELECT median(gap) FROM gaps)) AS DOUBLE) A
     "vocabulary": f"WITH {_TERMS} SELECT term, term_idx, corpus_freq, doc_freq FROM vocabulary",
     "tfidf_weights": f"WITH {_WEIGHTS} SELECT doc_id, term, tf, round(weight, 7) AS weight FROM weights",
     "gram_matrix": f"""WITH {_WEIGHTS}
-SELECT a.term_idx AS i, b.term_idx AS j, round(sum(a.weight * b.weight), 5) AS value
+SELECT a.term_idx AS i, b.term_idx AS j, round(sum(a.weight * b.weight), 4) AS value
 FROM weights a JOIN weights b ON a.doc_id = b.doc_id AND a.term_idx <= b.term_idx GROUP BY 1, 2""",
     "forest_sample": _SAMPLE,
     "forest_score_fixed": _FIXED,

@@ -26,7 +26,14 @@ def validate_input(spark: SparkSession, paths: str | list[str], max_bytes: int |
         .when(too_big, f"larger than {max_bytes} bytes")
     )
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select("path", "length", reason.alias("reason"))
+    # Scans skip empty files; the listing, which Spark keeps on the driver anyway, has them.
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "listed string")
+    key = {side: F.regexp_replace(side, r"^(\w+):/+", "$1:/") for side in ("listed", "path")}
+    sized = files.select(key["path"].alias("key"), F.col("length").alias("_length"))
+    found = listed.withColumn("key", key["listed"]).join(sized, "key", "left")
+    return found.select(
+        F.col("listed").alias("path"), F.coalesce("_length", F.lit(0)).alias("length")
+    ).withColumn("reason", reason)
 
 
 def enforce_row_limit(events: DataFrame, max_rows: int | None = None) -> DataFrame:

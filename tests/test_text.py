@@ -87,3 +87,13 @@ def test_no_terms(spark):
     comp = text.fit_components(events, vocab)
     assert vocab.terms == [] and comp.k == 1
     assert [r.p for r in events.select(text.projected(events.message, vocab, comp).alias("p")).collect()] == [[0.0]] * 2
+
+
+def test_equal_singular_values_have_fixed_directions():
+    rng = np.random.default_rng(0)
+    space = np.linalg.qr(rng.normal(size=(9, 3)))[0]
+    turned = space @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    a, b = text._fixed_basis(space, 3), text._fixed_basis(turned, 3)
+    np.testing.assert_allclose(a, b, atol=1e-12)
+    np.testing.assert_allclose(a.T @ a, np.eye(3), atol=1e-12)
+    np.testing.assert_allclose(text._fixed_basis(turned, 2), a[:, :2], atol=1e-12)
