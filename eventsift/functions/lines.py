@@ -34,7 +34,7 @@ APACHE_COMBINED = (
 
 @dataclass(frozen=True)
 class LineFormat:
-    """A named layout: ``build`` turns the captured groups into the four event fields."""
+    """A named layout: ``build`` turns the captured groups (two or more) into the four event fields."""
 
     name: str
     pattern: str
@@ -45,10 +45,9 @@ class LineFormat:
         return value.rlike(self.pattern)
 
     def captured(self, value: Column) -> Column:
-        """Array of the captured groups, or null when the line has another layout."""
+        """Array of the captured groups; the whole line as only element when it has another layout."""
         joined = _SEP.join(f"${i + 1}" for i in range(self.groups))
-        parts = F.split(F.regexp_replace(value, F.lit(self.pattern), F.lit(joined)), _SEP)
-        return F.when(F.size(parts) == self.groups, parts)
+        return F.split(F.regexp_replace(value, F.lit(self.pattern), F.lit(joined)), _SEP)
 
     def fields_of(self, groups: str) -> Column:
         built = self.build([F.get(groups, i) for i in range(self.groups)])

@@ -79,23 +79,24 @@ def sample_trees(
 def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     """Nodes of one tree, numbered like a binary heap: the children of i are 2i+1 and 2i+2."""
     nodes = []
-    todo = [(0, 0, np.arange(len(x)))]
+    todo = [(0, 0, x)]
     while todo:
-        node, depth, rows = todo.pop()
-        part = x[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_features = np.flatnonzero(high > low + _SAME)
-        if depth >= limit or len(rows) <= 1 or len(open_features) == 0:
-            nodes.append((node, -1, 0.0, len(rows), depth))
+        node, depth, part = todo.pop()
+        open_features = ()
+        if depth < limit and len(part) > 1:
+            low, high = part.min(axis=0), part.max(axis=0)
+            open_features = np.flatnonzero(high > low + _SAME)
+        if len(open_features) == 0:
+            nodes.append((node, -1, 0.0, len(part), depth))
             continue
-        feature = int(rng.choice(open_features))
+        feature = int(open_features[rng.integers(len(open_features))])
         cut = rng.uniform(low[feature], high[feature])
         if cut >= high[feature]:
             cut = low[feature]
         left = part[:, feature] <= cut
-        nodes.append((node, feature, float(cut), len(rows), depth))
-        todo.append((2 * node + 1, depth + 1, rows[left]))
-        todo.append((2 * node + 2, depth + 1, rows[~left]))
+        nodes.append((node, feature, float(cut), len(part), depth))
+        todo.append((2 * node + 1, depth + 1, part[left]))
+        todo.append((2 * node + 2, depth + 1, part[~left]))
     return nodes
 
 
@@ -110,7 +111,9 @@ def fit_nodes(samples: DataFrame, features: list[str], max_samples: int, seed: i
         out.insert(0, "tree_id", int(key[0]))
         return out
 
-    narrow = samples.select("tree_id", "sample_key", *features)
+    # A stated number of partitions is kept: few bytes here, but a lot of work per byte.
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    narrow = samples.select("tree_id", "sample_key", *features).repartition(2 * cores, "tree_id")
     return narrow.groupBy("tree_id").applyInPandas(fit_tree, NODE_SCHEMA)
 
 

@@ -102,12 +102,14 @@ def parse_lines(
     else:
         marked = _with_voted_format(lines, formats)
 
-    groups, fields = F.when(F.lit(False), F.array().cast("array<string>")), None
+    groups = expected = fields = None
     for f in formats:
-        groups = groups.when(F.col("fmt") == f.name, f.captured(F.col("value")))
-        branch = (F.col("fmt") == f.name, f.fields_of("_groups"))
-        fields = F.when(*branch) if fields is None else fields.when(*branch)
-    parsed = F.col("_groups").isNotNull()
+        here = F.col("fmt") == f.name
+        found, size, built = f.captured(F.col("value")), F.lit(f.groups), f.fields_of("_groups")
+        groups = F.when(here, found) if groups is None else groups.when(here, found)
+        expected = F.when(here, size) if expected is None else expected.when(here, size)
+        fields = F.when(here, built) if fields is None else fields.when(here, built)
+    parsed = F.size("_groups") == expected
     return (
         marked.withColumn("_groups", groups)
         .withColumn("_fields", F.when(parsed, fields))

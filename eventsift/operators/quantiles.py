@@ -24,7 +24,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], in_memory_ro
         return list(exact)
     spots = [p * (n - 1) for p in probs]
     ranks = sorted({r for s in spots for r in (math.floor(s), math.ceil(s))})
-    found = {r: _order_statistic(values, r, lo, hi, in_memory_rows) for r in ranks}
+    counted: dict[tuple[float, float], list] = {}
+    found = {r: _order_statistic(values, r, lo, hi, in_memory_rows, counted) for r in ranks}
     out = []
     for s in spots:
         low, high = found[math.floor(s)], found[math.ceil(s)]
@@ -32,32 +33,41 @@ def exact_quantiles(df: DataFrame, column: str, probs: list[float], in_memory_ro
     return out
 
 
-def _order_statistic(values: DataFrame, rank: int, lo: float, hi: float, in_memory_rows: int) -> float:
-    """The value with ``rank`` smaller-or-equal rows ahead of it (0-based)."""
-    inside, ahead = values, rank
+def _order_statistic(
+    values: DataFrame, rank: int, lo: float, hi: float, in_memory_rows: int, counted: dict[tuple[float, float], list]
+) -> float:
+    """The value with ``rank`` smaller-or-equal rows ahead of it (0-based).
+
+    ``counted`` keeps the bins of a range for the next rank.
+    """
+    ahead = rank
     while lo < hi:
-        width = (hi - lo) / _BINS
-        if width == 0 or math.isinf(width):
-            lo_half = lo / 2 + hi / 2
-            bin_of = F.when(F.col("v") <= lo_half, 0).otherwise(1)
-        else:
-            bin_of = F.least(F.floor((F.col("v") - lo) / width), F.lit(_BINS - 1))
-        counts = (
-            inside.groupBy(bin_of.alias("b"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()
-        )
-        for row in counts:
+        if (lo, hi) not in counted:
+            counted[lo, hi] = _count_bins(values, lo, hi)
+        for row in counted[lo, hi]:
             if ahead < row["n"]:
                 break
             ahead -= row["n"]
         lo, hi, left = row["lo"], row["hi"], row["n"]
-        inside = values.filter(F.col("v").between(lo, hi))
-        if left <= in_memory_rows:
-            at = ahead / (left - 1) if left > 1 else 0.0
-            exact = inside.agg(F.percentile("v", F.lit(at))).first()[0]
-            # Guard against the last bit of `at`: snap to a stored value.
-            near = inside.agg(F.min_by("v", F.abs(F.col("v") - exact))).first()[0]
-            return near
+        if left <= in_memory_rows and lo < hi:
+            inside = values.filter(F.col("v").between(lo, hi))
+            exact = inside.agg(F.percentile("v", F.lit(ahead / (left - 1)))).first()[0]
+            # The share is rounded: take the stored value next to the result.
+            return inside.agg(F.min_by("v", F.abs(F.col("v") - exact))).first()[0]
     return lo
+
+
+def _count_bins(values: DataFrame, lo: float, hi: float) -> list:
+    """Rows, smallest and largest value per non-empty bin between ``lo`` and ``hi``."""
+    width = (hi - lo) / _BINS
+    if width == 0 or math.isinf(width):
+        bin_of = (F.col("v") > lo / 2 + hi / 2).cast("int")
+    else:
+        bin_of = F.least(F.floor((F.col("v") - lo) / width), F.lit(_BINS - 1))
+    return (
+        values.filter(F.col("v").between(lo, hi))
+        .groupBy(bin_of.alias("b"))
+        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .orderBy("b")
+        .collect()
+    )

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 
 from eventsift.functions.fields import tokens
 from eventsift.schema import MAX_TERMS, TEXT_COMPONENTS
+from eventsift.storage import spread
+
+_MAX_PARTIALS = 20_000
 
 
 def default_stop_words() -> list[str]:
@@ -34,7 +37,7 @@ class Vocabulary:
 
 def message_tokens(events: DataFrame, id_col: str = "event_id", message: str = "message") -> DataFrame:
     """``id, term``: one row per token occurrence."""
-    return events.select(id_col, F.explode(tokens(F.col(message))).alias("term"))
+    return spread(events.select(id_col, message)).select(id_col, F.explode(tokens(F.col(message))).alias("term"))
 
 
 def term_frequencies(events: DataFrame, stop_words: list[str] | None = None, message: str = "message") -> DataFrame:
@@ -44,7 +47,7 @@ def term_frequencies(events: DataFrame, stop_words: list[str] | None = None, mes
     document frequency needs no distinct pass.
     """
     stop = default_stop_words() if stop_words is None else stop_words
-    ordered = events.select(F.array_sort(tokens(F.col(message))).alias("t"))
+    ordered = spread(events.select(message)).select(F.sort_array(tokens(F.col(message))).alias("t"))
     first = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("t", i - 1) != x)).alias("new")))
     uses = ordered.select(F.inline(first))
     if stop:
@@ -156,7 +159,12 @@ def gram_matrix(events: DataFrame, vocabulary: Vocabulary, message: str = "messa
             [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(gram[i, j])], ["i", "j", "value"]
         )
 
-    found = events.select(tokens(F.col(message)).alias("tokens"))
+    messages = spread(events.select(message))
+    # Every task sends up to 2 MB, so a very large table gets fewer, longer tasks.
+    limit = max(_MAX_PARTIALS, 4 * events.sparkSession.sparkContext.defaultParallelism)
+    if messages.rdd.getNumPartitions() > limit:
+        messages = messages.coalesce(limit)
+    found = messages.select(tokens(F.col(message)).alias("tokens"))
     return found.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 

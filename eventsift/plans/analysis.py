@@ -60,9 +60,8 @@ def analyze_events(
         raise NoEventsError("no log lines were found in the input")
     unscaled, model = fit_features(events, **feature_options)
     detector = detector or AnomalyDetector(contamination)
-    matrix = model.scaled(unscaled)
-    scored = detector.fit_score(matrix, model.columns)
-    return Analysis(scored.drop(*model.columns), model, detector)
+    scored = detector.fit_score(model.scaled(unscaled), model.columns, keep=events.columns)
+    return Analysis(scored, model, detector)
 
 
 def analyze(

@@ -35,7 +35,7 @@ from eventsift.plans.features import numeric_features, severity_feature, tempora
 from eventsift.schema import EVENT_FIELDS, NUMERIC_FEATURES
 from eventsift.sources.guard import enforce_row_limit
 from eventsift.sources.text import split_lines
-from eventsift.storage import materialise, shared_dir
+from eventsift.storage import materialise, shared_dir, spread
 from eventsift.streaming.scoring import sliding_counts
 
 STOP_WORDS = ["the", "and", "of", "to", "der", "die", "und", "le", "la", "les", "de", "user"]
@@ -299,7 +299,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     vocab = _fitted_vocabulary(docs)
     parts = text.fit_components(docs, vocab, message="text")
     got = docs.select("doc_id", text.projected(F.col("text"), vocab, parts).alias("p"))

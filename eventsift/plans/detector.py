@@ -47,9 +47,11 @@ class AnomalyDetector:
         self._fit(table, features)
         return self
 
-    def fit_score(self, table: DataFrame, features: list[str] | None = None) -> DataFrame:
-        """Fit and score the same table; raw scores are computed once."""
-        scored = self._fit(table, features, keep=table.columns)
+    def fit_score(
+        self, table: DataFrame, features: list[str] | None = None, keep: list[str] | None = None
+    ) -> DataFrame:
+        """Fit and score the same table, carrying the ``keep`` columns; raw scores are computed once."""
+        scored = self._fit(table, features, table.columns if keep is None else keep)
         return self.scale.attach(scored, _RAW).drop(_RAW)
 
     def _fit(self, table: DataFrame, features: list[str] | None, keep: list[str] | None = None) -> DataFrame:

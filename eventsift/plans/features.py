@@ -11,7 +11,7 @@ from eventsift.operators.quantiles import exact_quantiles
 from eventsift.operators.scaling import Scaler, fit_scaler
 from eventsift.operators.text import Components, Vocabulary, fit_components, fit_vocabulary, projected
 from eventsift.schema import MAX_TERMS, NUMERIC_FEATURES, TEXT_COMPONENTS, text_columns
-from eventsift.storage import materialise
+from eventsift.storage import materialise, spread
 
 _GAP = "seconds_since_prev_same_source"
 _VOLUME = "events_per_min_same_source"
@@ -82,6 +82,7 @@ def fit_features(
 
     ``events`` is read several times (columns pruned); pass a stored table, not a raw-file plan.
     """
+    events = spread(events)
     n_rows = events.count()
     vocabulary = fit_vocabulary(events, n_rows, max_terms, stop_words)
     components = fit_components(events, vocabulary, text_components)
