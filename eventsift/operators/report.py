@@ -55,8 +55,10 @@ def level_counts(events: DataFrame) -> DataFrame:
     return events.filter("level is not null").groupBy("level").count().orderBy(F.desc("count"), "level")
 
 
-def run_summary(results: DataFrame, fmt: str | None = None, parse_rate: float | None = None) -> DataFrame:
-    """One row: events, anomalies and their share, format and parse rate (in percent).
+def run_summary(
+    results: DataFrame, fmt: str | None = None, parse_rate: float | None = None, elapsed_ms: float | None = None
+) -> DataFrame:
+    """One row: events, anomalies and their share, format, parse rate (in percent), run time if given.
 
     Format and parse rate come from the ``fmt`` and ``parsed`` columns unless given.
     """
@@ -80,6 +82,7 @@ def run_summary(results: DataFrame, fmt: str | None = None, parse_rate: float |
         F.bround(F.when(total > 0, flagged / total * 100), 2).alias("anomaly_rate"),
         found.alias("detected_format"),
         F.bround(rate * 100, 1).alias("parse_rate"),
+        *([] if elapsed_ms is None else [F.lit(round(float(elapsed_ms), 1)).alias("elapsed_ms")]),
     )
 
 

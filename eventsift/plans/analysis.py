@@ -1,5 +1,6 @@
 """Whole runs: files or events in, ranked and summarised results out."""
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,10 @@ class Analysis:
     results: DataFrame
     features: FeatureModel
     detector: AnomalyDetector
+    elapsed_ms: float
 
     def summary(self) -> DataFrame:
-        return report.run_summary(self.results)
+        return report.run_summary(self.results, elapsed_ms=self.elapsed_ms)
 
     def ranked(self, max_len: int = 200) -> DataFrame:
         return report.rank_results(report.with_short_messages(self.results, max_len))
@@ -56,12 +58,13 @@ def analyze_events(
     **feature_options,
 ) -> Analysis:
     """Features, forest and scores of an event table (stored, with unique ``event_id``)."""
+    start = time.perf_counter()
     if events.isEmpty():
         raise NoEventsError("no log lines were found in the input")
     unscaled, model = fit_features(events, **feature_options)
     detector = detector or AnomalyDetector(contamination)
     scored = detector.fit_score(model.scaled(unscaled), model.columns, keep=events.columns)
-    return Analysis(scored, model, detector)
+    return Analysis(scored, model, detector, (time.perf_counter() - start) * 1000)
 
 
 def analyze(
@@ -73,9 +76,12 @@ def analyze(
     **parse_options,
 ) -> Analysis:
     """Parse files, then ``analyze_events``; the parsed table is stored once for all passes."""
+    start = time.perf_counter()
     parsed: ParseResult = parse_log_file(spark, paths, **parse_options)
     events = materialise(enforce_row_limit(parsed.events, max_rows), "events")
-    return analyze_events(events, contamination, **(feature_options or {}))
+    run = analyze_events(events, contamination, **(feature_options or {}))
+    run.elapsed_ms = (time.perf_counter() - start) * 1000
+    return run
 
 
 def score_events(events: DataFrame, features: FeatureModel, detector: AnomalyDetector) -> DataFrame:

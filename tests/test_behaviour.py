@@ -41,10 +41,12 @@ def _expected(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window", [60, 5400])
-@pytest.mark.parametrize("limit", [10**9, 150, 20, 1])
-@pytest.mark.parametrize("resolution", [0.25, 600])
-def test_windows_match_brute_force(spark, window, limit, resolution):
+@pytest.mark.parametrize(
+    "window, limit, resolution",
+    [(60, 10**9, 0.25), (5400, 10**9, 600), (60, 150, 0.25), (5400, 150, 600), (60, 20, 600), (5400, 20, 0.25), (60, 1, 0.25)],
+)
+def test_windows_match_brute_force(spark, monkeypatch, window, limit, resolution):
+    monkeypatch.setattr("eventsift.operators.ordered._MIN_TASK_ROWS", 60)
     events = _events(spark, 3, resolution=resolution)
     got = source_windows(events, window, max_group_rows=limit).collect()
     rows = events.collect()
@@ -53,7 +55,8 @@ def test_windows_match_brute_force(spark, window, limit, resolution):
     assert {r.event_id: (r.gap_seconds, r.trailing_count) for r in got} == _expected(rows, window)
 
 
-def test_event_positions(spark):
+def test_event_positions(spark, monkeypatch):
+    monkeypatch.setattr("eventsift.operators.ordered._MIN_TASK_ROWS", 60)
     events = _events(spark, 5)
     got = event_positions(events, ["event_id"], rows_per_task=50).collect()
     assert [r.event_index for r in sorted(got, key=lambda r: r.event_id)] == list(range(600))

@@ -107,6 +107,7 @@ def test_analyze_files(spark, tmp_path):
     run = analyze(spark, str(tmp_path / "a.log"))
     (s,) = run.summary().collect()
     assert (s.total_events, s.detected_format, s.parse_rate) == (304, "generic", 99.7)
+    assert s.elapsed_ms > 0
     assert s.anomaly_count == run.results.filter("is_anomaly").count() > 0
     top = run.top().collect()
     assert len(top) == s.anomaly_count and "???" in {r.message for r in top}
