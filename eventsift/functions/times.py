@@ -4,7 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month names of syslog and web server logs.
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+
+# One-byte blanks between the parts of a syslog time.
+_BLANKS = " \t\x0b\x0c\x1c\x1d\x1e\x1f"
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -28,7 +31,7 @@ def iso_time(text: Column) -> Column:
 
 def _month(name: Column) -> Column:
     # 0 for an unknown name, which makes the assembled date invalid and so null.
-    at = F.instr(F.lit(MONTHS), F.initcap(name))
+    at = F.instr(F.lit(MONTHS), F.lower(name))
     return F.lpad(F.when(at % 3 == 1, (at + 2) / 3).otherwise(0).cast("int").cast("string"), 2, "0")
 
 
@@ -40,18 +43,20 @@ def web_server_time(text: Column) -> Column:
     )
     minutes = F.substring(text, 23, 2).try_cast("int") * 60 + F.substring(text, 25, 2).try_cast("int")
     signed = F.when(F.substring(text, 22, 1) == "-", -minutes).otherwise(minutes)
-    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(signed, F.lit(0)))
-    return iso_time(stamp) - offset
+    none = F.expr("INTERVAL '0' MINUTE")
+    shift = F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(signed, F.lit(0)))
+    return iso_time(stamp) - F.when(F.substring(text, 21, 6) == " +0000", none).otherwise(shift)
 
 
 def syslog_time(text: Column, year: int | None) -> Column:
     """``Jun  1 08:14:02``; the format has no year, so without one the time stays null."""
     if year is None:
         return F.lit(None).cast("timestamp_ntz")
-    parts = F.split(text, r"\s+")
+    day = F.btrim(F.substring(text, F.lit(4), F.length(text) - 11), F.lit(_BLANKS))
     stamp = F.concat(
-        F.lit(f"{year:04d}-"), _month(parts[0]), F.lit("-"), F.lpad(parts[1], 2, "0"), F.lit(" "), parts[2]
-    )
+        F.lit(f"{year:04d}-"), _month(F.substring(text, 1, 3)), F.lit("-"), F.lpad(day, 2, "0"), F.lit(" "),
+        F.substring(text, -8, 8),
+    )
     return iso_time(stamp)
 
 

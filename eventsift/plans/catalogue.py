@@ -4,6 +4,7 @@ Every query reads whole tables. Log lines and log files are rendered from ``even
 the expected fields are known from its columns.
 """
 
+import datetime
 import uuid
 from collections.abc import Callable
 
@@ -36,7 +37,8 @@ from eventsift.schema import EVENT_FIELDS, NUMERIC_FEATURES
 from eventsift.sources.guard import enforce_row_limit
 from eventsift.sources.text import split_lines
 from eventsift.storage import materialise, shared_dir, spread
-from eventsift.streaming.scoring import sliding_counts
+from eventsift.streaming.retraining import load_latest, retrain
+from eventsift.streaming.scoring import CarriedEvents, StreamWindows, sliding_counts
 
 STOP_WORDS = ["the", "and", "of", "to", "der", "die", "und", "le", "la", "les", "de", "user"]
 SHARES = [0.02, 0.05, 0.1]
@@ -481,6 +483,35 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data")
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap and trailing count of a stream that gets ``events`` in four files, oldest first."""
+    path = _fresh_path(spark, "stream")
+    events = log_events(spark, sf_dir).select("event_id", "timestamp", "source")
+    first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
+    quarter = (last - first) / 4
+    for i in range(4):
+        # File times decide the order, so the files are written one after the other.
+        start, end = first + i * quarter, first + (i + 1) * quarter
+        slice_ = F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")
+        if i < 3:
+            slice_ &= F.col("timestamp") < F.lit(end).cast("timestamp_ntz")
+        events.filter(slice_).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    windows = StreamWindows(f"{path}/out", CarriedEvents(f"{path}/carried"))
+    windows.start_on(stream, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "gap_seconds", "trailing_count")
+
+
+def retrained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events scored, without refitting, by a model of the last ten days."""
+    path = _fresh_path(spark, "versions")
+    events = log_events(spark, sf_dir)
+    newest = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    retrain(events, newest, datetime.timedelta(days=10), path)
+    features, detector = load_latest(spark, path)
+    return score_events(events, features, detector).select("event_id", "anomaly_score", "is_anomaly")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -493,5 +524,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         detect_anomalies, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
         label_metrics, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
+        stream_windows, retrained_scores,
     )
 }

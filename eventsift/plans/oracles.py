@@ -272,4 +272,6 @@ cuts AS (SELECT -quantile_cont(-a, 0.05) AS ca, -quantile_cont(-b, 0.05) AS cb F
 SELECT count(*) AS events, count(*) FILTER (a > ca) AS left_flagged, count(*) FILTER (b > cb) AS right_flagged,
   count(*) FILTER (a > ca AND b > cb) AS flagged_by_both FROM sums, cuts""",
     "stream_sliding_counts": _STREAM,
+    "stream_windows": f"""WITH {_LOGS}, {_GAPS}, counts AS ({_rows_until("INTERVAL 59999999 MICROSECONDS")})
+SELECT event_id, CAST(gap AS DOUBLE) AS gap_seconds, trailing_count FROM gaps JOIN counts USING (event_id)""",
 }

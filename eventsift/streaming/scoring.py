@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from eventsift.operators.behaviour import source_windows
 from eventsift.operators.parse import parse_lines
 from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import FeatureModel
@@ -71,6 +72,31 @@ class CarriedEvents:
         keep.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
+@dataclass
+class StreamWindows:
+    """``foreachBatch`` function: the exact gap and trailing count of every event of a stream.
+
+    The input has ``event_id`` (not negative, unique), ``timestamp`` and ``source``; results land in
+    ``output/batch_id=N``. An event later than the carried events allow gets what is still known.
+    """
+
+    output: str
+    carried: CarriedEvents
+    max_group_rows: int = 2_000_000
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        events = materialise(batch, "batch")
+        carried = self.carried.before(batch.sparkSession, batch_id)
+        windows = source_windows(
+            self.carried.extend(events, carried), self.carried.window_seconds, self.max_group_rows
+        )
+        windows.filter("event_id >= 0").write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
+        self.carried.store(events, carried, batch_id)
+
+    def start_on(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
+        return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
+
+
 @dataclass
 class StreamScorer:
     """``foreachBatch`` function: parse, build features, score, append to a result table.
