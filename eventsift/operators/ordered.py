@@ -14,15 +14,14 @@ from eventsift.storage import materialise
 _MIN_TASK_ROWS = 10_000
 
 
-def sorted_ranges(df: DataFrame, order: list[str], rows: int | None, rows_per_task: int) -> DataFrame:
+def sorted_ranges(df: DataFrame, order: list[str], rows: int, rows_per_task: int) -> DataFrame:
     """``df`` with its range number ``_pid`` in the given order, stored once.
 
     Stored, because the range bounds come from sampling and may differ between two runs.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if rows is not None:
-        parts = max(1, min(parts, rows), rows // max(rows_per_task, _MIN_TASK_ROWS) + 1)
+    parts = max(1, min(parts, rows), rows // max(rows_per_task, _MIN_TASK_ROWS) + 1)
     ranged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
     return materialise(ranged, "ranges")
 
@@ -59,7 +58,7 @@ def event_positions(
     events: DataFrame, order: list[str], name: str = "event_index", rows_per_task: int = 2_000_000
 ) -> DataFrame:
     """``events`` with the 0-based position of each row in ``order`` (a unique key)."""
-    ranged = sorted_ranges(events, order, None, rows_per_task)
+    ranged = sorted_ranges(events, order, events.count(), rows_per_task)
     sizes = ranged.groupBy("_pid").count()
     # One row per task: small by construction, so an unpartitioned window is fine here.
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

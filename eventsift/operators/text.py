@@ -78,26 +78,27 @@ def tfidf_weights(
 ) -> DataFrame:
     """``id, term, term_idx, tf, weight``: L2-normalised smooth TF-IDF as a long table.
 
-    The vocabulary side of the join has at most ``max_terms`` rows.
+    A row needs nothing but its own message and the vocabulary, so nothing is shuffled.
     """
-    spark = events.sparkSession
-    table = spark.createDataFrame(
-        [(t, i, float(w)) for i, (t, w) in enumerate(zip(vocabulary.terms, vocabulary.idf))],
-        "term string, term_idx int, idf double",
-    )
-    counts = (
-        message_tokens(events, id_col, message)
-        .join(F.broadcast(table), "term")
-        .groupBy(id_col, "term", "term_idx", "idf")
-        .agg(F.count("*").alias("tf"))
-    )
-    raw = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "term", "term_idx", "tf", (raw / norm).alias("weight"))
-
-
-def _sparse_rows(lists: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, term number and normalised weight of a batch of token lists, sorted by row."""
+    terms, idf = vocabulary.terms, vocabulary.idf
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            row, term, tf, weight = _sparse_rows(batch.column(1), known, idf)
+            columns = [batch.column(0).take(pa.array(row)), known.take(pa.array(term)), pa.array(term, pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(tf, pa.int64()), pa.array(weight)], ["id", "term", "term_idx", "tf", "weight"]
+            )
+
+    found = spread(events.select(id_col, message)).select(id_col, tokens(F.col(message)).alias("tokens"))
+    id_type = events.schema[id_col].dataType.simpleString()
+    schema = f"id {id_type}, term string, term_idx int, tf bigint, weight double"
+    return found.mapInArrow(weigh, schema).withColumnRenamed("id", id_col)
+
+
+def _sparse_rows(lists: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row number, term number, term count and normalised weight of a batch of token lists, by row."""
     parents = pc.list_parent_indices(lists).to_numpy()
     codes = pc.index_in(pc.list_flatten(lists), vocabulary)
     known = codes.is_valid().to_numpy(zero_copy_only=False)
@@ -107,7 +108,7 @@ def _sparse_rows(lists: pa.Array, vocabulary: pa.Array, idf: np.ndarray) -> tupl
     row, term = np.divmod(cell, size)
     weight = tf * idf[term]
     norm = np.sqrt(np.bincount(row, weight * weight, minlength=len(lists)))
-    return row, term, weight / norm[row]
+    return row, term, tf, weight / norm[row]
 
 
 def _add_products(gram: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
@@ -151,7 +152,7 @@ def gram_matrix(events: DataFrame, vocabulary: Vocabulary, message: str = "messa
         known = pa.array(terms, pa.string())
         gram = np.zeros((len(terms), len(terms)))
         for batch in batches:
-            row, term, weight = _sparse_rows(batch.column(0), known, idf)
+            row, term, _, weight = _sparse_rows(batch.column(0), known, idf)
             if len(row):
                 _add_products(gram, row, term, weight)
         i, j = np.nonzero(np.triu(gram))
@@ -239,7 +240,7 @@ def projected(message: Column, vocabulary: Vocabulary, components: Components) -
     def project(lists: pa.Array) -> pa.Array:
         out = np.zeros((len(lists), k))
         if terms and len(lists):
-            row, term, weight = _sparse_rows(lists, pa.array(terms, pa.string()), idf)
+            row, term, _, weight = _sparse_rows(lists, pa.array(terms, pa.string()), idf)
             for c in range(k):
                 out[:, c] = np.bincount(row, weight * loadings[term, c], minlength=len(lists))
         offsets = pa.array(np.arange(0, k * len(lists) + 1, k, dtype=np.int32))

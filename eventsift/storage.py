@@ -1,5 +1,7 @@
 """Intermediate tables in the folder all executors share."""
 
+import contextlib
+import io
 import tempfile
 import uuid
 
@@ -32,7 +34,13 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores when its plan has too few tasks, as with one small file.
 
-    Tables of cluster size have more tasks than cores and are left as they are.
+    Tables of cluster size have more tasks than cores and are left as they are, and so are plans
+    with a shuffle, whose number of tasks only running them would tell.
     """
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        df.explain()
+    if "Exchange" in plan.getvalue():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
