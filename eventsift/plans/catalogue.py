@@ -369,6 +369,17 @@ def detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze_events(log_events(spark, sf_dir)).results.select("event_id", *EVENT_FIELDS, "anomaly_score", "is_anomaly")
 
 
+def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any forest: the share of flags and the ends of the scale."""
+    results = analyze_events(log_events(spark, sf_dir)).results
+    return results.agg(
+        F.count("*").alias("events"),
+        F.count_if("is_anomaly").alias("flagged"),
+        F.min("anomaly_score").alias("lowest"),
+        F.max("anomaly_score").alias("highest"),
+    )
+
+
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events scored by a fitted and by a stored model: how many scores agree."""
     path = _fresh_path(spark, "model")
@@ -521,7 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
         tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features,
         forest_sample, forest_score_fixed, score_rescale, contamination_flags, contamination_counts, exact_thresholds,
-        detect_anomalies, model_roundtrip,
+        detect_anomalies, detection_counts, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
         label_metrics, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
         stream_windows, retrained_scores,

@@ -248,6 +248,8 @@ FROM weights a JOIN weights b ON a.doc_id = b.doc_id AND a.term_idx <= b.term_id
         f"SELECT {p}::DOUBLE AS prob, round(quantile_cont(l_extendedprice::DOUBLE, {p}), 6) AS value FROM lineitem"
         for p in (0.01, 0.05, 0.5, 0.95, 0.999)
     ),
+    "detection_counts": "SELECT count(*) AS events, CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) AS flagged, "
+    "0.0::DOUBLE AS lowest, 100.0::DOUBLE AS highest FROM events",
     "model_roundtrip": "SELECT count(*) AS events, count(*) AS equal_scores FROM events",
     "run_summary": f"""WITH {_Z} SELECT count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomaly_count,
   round_even(count(*) FILTER (is_anomaly) / count(*) * 100, 2) AS anomaly_rate, 'csv' AS detected_format,

@@ -1,5 +1,7 @@
 """CSV exports as all-string records."""
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,17 +56,15 @@ def read_csv(
     for name in names:
         if name in headers:
             groups.setdefault((headers[name], whole[name]), []).append(name)
-    return [_read_group(spark, group, one_task) for (_, one_task), group in groups.items()]
+    return [_read_group(spark, group, header, one_task) for (header, one_task), group in groups.items()]
 
 
-def _read_group(spark: SparkSession, names: list[str], one_task: bool) -> DataFrame:
-    records = (
-        spark.read.option("header", True)
-        .option("multiLine", one_task)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(names)
-    )
+def _read_group(spark: SparkSession, names: list[str], header: str, one_task: bool) -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", one_task).option("escape", '"')
+    columns = _column_names(header)
+    if columns:
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    records = reader.csv(names)
     return records.select(
         *[F.col(f"`{c}`").cast(T.StringType()).alias(c) for c in records.columns],
         F.monotonically_increasing_id().alias("event_id"),
@@ -73,6 +73,23 @@ def _read_group(spark: SparkSession, names: list[str], one_task: bool) -> DataFr
     )
 
 
+def _column_names(header: str) -> list[str]:
+    """Names of a header row; a repeated one, whatever its case, is numbered so that the first counts.
+
+    Empty when the row is unknown or goes on in the next line; Spark then reads the names itself.
+    """
+    if not header or header.count('"') % 2:
+        return []
+    names, seen = [], set()
+    for i, name in enumerate(next(csv.reader([header]))):
+        name, n = name or f"unnamed {i}", 0
+        while (unique := f"{name}.{n}" if n else name).lower() in seen:
+            n += 1
+        seen.add(unique.lower())
+        names.append(unique)
+    return names
+
+
 def _first_rows(spark: SparkSession, names: list[str]) -> dict[str, str]:
     """File name to its first non-empty line."""
     lines = spark.read.text(names).select(

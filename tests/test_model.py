@@ -116,6 +116,14 @@ def test_analyze_files(spark, tmp_path):
     )
 
 
+def test_unparsed_lines_only(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(f"odd line number {i % 9}" for i in range(60)))
+    run = analyze(spark, str(tmp_path / "a.log"))
+    rows = run.results.collect()
+    assert len(rows) == 60 and run.features.gap_fill == 0.0
+    assert all(0 <= r.anomaly_score <= 100 and r.timestamp is None for r in rows)
+
+
 @pytest.mark.parametrize("n, trees, size", [(100, 7, 256), (1000, 20, 64), (5000, 10, 16)])
 def test_tree_samples(spark, n, trees, size):
     rows = fo.sample_trees(spark.range(n).withColumnRenamed("id", "event_id"), n, trees, size).collect()

@@ -175,6 +175,12 @@ def test_first_alias_wins_and_epoch_units(spark):
     assert (row.timestamp, row.message) == (dt.datetime(2026, 6, 1, 8, 14, 2), "x")
 
 
+def test_csv_repeated_names(spark, tmp_path):
+    text = "Time,time,msg,msg,Log\n2026-06-01 00:00:00,2020-01-01 00:00:00,one,two,three\n"
+    (row,) = _events(parse_csv_log(spark, _file(tmp_path, "x.csv", text)))
+    assert (row.timestamp.year, row.message) == (2026, "one")
+
+
 def test_csv_files_with_different_headers(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
