@@ -58,12 +58,14 @@ def format_votes(lines: DataFrame, formats: list[LineFormat] | None = None) -> D
     """Per file: ``votes_<format>`` over its first 25 lines and the winning ``fmt``.
 
     The rank filter is applied per task before the shuffle, so at most 25 lines per file and
-    task move.
+    task move. A file read by very many tasks is first reduced in parts.
     """
     formats = formats or line_formats()
     order = [c for c in LINE_ORDER if c in lines.columns and c != "file"]
-    rank = F.row_number().over(Window.partitionBy("file").orderBy(*order))
-    head = lines.withColumn("_n", rank).filter(F.col("_n") <= SAMPLE_LINES)
+    head = lines.withColumn("_part", F.pmod(F.hash(order[0]), F.lit(_SALTS)))
+    for group in (["file", "_part"], ["file"]):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        head = head.withColumn("_n", rank).filter(F.col("_n") <= SAMPLE_LINES)
     votes = head.groupBy("file").agg(
         *[F.count_if(f.matches(F.col("value"))).alias(f"votes_{f.name}") for f in formats]
     )

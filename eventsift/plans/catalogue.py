@@ -29,7 +29,7 @@ from eventsift.operators.parse import (
 )
 from eventsift.operators.quantiles import exact_quantiles
 from eventsift.operators.scaling import fit_scaler
-from eventsift.operators.scores import ScoreScale, contamination_sweep, fit_scale
+from eventsift.operators.scores import contamination_sweep, fit_scale
 from eventsift.plans.analysis import analyze_events, load_models, score_events
 from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import numeric_features, severity_feature, temporal_features
@@ -125,7 +125,8 @@ def parse_apache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mixed_line() -> Column:
     shape = F.col("user_id") % 5
     generic = F.when(F.col("event_type") == "error", _syslog_line()).otherwise(_generic_line())
-    return F.when(shape == 2, _syslog_line()).when(shape == 3, _apache_line()).when(shape == 4, F.col("props")).otherwise(generic)
+    mixed = F.when(shape == 2, _syslog_line()).when(shape == 3, _apache_line()).when(shape == 4, F.col("props"))
+    return mixed.otherwise(generic)
 
 
 def parse_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,6 @@
 """Isolation forest detector with a fitted threshold and score scale."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventsift.operators.forest import Forest, fit_forest
 from eventsift.operators.scores import ScoreScale, fit_scale, score_bounds

@@ -21,9 +21,13 @@ from eventsift.sources.text import to_lines, with_file_fields
 from eventsift.storage import materialise
 
 
-def read_line_stream(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Raw lines of text files as they appear under ``path``."""
+def read_line_stream(
+    spark: SparkSession, path: str, glob: str | None = None, max_files: int | None = None
+) -> DataFrame:
+    """Raw lines of text files as they appear under ``path``, at most ``max_files`` per batch."""
     reader = spark.readStream.option("pathGlobFilter", glob) if glob else spark.readStream
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return with_file_fields(reader.text(path))
 
 

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from eventsift import AnomalyDetector, analyze, analyze_events, build_feature_matrix, run_detection
 from eventsift.operators import forest as fo

@@ -1,6 +1,6 @@
 import datetime as dt
+import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from eventsift import analyze_events
@@ -35,13 +35,9 @@ def test_stream_scores_equal_one_batch(spark, tmp_path):
     scorer = StreamScorer(features, detector, str(tmp_path / "out"), CarriedEvents(str(tmp_path / "state")))
     # One file per trigger, oldest first.
     for j in range(3):
-        import os
-
         os.utime(logs / f"part{j}.log", (1_700_000_000 + j, 1_700_000_000 + j))
-    stream = spark.readStream.option("maxFilesPerTrigger", 1).text(str(logs))
-    from eventsift.sources.text import with_file_fields
-
-    query = scorer.start_on(with_file_fields(stream), str(tmp_path / "ck")).trigger(availableNow=True).start()
+    stream = read_line_stream(spark, str(logs), glob="*.log", max_files=1)
+    query = scorer.start_on(stream, str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.select("batch_id").distinct().count() == 3
@@ -52,7 +48,8 @@ def test_stream_scores_equal_one_batch(spark, tmp_path):
 def test_carried_events_answer_windows(spark, tmp_path):
     schema = "event_id long, timestamp timestamp_ntz, source string"
     rows = [(i, START + dt.timedelta(seconds=20 * i), f"s{i % 2}") for i in range(30)]
-    whole = {(r.timestamp): (r.gap_seconds, r.trailing_count) for r in source_windows(spark.createDataFrame(rows, schema)).collect()}
+    at_once = source_windows(spark.createDataFrame(rows, schema)).collect()
+    whole = {r.timestamp: (r.gap_seconds, r.trailing_count) for r in at_once}
     carried = CarriedEvents(str(tmp_path / "state"), delay_seconds=0)
     got = {}
     for b in range(5):
