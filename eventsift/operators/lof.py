@@ -16,6 +16,9 @@ DEFAULT_NEIGHBOURS = 20
 # Fixed value: keeps the density of points without any distance finite.
 _TINY = 1e-10
 
+_CROWDED = 1_000_000
+_BROADCAST_VECTORS = 100_000
+
 
 def point_factors(edges: DataFrame) -> DataFrame:
     """``pid, k_distance, density, lof`` from weighted neighbour edges."""
@@ -38,6 +41,20 @@ def point_factors(edges: DataFrame) -> DataFrame:
     )
 
 
+def _back_to_rows(rows: DataFrame, points: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
+    """Every row with the factors of its vector; vectors of very many rows are joined in several parts."""
+    crowded = points.filter(F.col("m") > _CROWDED).select("v", (F.floor(F.col("m") / _CROWDED) + 1).cast("int").alias("n"))
+    n_crowded = crowded.count()
+    if n_crowded == 0:
+        return rows.join(factors.drop("m"), "v").drop("v")
+    # At most rows / _CROWDED vectors; too many to broadcast only beyond 10^11 crowded rows.
+    sizes = F.broadcast(crowded) if n_crowded <= _BROADCAST_VECTORS else crowded
+    parts = F.when(F.col("m") > _CROWDED, F.floor(F.col("m") / _CROWDED)).otherwise(0).cast("int")
+    copies = factors.withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("m")
+    placed = rows.join(sizes, "v", "left").withColumn("part", F.pmod(F.hash(id_col), F.coalesce("n", F.lit(1)))).drop("n")
+    return placed.join(copies, ["v", "part"]).drop("v", "part")
+
+
 def local_outlier_factor(
     df: DataFrame,
     features: list[str] | str,
@@ -57,8 +74,7 @@ def local_outlier_factor(
     k = max(1, min(n_neighbors, n - 1))
     points = materialise(distinct_points(rows, "v", id_col), "points")
     edges = materialise(nearest_neighbours(points, k, cell_rows), "edges")
-    factors = points.select("pid", "v").join(point_factors(edges), "pid").drop("pid")
-    # A vector that many rows share is one skewed join key, which adaptive execution splits.
-    scored = materialise(rows.join(factors, "v").drop("v"), "lof")
+    factors = points.select("pid", "v", "m").join(point_factors(edges), "pid").drop("pid")
+    scored = materialise(_back_to_rows(rows, points, factors, id_col), "lof")
     (cut,) = thresholds(scored, "lof", [contamination])
     return scored.withColumn("is_anomaly", F.col("lof") > F.lit(cut))
