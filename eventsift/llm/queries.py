@@ -5,12 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventsift.llm import bpe, simhash, token_counts
+from eventsift.llm import bpe, language_id, quality_model, simhash, token_counts, toxicity
 from eventsift.llm.common import table
 
 
+def fold(key: str, folds: int) -> Column:
+    """The fold of a row: CRC-32 of its key as text, modulo ``folds``; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % folds
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language_id.learn_dictionaries(docs.where(fold("doc_id", 4) != 2))
+    found = language_id.identify(docs, dictionaries, keep=["doc_id"])
+    return found.withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -20,14 +33,43 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings from the two label columns: 0 poor, 1 good but toxic, 2 good and clean."""
+    return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ratings = table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels"))
+    model = quality_model.learn(docs, ratings.where(fold("doc_id", 4) != 2))
+    found = quality_model.select(docs, model, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        (fold("doc_id", 4) == 2).alias("held_out"),
+        "expected_grade",
+        F.element_at("tails", 1).alias("p_grade_1"),
+        F.element_at("tails", 2).alias("p_grade_2"),
+        "kept",
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(fold("doc_id", 3) != 1))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
+    "op8_quality_model": op8_quality_model,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
