@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsift.llm import bpe, language_id, quality_model, simhash, token_counts, toxicity
+from eventsift.llm import bpe, language_id, lines, quality_model, quality_rules, simhash, token_counts, toxicity
 from eventsift.llm.common import table
 
 
@@ -28,11 +28,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratios = quality_rules.likelihood_ratios(docs, labels.where("quality = 1"))
+    return quality_rules.judge(docs, ratios, keep=["doc_id"])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines_removed", "text")
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings from the two label columns: 0 poor, 1 good but toxic, 2 good and clean."""
     return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
@@ -67,10 +77,31 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
+    "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_model": op8_quality_model,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_dedup": r"""
+        WITH parts AS (
+            SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents
+        ), trimmed AS (
+            SELECT *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM parts
+        ), shared AS (
+            SELECT bare, min(doc_id) AS first_id FROM trimmed WHERE bare <> ''
+            GROUP BY bare HAVING count(DISTINCT coalesce('=' || source, '')) >= 5
+        ), marked AS (
+            SELECT t.doc_id, t.line, t.pos, s.bare IS NOT NULL AND t.doc_id <> s.first_id AS gone
+            FROM trimmed t LEFT JOIN shared s ON t.bare = s.bare
+        )
+        SELECT doc_id, count(*) FILTER (WHERE gone) AS n_lines_removed,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+        FROM marked GROUP BY doc_id
+    """,
+}
