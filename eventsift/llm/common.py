@@ -36,6 +36,14 @@ def extended(df: DataFrame, **kinds: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])
 
 
+_TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-case words in UTF-8, cut at white space and ASCII punctuation; none for null."""
+    return text.lower().encode().translate(_TO_SPACE).split() if text else []
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` through ``function``, one Arrow batch at a time."""
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsift.llm import bpe, language_id, lines, quality_model, quality_rules, simhash, token_counts, toxicity
+from eventsift.llm import bpe, decontaminate, language_id, lines, quality_model, quality_rules
+from eventsift.llm import simhash, substring, token_counts, toxicity
 from eventsift.llm.common import table
 
 
@@ -39,6 +40,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeated_passages(table(spark, sf_dir, "documents"))
+    none_left = F.col("n_removed") == F.col("n_words")
+    kept = F.when(none_left, F.sha2(F.lit(""), 256)).when(F.col("n_removed") == 0, F.col("digest"))
+    return found.select("doc_id", "n_words", "n_removed", kept.otherwise(F.sha2("kept", 256)).alias("kept_sha256"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.match_items(docs, items, keep=["doc_id"])
+    return found.select("doc_id", F.inline("matches")).withColumnRenamed("item", "item_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines_removed", "text")
 
@@ -79,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_substring": op5_substring,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_model": op8_quality_model,
     "op9_toxicity": op9_toxicity,

@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended
-
-_TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
+from eventsift.llm.common import extended, plain_words
 
 def terms(text: str | None) -> set[bytes]:
     """Distinct lower-case words, cut at ASCII punctuation."""
-    return set(text.lower().encode().translate(_TO_SPACE).split()) if text else set()
+    return set(plain_words(text))
 
 
 def term_hash(term: bytes) -> int:
