@@ -57,6 +57,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines_removed", "text")
 
 
+#: Documents go only if good quality is less likely than this.
+MIN_PROBABILITY = 0.25
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Ratings from the two label columns: 0 poor, 1 good but toxic, 2 good and clean."""
     return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
@@ -65,7 +69,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ratings = table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels"))
     model = quality_model.learn(docs, ratings.where(fold("doc_id", 4) != 2))
-    found = quality_model.select(docs, model, keep=["doc_id"])
+    found = quality_model.select(docs, model, probability=MIN_PROBABILITY, keep=["doc_id"])
     return found.select(
         "doc_id",
         (fold("doc_id", 4) == 2).alias("held_out"),
