@@ -76,15 +76,18 @@ def dedup_lines(
         .groupBy("_key", "_hash").agg(F.collect_set("_at").alias("_removed"))
     )
     removed = materialise(removed, "removed")
-    joined = docs.select(*columns).join(
-        removed, docs[key].eqNullSafe(removed["_key"]) & (F.xxhash64(docs[text]) == removed["_hash"]), "left"
-    )
-    joined = joined.select(
-        *[docs[c] for c in columns], "_removed", F.when(F.col("_removed").isNotNull(), F.split(text, "\n")).alias("_lines")
+    source = docs.select(F.struct(*columns).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    joined = source.alias("d").join(
+        removed.alias("r"), F.col("d._key").eqNullSafe(F.col("r._key")) & (F.col("d._hash") == F.col("r._hash")), "left"
     )
+    whole = F.col("_row").getField(text)
+    joined = joined.select("_row", "_removed", F.when(F.col("_removed").isNotNull(), F.split(whole, "\n")).alias("_lines"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")
     cleaned = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
     return joined.select(
-        *[F.when(F.col("_removed").isNull(), F.col(c)).otherwise(cleaned).alias(c) if c == text else c for c in columns],
+        *[
+            F.when(F.col("_removed").isNull(), whole).otherwise(cleaned).alias(c) if c == text else F.col("_row").getField(c).alias(c)
+            for c in columns
+        ],
         F.coalesce(F.size("_removed"), F.lit(0)).cast("bigint").alias("n_lines_removed"),
     )

@@ -17,16 +17,14 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
 
 
-def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
+_STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Null text has no words and no lines. Columns of these names, and _words, are replaced; _words stays
-    for further steps. Windows of eight words are compared by a 64-bit hash within their text.
-    """
-    kept = [c for c in (docs.columns if keep is None else keep)]
-    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_words", "_text")
-    kept = [docs[c] for c in kept if c not in added]
-    source = docs.select(*kept, F.coalesce(docs[text], F.lit("")).alias("_text"), words(docs[text]).alias("_words"))
+
+def _measured(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    """_row with the ``columns`` of ``docs``, _words, and the statistics."""
+    source = docs.select(
+        F.struct(*columns).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_text"), words(docs[text]).alias("_words")
+    )
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     source = source.select(
         "*",
@@ -68,6 +66,16 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return source.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("_at")
 
 
+def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all if not given) of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+
+    Null text has no words and no lines. Columns of these names are replaced. Windows of eight words
+    are compared by a 64-bit hash within their text.
+    """
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in _STATISTICS]
+    return _measured(docs, text, columns).select("_row.*", *_STATISTICS)
+
+
 def buckets(words_: str, size: int) -> Column:
     """Hash buckets of all words (below ``size``) and of all pairs of neighbouring words (from ``size``)."""
     single = F.transform(words_, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
@@ -128,18 +136,23 @@ def judge(
     min_words: int = 20,
     max_repeat_share: int = 30,
 ) -> DataFrame:
-    """``statistics`` with base_failed, score and kept, for every row.
+    """``statistics`` with score, base_failed and kept, for every row; columns of these names are replaced.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_share`` percent of them in repeated
     windows. score: mean log ratio of the words and word pairs of the whole text (null without words).
     kept: not base_failed and score at least ``threshold``; the same text is always judged the same.
     """
-    found = statistics(docs, text, keep)
+    added = (*_STATISTICS, "score", "base_failed", "kept")
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
     table = ratios.select("ratios").scalar()
-    found = found.withColumn("_buckets", buckets("_words", size)).withColumn("_ratios", table).drop("_words")
+    found = _measured(docs, text, columns).withColumn("_buckets", buckets("_words", size)).withColumn("_ratios", table)
     total = F.aggregate("_buckets", F.lit(0.0), lambda acc, b: acc + F.get("_ratios", b))
-    found = found.withColumn("score", F.when(F.size("_buckets") > 0, total / F.size("_buckets"))).drop("_buckets", "_ratios")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
+    found = found.select(
+        "_row",
+        *_STATISTICS,
+        F.when(F.size("_buckets") > 0, total / F.size("_buckets")).alias("score"),
+        failed.alias("base_failed"),
     )
+    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return found.select("_row.*", *_STATISTICS, "score", "base_failed", kept.alias("kept"))
