@@ -111,41 +111,52 @@ def _codes(numbers: np.ndarray, length: int, width: int) -> np.ndarray:
     return codes
 
 
-def _frequencies(docs: DataFrame, text: str, seeds: Seeds) -> tuple[np.ndarray, int]:
-    """Documents with each seed, over all of ``docs``; tasks pass on one count per seed that they met."""
+def _word_counts(docs: DataFrame, text: str, seeds: Seeds) -> tuple[np.ndarray, int, int]:
+    """Occurrences of each benchmark word over all of ``docs``, and the numbers of words and documents."""
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = shared.value, 0
-        counts = np.zeros(len(own.owners), np.int64)
+        counts = np.zeros(len(own.vocabulary) + 1, np.int64)
         for batch in batches:
             rows += batch.num_rows
             for t in batch.column(0).to_pylist():
-                counts[np.unique(own.hits(own.numbers(t))[1])] += 1
+                counts += np.bincount(own.numbers(t), minlength=len(counts))
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(counts[met], rows))], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1)), pa.array(np.append(counts[met], rows))], ["word", "n"])
 
-    sums = docs.select(text).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    frequency, rows = np.zeros(len(seeds.owners), np.int64), 0
+    sums = docs.select(text).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counts, rows = np.zeros(len(seeds.vocabulary) + 1, np.int64), 0
     for r in sums.collect():
-        if r["seed"] < 0:
+        if r["word"] < 0:
             rows = r["n"]
         else:
-            frequency[r["seed"]] = r["n"]
-    return frequency, rows
+            counts[r["word"]] = r["n"]
+    return counts, int(counts.sum()), rows
 
 
-def _rare(seeds: Seeds, frequency: np.ndarray, rows: int, rare_share: float) -> np.ndarray:
-    """Seeds rare in the corpus, or not more frequent than the median seed of an item they belong to."""
+def _rare(seeds: Seeds, counts: np.ndarray, words: int, rows: int, rare_share: float) -> np.ndarray:
+    """Seeds whose words would meet by chance in ``rare_share`` of the documents at most.
+
+    Chance is judged by the words' own frequencies, not by that of the seed, which copies of an item raise. An
+    item with few such seeds keeps the rarer half of its own.
+    """
+    chance = np.zeros(len(seeds.owners))
     of_item: list[list[int]] = [[] for _ in seeds.items]
+    length = np.zeros(len(seeds.owners), np.int64)
+    for n, base in seeds.base.items():
+        length[base : base + len(seeds.grams[n])] = n
     for s, owners in enumerate(seeds.owners):
+        i, at = owners[0]
+        share = (counts[seeds.items[i][at : at + length[s]]] + 1) / (words + 1)
+        chance[s] = share.prod() * words / max(rows, 1)
         for i in {i for i, _ in owners}:
             of_item[i].append(s)
-    rare = frequency <= rare_share * rows
+    rare = chance <= rare_share
     for own in of_item:
         if own:
             own = np.array(own)
-            rare[own[frequency[own] <= np.median(frequency[own])]] = True
+            rare[own[chance[own] <= np.median(chance[own])]] = True
     return rare
 
 
@@ -190,10 +201,10 @@ def match_items(
     """The columns ``keep`` (all if not given) of ``docs`` with matches, an array of
     (item, score, seeds, first_word, last_word).
 
-    Every item is searched in every whole text. Seeds are word n-grams of an item (all its words if it has fewer);
-    their document frequencies are counted over all of ``docs``. Seeds that are rare (in ``rare_share`` of the
-    documents at most), and for each item those up to its own median frequency, lead to passages, and
-    each passage is aligned with the item. score is the alignment as a share of a full match, so an edited copy still
+    Every item is searched in every whole text. Seeds are word n-grams of an item (all its words if it has fewer).
+    Those that are rare lead to passages: by the frequencies of their words, counted over all of ``docs``, chance
+    puts them into ``rare_share`` of the documents at most; an item always keeps the rarer half of its seeds. Each
+    passage is aligned with the item. score is the alignment as a share of a full match, so an edited copy still
     scores; ``threshold`` or more is a match. Items go through in blocks of ``block_items``, so
     a task holds one block whatever the benchmark's size. Words are lower case without ASCII punctuation. Null
     or empty texts and items match nothing; items with a null key are left out; repeated items match alike.
@@ -211,11 +222,14 @@ def match_items(
     )
     schema = extended(docs.select(*kept), matches=T.ArrayType(struct))
     rows = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where("k is not null").orderBy("k", "t").toLocalIterator()
-    found = docs.select(docs[text].alias("_text"), *kept, F.lit(None).cast(T.ArrayType(struct)).alias("matches"))
-    with_text = T.StructType([T.StructField("_text", T.StringType()), *schema.fields])
+    own = "_text"
+    while own in kept:
+        own += "_"
+    found = docs.select(docs[text].alias(own), *kept, F.lit(None).cast(T.ArrayType(struct)).alias("matches"))
+    with_text = T.StructType([T.StructField(own, T.StringType()), *schema.fields])
     while block := list(itertools.islice(rows, block_items)):
         seeds = Seeds.of([r["t"] for r in block], n)
-        rare = _rare(seeds, *_frequencies(docs, text, seeds), rare_share)
+        rare = _rare(seeds, *_word_counts(docs, text, seeds), rare_share)
         found = _with_matches(found, seeds, rare, [r["k"] for r in block], threshold, with_text)
     return found.select(*kept, F.coalesce("matches", F.array().cast(T.ArrayType(struct))).alias("matches"))
 
