@@ -29,6 +29,16 @@ def iso_time(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+# The end of an ISO time with a zone.
+_ZONED = r"\d:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)\s*$"
+
+
+def zoned_time(text: Column) -> Column:
+    """ISO text; a time with an offset becomes UTC wall time, one without stays as it is."""
+    instant = from_micros(F.unix_micros(text.try_cast("timestamp")))
+    return F.when(text.rlike(_ZONED), instant).otherwise(iso_time(text))
+
+
 def _month(name: Column) -> Column:
     # 0 for an unknown name, which makes the assembled date invalid and so null.
     at = F.instr(F.lit(MONTHS), F.lower(name))
@@ -67,19 +77,35 @@ CSV_TIME_FORMATS = [
     "MM/dd/yyyy",
     "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd",
+    "MM/dd/yyyy hh:mm:ss a",
+    "MM/dd/yyyy hh:mm a",
+    "MMM d, yyyy HH:mm:ss",
+    "MMM d, yyyy",
+    "d MMM yyyy HH:mm:ss",
 ]
 
+# Eight digits that are a date, not seconds.
+_DAY = r"^\s*(19|20)\d{2}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])\s*$"
+_WEB = r"^\s*\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}\s*$"
+
 _EPOCH_MICROS = {"s": "1000000", "ms": "1000", "us": "1", "ns": "0.001"}
 
 
 def csv_time(text: Column, epoch_unit: str = "s", formats: list[str] | None = None) -> Column:
-    """Time of a CSV cell: ISO text, a number counted from 1970, or one of ``formats``."""
+    """Time of a CSV cell: ISO text, a number counted from 1970, eight digits of a date, a web server time, or
+    one of ``formats``. Times with an offset become UTC."""
     number = text.rlike(r"^\s*-?\d+(\.\d+)?\s*$")
     us = (F.trim(text).try_cast("decimal(30,6)") * F.lit(_EPOCH_MICROS[epoch_unit]).cast("decimal(10,3)")).try_cast(
         "bigint"
     )
-    tries = [iso_time(text)]
+    tries = [zoned_time(text)]
     for fmt in CSV_TIME_FORMATS if formats is None else formats:
         # The session zone cancels out: text -> instant -> wall time in the same zone.
         tries.append(F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
-    return F.when(number, from_micros(us)).otherwise(F.coalesce(*tries))
+    day = F.regexp_replace(F.trim(text), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return (
+        F.when(text.rlike(_DAY), iso_time(day))
+        .when(number, from_micros(us))
+        .when(text.rlike(_WEB), web_server_time(F.trim(text)))
+        .otherwise(F.coalesce(*tries))
+    )

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from eventsift.functions.lines import LineFormat, line_formats
 from eventsift.functions.times import csv_time
 from eventsift.schema import EVENT_FIELDS, EVENT_SCHEMA
-from eventsift.sources.csv import MISSING, read_csv
-from eventsift.sources.text import CSV_GLOB, LINE_ORDER, LOG_GLOB, read_lines
+from eventsift.sources.csv import MISSING, SURPLUS, read_csv
+from eventsift.sources.guard import CSV_NAME, TEXT_NAME, list_input, normal_path
+from eventsift.sources.text import LINE_ORDER, read_lines
 from eventsift.storage import materialise
 
 SAMPLE_LINES = 25
@@ -28,9 +29,10 @@ ALIASES = {
 
 @dataclass(frozen=True)
 class ParseResult:
-    """Parsed events; statistics are computed on demand."""
+    """Parsed events; statistics are computed on demand. ``rejected`` lists the files that were not read."""
 
     events: DataFrame
+    rejected: DataFrame | None = None
 
     def stats(self) -> DataFrame:
         """Per file: total and parsed lines, format, parse rate, empty messages."""
@@ -146,25 +148,27 @@ def canonicalise(records: DataFrame, epoch_unit: str = "s", keep: list[str] | No
     """All-string records with any header to the event columns.
 
     Header names are trimmed and lower-cased; of two names for one field the first wins, and a
-    field nobody provides becomes null before the defaults apply.
+    field nobody provides becomes null before the defaults apply. A record with more cells than its header
+    keeps its whole text as message and does not count as parsed.
     """
     keep = keep if keep is not None else [c for c in ("event_id", "file", "block_start") if c in records.columns]
     cells: dict[str, Column] = {}
     for name in records.columns:
-        if name in keep:
+        if name in keep or name == SURPLUS:
             continue
         for field, known in ALIASES.items():
             if name.strip().lower() in known and field not in cells:
                 cell = F.col(f"`{name}`").cast("string")
                 cells[field] = F.when(~cell.isin(*MISSING), cell)
     cell = {f: cells.get(f, F.lit(None).cast("string")) for f in EVENT_FIELDS}
+    surplus = F.col(f"`{SURPLUS}`") if SURPLUS in records.columns else F.lit(None).cast("string")
     return records.select(
         *[c for c in keep if c == "event_id"],
         csv_time(cell["timestamp"], epoch_unit).alias("timestamp"),
         F.upper(F.coalesce(cell["level"], F.lit("INFO"))).alias("level"),
         F.coalesce(cell["source"], F.lit("unknown")).alias("source"),
-        F.coalesce(cell["message"], F.lit("")).alias("message"),
-        F.lit(True).alias("parsed"),
+        F.coalesce(surplus, cell["message"], F.lit("")).alias("message"),
+        surplus.isNull().alias("parsed"),
         F.lit("csv").alias("fmt"),
         *[c for c in keep if c != "event_id"],
     )
@@ -179,9 +183,10 @@ def parse_text_log(
     formats: list[LineFormat] | None = None,
     glob: str | None = None,
     max_bytes: int | None = None,
+    wanted: Column | None = None,
 ) -> ParseResult:
     """Parse text log files of the known line formats."""
-    lines = read_lines(spark, paths, glob, max_bytes)
+    lines = read_lines(spark, paths, glob, max_bytes, wanted)
     return ParseResult(parse_lines(lines, formats or line_formats(syslog_year), detect, fmt))
 
 
@@ -193,38 +198,43 @@ def parse_csv_log(
     max_bytes: int | None = None,
     same_header: bool = False,
     multi_line: bool | None = None,
+    wanted: Column | None = None,
 ) -> ParseResult:
-    """Parse CSV exports; every record counts as parsed."""
-    parts = read_csv(spark, paths, glob, max_bytes, same_header, multi_line)
-    events = spark.createDataFrame([], EVENT_SCHEMA)
-    for i, part in enumerate(parts):
-        event_part = canonicalise(part, epoch_unit)
-        # Ids of separate reads would collide; every read gets its own stripe.
-        striped = event_part.withColumn("event_id", F.col("event_id") * len(parts) + i)
-        events = striped if i == 0 else events.unionByName(striped)
-    return ParseResult(events)
+    """Parse CSV exports; every record counts as parsed unless it has more cells than the header."""
+    parts = read_csv(spark, paths, glob, max_bytes, same_header, multi_line, wanted)
+    if not parts:
+        return ParseResult(spark.createDataFrame([], EVENT_SCHEMA))
+    events = None
+    for part in parts:
+        records = canonicalise(part, epoch_unit).drop("event_id")
+        events = records if events is None else events.unionByName(records)
+    # Numbered after the union: ids of separate reads would collide.
+    numbered = events.withColumn("event_id", F.monotonically_increasing_id())
+    return ParseResult(numbered.select("event_id", *[c for c in numbered.columns if c != "event_id"]))
 
 
 def parse_log_file(spark: SparkSession, paths: str | list[str], **options) -> ParseResult:
-    """Parse a file or folder: ``.csv`` names as CSV, ``.log`` and ``.txt`` as text.
+    """Parse files and folders of any depth: ``.csv`` names as CSV, ``.log`` and ``.txt`` (rotated and compressed
+    ones too) as text, and any other file that ``paths`` itself names as text.
 
-    A single file with any other name is read as text.
+    Every file is decided on alone; files that are not read are in ``rejected`` with the reason.
     """
     text_opts = {k: v for k, v in options.items() if k in ("detect", "fmt", "syslog_year", "formats", "max_bytes")}
     csv_opts = {k: v for k, v in options.items() if k in ("epoch_unit", "max_bytes", "same_header", "multi_line")}
-    one = paths if isinstance(paths, str) else paths[0] if len(paths) == 1 else None
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    is_csv = F.lower("path").endswith(".csv")
-    is_log = F.lower("path").rlike(r"\.(log|txt)$")
-    n, n_csv, n_log = files.agg(F.count("*"), F.count_if(is_csv), F.count_if(is_log)).first()
-    if n_csv == 0:
-        glob = LOG_GLOB if n_log or (one and n > 1) else None
-        return parse_text_log(spark, paths, glob=glob, **text_opts)
-    if n_log == 0:
-        return parse_csv_log(spark, paths, glob=CSV_GLOB, **csv_opts)
-    text = parse_text_log(spark, paths, glob=LOG_GLOB, **text_opts).events
-    records = parse_csv_log(spark, paths, glob=CSV_GLOB, **csv_opts).events
+    listed = list_input(spark, paths, options.get("max_bytes"))
+    rejected = listed.filter("reason is not null").select("path", "length", "reason")
+    read = listed.filter("reason is null")
+    kinds = {r["kind"] for r in read.select("kind").distinct().collect()}
+    named = [r["path"] for r in read.filter("named and kind = 'text'").select(normal_path(F.col("path")).alias("path")).collect()]
+    text, records = None, None
+    if "text" in kinds or not kinds:
+        wanted = F.lower("file").rlike(TEXT_NAME) | normal_path(F.col("file")).isin(named)
+        text = parse_text_log(spark, paths, wanted=wanted & ~F.lower("file").rlike(CSV_NAME), **text_opts).events
+    if "csv" in kinds:
+        records = parse_csv_log(spark, paths, wanted=F.lower("file").rlike(CSV_NAME), **csv_opts).events
+    if text is None or records is None:
+        return ParseResult(records if text is None else text, rejected)
     both = text.withColumn("event_id", F.col("event_id") * 2).unionByName(
         records.withColumn("event_id", F.col("event_id") * 2 + 1)
     )
-    return ParseResult(both)
+    return ParseResult(both, rejected)

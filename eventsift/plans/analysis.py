@@ -1,7 +1,7 @@
 """Whole runs: files or events in, ranked and summarised results out."""
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +11,8 @@ from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import FeatureModel, fit_features
 from eventsift.plans.model_store import load_features, save_features
 from eventsift.schema import DEFAULT_CONTAMINATION
-from eventsift.sources.guard import enforce_row_limit
-from eventsift.storage import materialise
+from eventsift.sources.guard import enforce_row_limit, require_supported
+from eventsift.storage import discard, materialise, scratch
 
 
 @dataclass
@@ -23,6 +23,18 @@ class Analysis:
     features: FeatureModel
     detector: AnomalyDetector
     elapsed_ms: float
+    rejected: DataFrame | None = None
+    stored: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Remove the tables of this run from the shared folder; results cannot be read afterwards."""
+        discard(self.results.sparkSession, self.stored)
+
+    def __enter__(self) -> "Analysis":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     def summary(self) -> DataFrame:
         return report.run_summary(self.results, elapsed_ms=self.elapsed_ms)
@@ -61,10 +73,11 @@ def analyze_events(
     start = time.perf_counter()
     if events.isEmpty():
         raise NoEventsError("no log lines were found in the input")
-    unscaled, model = fit_features(events, **feature_options)
-    detector = detector or AnomalyDetector(contamination)
-    scored = detector.fit_score(model.scaled(unscaled), model.columns, keep=events.columns)
-    return Analysis(scored, model, detector, (time.perf_counter() - start) * 1000)
+    with scratch() as stored:
+        unscaled, model = fit_features(events, **feature_options)
+        detector = detector or AnomalyDetector(contamination)
+        scored = detector.fit_score(model.scaled(unscaled), model.columns, keep=events.columns)
+    return Analysis(scored, model, detector, (time.perf_counter() - start) * 1000, stored=stored)
 
 
 def analyze(
@@ -75,11 +88,18 @@ def analyze(
     feature_options: dict | None = None,
     **parse_options,
 ) -> Analysis:
-    """Parse files, then ``analyze_events``; the parsed table is stored once for all passes."""
+    """Parse files, then ``analyze_events``; the parsed table is stored once for all passes.
+
+    A named file of an unsupported type is an error; files left out of folders are in ``rejected``.
+    ``close`` the result (or use it in a ``with`` block) to remove the stored tables.
+    """
     start = time.perf_counter()
-    parsed: ParseResult = parse_log_file(spark, paths, **parse_options)
-    events = materialise(enforce_row_limit(parsed.events, max_rows), "events")
+    require_supported(spark, paths)
+    with scratch() as stored:
+        parsed: ParseResult = parse_log_file(spark, paths, **parse_options)
+        events = materialise(enforce_row_limit(parsed.events, max_rows), "events")
     run = analyze_events(events, contamination, **(feature_options or {}))
+    run.rejected, run.stored = parsed.rejected, [*stored, *run.stored]
     run.elapsed_ms = (time.perf_counter() - start) * 1000
     return run
 

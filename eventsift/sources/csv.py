@@ -2,7 +2,7 @@
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,9 @@ MISSING = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# Name of the column with records that have too many cells; headers cannot hold the control character.
+SURPLUS = "surplus\x1f"
+
 # Below this size a file is read by one task anyway, so quoted line breaks cost nothing.
 _ONE_TASK_BYTES = 128 * 1024 * 1024
 
@@ -23,20 +26,27 @@ def read_csv(
     max_bytes: int | None = None,
     same_header: bool = False,
     multi_line: bool | None = None,
+    wanted: Column | None = None,
 ) -> list[DataFrame]:
-    """One DataFrame per distinct header row: its columns as text, plus ``event_id, file, block_start``.
+    """One DataFrame per distinct header row: its columns as text, plus ``event_id, file, block_start``
+    and ``surplus``, the whole text of records with more cells than the header (else null).
 
-    ``same_header`` skips the look at every file's first row. ``multi_line=None`` decides by the
+    Folders are read to any depth; ``wanted`` (over ``file``) selects files.
+    ``same_header`` skips the look at every file's first row; a file with another header then fails. ``multi_line=None`` decides by the
     data: quoted line breaks force a file into one task, so files above 128 MiB are read in
     blocks when no quoted cell in them spans lines.
     """
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    reader = spark.read.option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     files = (
         reader.format("binaryFile")
         .load(paths)
         .select(F.col("path").alias("file"), "length")
         .filter("length > 0")
     )
+    if wanted is not None:
+        files = files.filter(wanted)
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
     big = F.col("length") > _ONE_TASK_BYTES
@@ -62,17 +72,35 @@ def read_csv(
 def _read_group(spark: SparkSession, names: list[str], header: str, one_task: bool) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", one_task).option("escape", '"')
     columns = _column_names(header)
+    record = _unused("_record", columns)
     if columns:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        fields = [T.StructField(c, T.StringType()) for c in [*columns, record]]
+        reader = reader.schema(T.StructType(fields)).option("columnNameOfCorruptRecord", record)
+    else:
+        reader = reader.option("enforceSchema", False)
     records = reader.csv(names)
+    surplus = F.lit(None).cast("string")
+    if columns:  # the reader marks records with too few cells as well; those are just padded
+        unquoted = F.regexp_replace(record, r'"([^"]|"")*"', "")
+        cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+        # The reader needs one real column besides the record, so the first one takes part.
+        present = F.coalesce(F.length(f"`{columns[0]}`"), F.lit(0)) >= 0
+        surplus = F.when((cells > len(columns)) & present, F.col(record))
     return records.select(
-        *[F.col(f"`{c}`").cast(T.StringType()).alias(c) for c in records.columns],
+        *[F.col(f"`{c}`").cast(T.StringType()).alias(c) for c in records.columns if c != record],
+        surplus.alias(SURPLUS),
         F.monotonically_increasing_id().alias("event_id"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
 
 
+def _unused(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def _column_names(header: str) -> list[str]:
     """Names of a header row; a repeated one, whatever its case, is numbered so that the first counts.
 

@@ -1,39 +1,90 @@
 """Input checks before a run."""
 
 import logging
+import re
+import urllib.parse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventsift.operators.ordered import event_positions
 from eventsift.sources.text import LINE_ORDER
 
-# Accepted extensions.
-ALLOWED_EXTENSIONS = [".log", ".txt", ".csv"]
-
 _log = logging.getLogger("eventsift")
 
+# Compressed files count by the extension before these.
+_PACKED = r"(\.(gz|bz2|deflate|lz4|snappy|zst))?$"
+TEXT_NAME = r"\.(log|txt)([.-]\d[\d.-]*)?" + _PACKED
+CSV_NAME = r"\.csv" + _PACKED
+
+
+class UnsupportedInputError(ValueError):
+    """A file named in the input is of a kind that runs do not take."""
+
+
+def normal_path(path: Column) -> Column:
+    """Paths come as ``file:/x`` or ``file:///x`` depending on the column."""
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
 
-def validate_input(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
-    """``path, length, reason`` of every file; ``reason`` is null for accepted ones.
 
-    Reads file listings only. ``max_bytes`` is off by default: large files are split.
+def _named(listed: list[str], paths: str | list[str]) -> list[str]:
+    """Those of ``listed`` that ``paths`` names as files, not as part of a folder or pattern."""
+    ends = tuple("/" + re.sub(r"^(\w+:)?/*", "", p.removeprefix("./")) for p in ([paths] if isinstance(paths, str) else paths))
+    return [name for name in listed if urllib.parse.unquote(name).endswith(ends) or name.endswith(ends)]
+
+
+def list_input(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """``path, length, named, kind, reason`` of every file, folders included to any depth.
+
+    kind: ``csv`` by name; ``text`` for ``.log`` and ``.txt`` (rotated or compressed ones too) and for every other
+    file that ``paths`` itself names. Each file is judged alone, whatever else is there; reason tells why a
+    file is not read (no kind, empty, or above ``max_bytes``, which is off by default: large files are
+    split). Only listings are read.
     """
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    # Scans skip empty files; the listing, which Spark keeps on the driver anyway, has them.
+    names = files.inputFiles()
+    named = set(_named(names, paths))
+    listed = spark.createDataFrame([(n, n in named) for n in names], "listed string, named boolean")
+    sized = files.select(normal_path(F.col("path")).alias("key"), F.col("length").alias("_length"))
+    found = listed.withColumn("key", normal_path(F.col("listed"))).join(sized, "key", "left").select(
+        F.col("listed").alias("path"), F.coalesce("_length", F.lit(0)).alias("length"), "named"
+    )
+    name = F.lower("path")
+    kind = F.when(name.rlike(CSV_NAME), "csv").when(name.rlike(TEXT_NAME) | F.col("named"), "text")
     too_big = F.col("length") > max_bytes if max_bytes is not None else F.lit(False)
+    found = found.withColumn("kind", kind)
     reason = (
-        F.when(~ext.isin(*ALLOWED_EXTENSIONS), F.concat(F.lit("unsupported file type '"), ext, F.lit("'")))
+        F.when(F.col("kind").isNull(), F.concat(F.lit("unsupported file type '"), _extension(), F.lit("'")))
         .when(F.col("length") == 0, "empty file")
         .when(too_big, f"larger than {max_bytes} bytes")
     )
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    # Scans skip empty files; the listing, which Spark keeps on the driver anyway, has them.
-    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "listed string")
-    key = {side: F.regexp_replace(side, r"^(\w+):/+", "$1:/") for side in ("listed", "path")}
-    sized = files.select(key["path"].alias("key"), F.col("length").alias("_length"))
-    found = listed.withColumn("key", key["listed"]).join(sized, "key", "left")
-    return found.select(
-        F.col("listed").alias("path"), F.coalesce("_length", F.lit(0)).alias("length")
-    ).withColumn("reason", reason)
+    return found.withColumn("reason", reason)
+
+
+def _extension() -> Column:
+    return F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
+
+
+def validate_input(spark: SparkSession, paths: str | list[str], max_bytes: int | None = None) -> DataFrame:
+    """``path, length, reason`` of every file; ``reason`` is null for accepted ones.
+
+    Stricter than reading: a named file needs a supported extension too.
+    """
+    listed = list_input(spark, paths, max_bytes)
+    name = F.lower("path")
+    odd = ~(name.rlike(CSV_NAME) | name.rlike(TEXT_NAME))
+    unsupported = F.concat(F.lit("unsupported file type '"), _extension(), F.lit("'"))
+    return listed.select("path", "length", F.when(odd, unsupported).otherwise(F.col("reason")).alias("reason"))
+
+
+def require_supported(spark: SparkSession, paths: str | list[str]) -> None:
+    """Raise if ``paths`` names a file of an unsupported type."""
+    name = F.lower("path")
+    odd = list_input(spark, paths).where("named").where(~(name.rlike(CSV_NAME) | name.rlike(TEXT_NAME)))
+    first = odd.select("path").orderBy("path").first()
+    if first:
+        raise UnsupportedInputError(f"unsupported file type: {first['path']}")
 
 
 def enforce_row_limit(events: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -41,4 +92,6 @@ def enforce_row_limit(events: DataFrame, max_rows: int | None = None) -> DataFra
     if max_rows is None:
         return events
     _log.warning("keeping the first %s events in file order", max_rows)
-    return events.orderBy(*[c for c in LINE_ORDER if c in events.columns]).limit(max_rows)
+    order = [c for c in LINE_ORDER if c in events.columns]
+    placed = event_positions(events, order, "_position")
+    return placed.filter(F.col("_position") < max_rows).drop("_position")

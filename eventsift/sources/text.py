@@ -20,17 +20,25 @@ def split_lines(text: Column) -> Column:
 
 
 def read_lines(
-    spark: SparkSession, paths: str | list[str], glob: str | None = None, max_bytes: int | None = None
+    spark: SparkSession,
+    paths: str | list[str],
+    glob: str | None = None,
+    max_bytes: int | None = None,
+    wanted: Column | None = None,
 ) -> DataFrame:
     """Non-blank lines: ``event_id, value, file, block_start``.
 
+    Folders are read to any depth. ``wanted`` (over ``file``) selects files; others are not opened.
+
     Bytes that are not UTF-8 become U+FFFD. Large files are read in blocks by many tasks;
     ``LINE_ORDER`` restores the order inside a file.
     """
-    reader = spark.read
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = with_file_fields(reader.text(paths))
+    if wanted is not None:
+        raw = raw.filter(wanted)
     if max_bytes is not None:
         raw = raw.filter(F.col("file_size") <= max_bytes)
     return to_lines(raw).select(F.monotonically_increasing_id().alias("event_id"), "value", "file", "block_start")

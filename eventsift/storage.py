@@ -1,12 +1,20 @@
 """Intermediate tables in the folder all executors share."""
 
 import contextlib
-import io
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open_scopes: list[list[str]] = []
+
+
+@functools.lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="eventsift-")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only on a local master."""
@@ -14,8 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        conf = tempfile.mkdtemp(prefix="eventsift-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        conf = _local_folder()
     return f"{conf.rstrip('/')}/eventsift-{spark.sparkContext.applicationId}"
 
 
@@ -23,24 +30,42 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Later passes then prune columns and skip the work behind ``df``, a lost executor costs
-    a re-read instead of a re-run, and values that depend on task layout stay fixed.
+    a re-read instead of a re-run, and values that depend on task layout stay fixed. Inside ``scratch`` the
+    table is listed for removal.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Collect the paths that ``materialise`` writes inside the block; ``discard`` removes them."""
+    paths: list[str] = []
+    _open_scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _open_scopes.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables nothing reads any more, on whatever file system they are."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when its plan has too few tasks, as with one small file.
+    """``df`` over all cores when it reads few files, as with one small file.
 
-    Tables of cluster size have more tasks than cores and are left as they are, and so are plans
-    with a shuffle, whose number of tasks only running them would tell.
+    Decided by the number of input files alone; tables of cluster size have more files than cores and are left as
+    they are, and so are plans without files.
     """
-    plan = io.StringIO()
-    with contextlib.redirect_stdout(plan):
-        df.explain()
-    if "Exchange" in plan.getvalue():
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files * 2 <= cores else df

@@ -4,17 +4,18 @@ import pytest
 
 from eventsift import enforce_row_limit, parse_csv_log, parse_log_file, parse_text_log, validate_input
 from eventsift.functions.lines import LineFormat, line_formats
+from eventsift.functions.times import csv_time
 from eventsift.operators.parse import canonicalise, format_votes, parse_lines
 from eventsift.sources.csv import read_csv
 from eventsift.sources.text import read_lines
 
 GENERIC = [
-    "2026-06-01 08:14:02 INFO  auth-service: user 4471 logged in",
-    "2026-06-01 08:14:05 ERROR auth-service: failed login attempt for user 4471",
+    "2026-03-09 17:40:12 INFO  billing: invoice 88 sent",
+    "2026-03-09 17:40:31 ERROR billing: invoice 89 bounced at the bank",
 ]
-SYSLOG = "Jun  1 08:14:02 web01 sshd[1234]: Accepted password for root"
-APACHE = '127.0.0.1 - - [01/Jun/2026:08:14:02 +0000] "GET /login HTTP/1.1" 401 512'
-JUNK = "this is not a recognizable log line at all"
+SYSLOG = "Mar  9 17:40:12 rack7 cron[51]: weekly report started"
+APACHE = '10.3.0.9 - - [09/Mar/2026:17:40:12 +0000] "PUT /cart/3 HTTP/1.1" 409 77'
+JUNK = "~~ watermelon, seven of them ~~"
 
 
 def _file(tmp_path, name, data):
@@ -31,9 +32,9 @@ def test_generic(spark, tmp_path):
     result = parse_text_log(spark, _file(tmp_path, "a.log", "\n".join(GENERIC)))
     rows = _events(result)
     assert [r.level for r in rows] == ["INFO", "ERROR"]
-    assert {r.source for r in rows} == {"auth-service"}
-    assert "logged in" in rows[0].message
-    assert rows[0].timestamp == dt.datetime(2026, 6, 1, 8, 14, 2)
+    assert {r.source for r in rows} == {"billing"}
+    assert "invoice 88" in rows[0].message
+    assert rows[0].timestamp == dt.datetime(2026, 3, 9, 17, 40, 12)
     total = result.totals().first()
     assert (total.total_lines, total.parsed_lines, total.fmt_detected, total.parse_rate) == (2, 2, "generic", 1.0)
 
@@ -41,18 +42,18 @@ def test_generic(spark, tmp_path):
 def test_syslog(spark, tmp_path):
     path = _file(tmp_path, "a.log", SYSLOG)
     (row,) = _events(parse_text_log(spark, path))
-    assert (row.source, row.level, row.timestamp) == ("web01", "INFO", None)
-    assert row.message == "sshd[1234]: Accepted password for root"
+    assert (row.source, row.level, row.timestamp) == ("rack7", "INFO", None)
+    assert row.message == "cron[51]: weekly report started"
     (row,) = _events(parse_text_log(spark, path, syslog_year=2026))
-    assert row.timestamp == dt.datetime(2026, 6, 1, 8, 14, 2)
+    assert row.timestamp == dt.datetime(2026, 3, 9, 17, 40, 12)
 
 
 def test_apache(spark, tmp_path):
     result = parse_text_log(spark, _file(tmp_path, "a.log", APACHE + ' "-" "agent \x01 x"'))
     (row,) = _events(result)
-    assert (row.level, row.source) == ("WARN", "127.0.0.1")
-    assert row.message == "GET /login HTTP/1.1 status=401 size=512"
-    assert row.timestamp == dt.datetime(2026, 6, 1, 8, 14, 2)
+    assert (row.level, row.source) == ("WARN", "10.3.0.9")
+    assert row.message == "PUT /cart/3 HTTP/1.1 status=409 size=77"
+    assert row.timestamp == dt.datetime(2026, 3, 9, 17, 40, 12)
     assert result.stats().first().fmt_detected == "apache_combined"
 
 
@@ -74,11 +75,11 @@ def test_empty_input(spark, tmp_path):
 @pytest.mark.parametrize(
     "line, expected",
     [
-        ("2026-06-01T08:14:02 notice {x}", ("INFO", "unknown", "{x}")),
-        ("2026-06-01 08:14:02 warn é1-x.y: ", ("WARN", "é1-x.y", "")),
-        ("2026-06-01 08:14:02 INFO src", ("INFO", "src", "")),
-        ("2026-06-01 08:14:02\x1fINFO a:b: c", ("INFO", "a", "b: c")),
-        ("2026-06-01 08:14:02 DEBUG a: tail \u0001 x", ("DEBUG", "a", "tail \u0001 x")),
+        ("2026-03-09T17:40:12 notice {x}", ("INFO", "unknown", "{x}")),
+        ("2026-03-09 17:40:12 warn é1-x.y: ", ("WARN", "é1-x.y", "")),
+        ("2026-03-09 17:40:12 INFO src", ("INFO", "src", "")),
+        ("2026-03-09 17:40:12\x1fINFO a:b: c", ("INFO", "a", "b: c")),
+        ("2026-03-09 17:40:12 DEBUG a: tail \u0001 x", ("DEBUG", "a", "tail \u0001 x")),
     ],
 )
 def test_generic_details(spark, line, expected):
@@ -88,10 +89,10 @@ def test_generic_details(spark, line, expected):
 
 
 def test_bad_times_become_null(spark):
-    texts = ["2026-13-01 08:14:02 INFO a: b", "2026-06-31 08:14:02 INFO a: b"]
+    texts = ["2026-13-01 17:40:12 INFO a: b", "2026-02-30 17:40:12 INFO a: b"]
     lines = spark.createDataFrame([(i, t, "f") for i, t in enumerate(texts)], "event_id long, value string, file string")
     assert [(r.parsed, r.timestamp) for r in parse_lines(lines).collect()] == [(True, None)] * 2
-    bad = APACHE.replace("01/Jun", "31/Jux")
+    bad = APACHE.replace("09/Mar", "31/Mrz")
     lines = spark.createDataFrame([(0, bad, "f")], "event_id long, value string, file string")
     assert [(r.parsed, r.timestamp) for r in parse_lines(lines).collect()] == [(True, None)]
 
@@ -121,7 +122,7 @@ def test_votes_use_the_first_25_lines(spark, tmp_path):
 
 
 def test_small_blocks_keep_order(spark, tmp_path):
-    path = _file(tmp_path, "a.log", "\n".join(f"2026-06-01 08:14:02 INFO s: {i}" for i in range(3000)))
+    path = _file(tmp_path, "a.log", "\n".join(f"2026-03-09 17:40:12 INFO s: {i}" for i in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
     try:
         lines = read_lines(spark, path)
@@ -143,23 +144,23 @@ def test_custom_format(spark):
     )
     lines = spark.createDataFrame([(0, "x|y", "f"), (1, SYSLOG, "f")], "event_id long, value string, file string")
     rows = sorted(parse_lines(lines, [*line_formats(), extra], detect="line").collect())
-    assert [(r.fmt, r.source) for r in rows] == [("pipe", "y"), ("syslog", "web01")]
+    assert [(r.fmt, r.source) for r in rows] == [("pipe", "y"), ("syslog", "rack7")]
 
 
 def test_csv(spark, tmp_path):
-    path = _file(tmp_path, "sample.csv", "timestamp,level,source,message\n2026-06-01 08:14:02,INFO,api,request ok\n")
+    path = _file(tmp_path, "sample.csv", "timestamp,level,source,message\n2026-03-09 17:40:12,INFO,shop,basket stored\n")
     result = parse_csv_log(spark, path)
     (row,) = _events(result)
-    assert (row.message, row.fmt, row.level) == ("request ok", "csv", "INFO")
+    assert (row.message, row.fmt, row.level) == ("basket stored", "csv", "INFO")
     assert result.totals().first().parse_rate == 1.0
 
 
 def test_csv_aliases_defaults_and_missing_cells(spark, tmp_path):
-    text = ' Time ,SEVERITY,Host,Log,host2\n06/01/2026 10:30,notice,NA,"a ""q"",\nb",1\n1780301642,,web,,2\nnever,error,,null,3\n'
+    text = ' Time ,SEVERITY,Host,Log,host2\n06/01/2026 10:30,notice,NA,"a ""q"",\nb",1\n1773078012,,web,,2\nnever,error,,null,3\n'
     rows = _events(parse_csv_log(spark, _file(tmp_path, "x.csv", text)))
     assert [(r.timestamp, r.level, r.source, r.message) for r in rows] == [
         (dt.datetime(2026, 6, 1, 10, 30), "NOTICE", "unknown", 'a "q",\nb'),
-        (dt.datetime(2026, 6, 1, 8, 14, 2), "INFO", "web", ""),
+        (dt.datetime(2026, 3, 9, 17, 40, 12), "INFO", "web", ""),
         (None, "ERROR", "unknown", ""),
     ]
 
@@ -170,9 +171,9 @@ def test_csv_without_known_columns(spark, tmp_path):
 
 
 def test_first_alias_wins_and_epoch_units(spark):
-    records = spark.createDataFrame([("1780301642000", "x", "y")], "Date string, msg string, text string")
+    records = spark.createDataFrame([("1773078012000", "x", "y")], "Date string, msg string, text string")
     (row,) = canonicalise(records, "ms").collect()
-    assert (row.timestamp, row.message) == (dt.datetime(2026, 6, 1, 8, 14, 2), "x")
+    assert (row.timestamp, row.message) == (dt.datetime(2026, 3, 9, 17, 40, 12), "x")
 
 
 def test_csv_repeated_names(spark, tmp_path):
@@ -201,7 +202,7 @@ def test_large_csv_is_split_only_without_spanning_cells(spark, tmp_path, monkeyp
 
 
 def test_dispatch_by_extension(spark, tmp_path):
-    csv = _file(tmp_path, "sample.CSV", "timestamp,level,source,message\n2026-06-01 08:14:02,INFO,api,request ok\n")
+    csv = _file(tmp_path, "sample.CSV", "timestamp,level,source,message\n2026-03-09 17:40:12,INFO,shop,basket stored\n")
     log = _file(tmp_path, "sample.LOG", GENERIC[0])
     other = _file(tmp_path, "sample.dat", SYSLOG)
     assert parse_log_file(spark, csv).totals().first().fmt_detected == "csv"
@@ -220,3 +221,92 @@ def test_validate_input(spark, tmp_path):
         "a.log": None, "b.TXT": "empty file", "c.exe": "unsupported file type '.exe'", "d.csv": "larger than 20 bytes",
     }
     assert all(r.reason is None or r.length == 0 or "exe" in r.reason for r in validate_input(spark, str(tmp_path)).collect())
+
+
+def _texts(result):
+    return sorted(r.message for r in result.events.collect())
+
+
+def test_named_files_are_read_whatever_their_name(spark, tmp_path):
+    paths = [_file(tmp_path, "x.csv", "time,msg\n2026-03-09 00:00:00,one\n"), _file(tmp_path, "app.log.1", "two\nthree\n")]
+    paths.append(_file(tmp_path, "notes.out", "four\n"))
+    result = parse_log_file(spark, paths)
+    assert _texts(result) == ["four", "one", "three", "two"]
+    assert result.rejected.count() == 0
+    assert len({r.event_id for r in result.events.collect()}) == 4
+
+
+@pytest.mark.parametrize("others", [1, 2])
+def test_each_file_of_a_folder_is_judged_alone(spark, tmp_path, others):
+    import gzip
+
+    deep = tmp_path / "logs" / "2026" / "03"
+    deep.mkdir(parents=True)
+    _file(deep, "x.log", "nested\n")
+    _file(tmp_path / "logs", "a.log", "top\n")
+    _file(tmp_path / "logs", "b.log.gz", gzip.compress(b"packed\n"))
+    _file(tmp_path / "logs" / "2026", "c.csv", "msg\nrecord\n")
+    _file(tmp_path / "logs", "empty.txt", "")
+    for i in range(others):
+        _file(tmp_path / "logs", f"core{i}.out", "binary\n")
+    result = parse_log_file(spark, str(tmp_path / "logs"))
+    assert _texts(result) == ["nested", "packed", "record", "top"]
+    reasons = sorted((r.path.rsplit("/", 1)[1], r.reason) for r in result.rejected.collect())
+    assert reasons == [*[(f"core{i}.out", "unsupported file type '.out'") for i in range(others)], ("empty.txt", "empty file")]
+
+
+def test_surplus_cells_are_kept(spark, tmp_path):
+    text = 'time,source,msg\n2026-03-09 00:00:00,a,hello, world and more\n2026-03-09 00:00:01,b,"x, ""y"""\n2026-03-09 00:00:02,c\n'
+    rows = sorted(parse_csv_log(spark, _file(tmp_path, "a.csv", text)).events.collect(), key=lambda r: r.timestamp)
+    assert [(r.source, r.message, r.parsed) for r in rows] == [
+        ("a", "2026-03-09 00:00:00,a,hello, world and more", False), ("b", 'x, "y"', True), ("c", "", True),
+    ]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("2026-03-09 08:00:00+02:00", "2026-03-09 06:00"),
+        ("2026-03-09T08:00:00Z", "2026-03-09 08:00"),
+        ("2026-03-09T08:00:00-0500", "2026-03-09 13:00"),
+        ("2026-03-09 08:00:00", "2026-03-09 08:00"),
+        ("2026-03-09", "2026-03-09 00:00"),
+        ("09/Mar/2026:08:00:00 +0100", "2026-03-09 07:00"),
+        ("Mar 9, 2026 08:00:00", "2026-03-09 08:00"),
+        ("03/09/2026 08:00 PM", "2026-03-09 20:00"),
+        ("20260309", "2026-03-09 00:00"),
+        ("1773043200", "2026-03-09 08:00"),
+        ("eight o'clock", None),
+    ],
+)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_csv_times(spark, text, expected, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(text,)], "t string")
+        got = frame.select(csv_time(frame.t).cast("string").alias("t")).first().t
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == (expected and f"{expected}:00")
+
+
+def test_unsupported_named_file_is_an_error(spark, tmp_path):
+    from eventsift import analyze
+    from eventsift.sources.guard import UnsupportedInputError
+
+    with pytest.raises(UnsupportedInputError, match="run.exe"):
+        analyze(spark, _file(tmp_path, "run.exe", "x\n"))
+
+
+def test_run_removes_its_tables(spark, tmp_path):
+    import os
+
+    from eventsift import analyze
+    from eventsift.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    lines = "\n".join(f"2026-03-09 17:{i // 60:02d}:{i % 60:02d} INFO s{i % 3}: step {i} of the run" for i in range(300))
+    with analyze(spark, _file(tmp_path, "a.log", lines)) as run:
+        assert run.top(5).count() <= 5 and set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
