@@ -160,11 +160,9 @@ def gram_matrix(events: DataFrame, vocabulary: Vocabulary, message: str = "messa
             [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(gram[i, j])], ["i", "j", "value"]
         )
 
-    messages = spread(events.select(message))
     # Every task sends up to 2 MB, so a very large table gets fewer, longer tasks.
     limit = max(_MAX_PARTIALS, 4 * events.sparkSession.sparkContext.defaultParallelism)
-    if messages.rdd.getNumPartitions() > limit:
-        messages = messages.coalesce(limit)
+    messages = spread(events.select(message)).coalesce(limit)
     found = messages.select(tokens(F.col(message)).alias("tokens"))
     return found.mapInArrow(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 

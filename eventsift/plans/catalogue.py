@@ -38,7 +38,7 @@ from eventsift.sources.guard import enforce_row_limit
 from eventsift.sources.text import split_lines
 from eventsift.storage import materialise, shared_dir, spread
 from eventsift.streaming.retraining import load_latest, retrain
-from eventsift.streaming.scoring import CarriedEvents, StreamWindows, sliding_counts
+from eventsift.streaming.scoring import CarriedEvents, StreamWindows, read_counts, sliding_counts, store_counts
 
 STOP_WORDS = ["the", "and", "of", "to", "der", "die", "und", "le", "la", "les", "de", "user"]
 SHARES = [0.02, 0.05, 0.1]
@@ -189,18 +189,39 @@ def csv_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder with text and CSV files at once."""
+    """A tree of folders with text (some of it compressed), CSV and other files at once."""
     path = _fresh_path(spark, "logs")
     events = log_events(spark, sf_dir)
-    events.filter("level = 'ERROR'").select(
-        F.concat(_second("timestamp"), F.lit(" ERROR "), "source", F.lit(": "), "message").alias("value")
-    ).write.text(path)
+    errors = events.filter("level = 'ERROR'").select(
+        "event_id", F.concat(_second("timestamp"), F.lit(" ERROR "), "source", F.lit(": "), "message").alias("value")
+    )
+    errors.filter("event_id % 2 = 0").select("value").write.text(f"{path}/2026/06")
+    errors.filter("event_id % 2 = 1").select("value").write.option("compression", "gzip").text(f"{path}/2026/07")
+    events.write.json(f"{path}/other")
     report.write_events(events.filter("level <> 'ERROR'"), path, mode="append")
     return parse_log_file(spark, path).events.select(*EVENT_FIELDS, "fmt")
 
 
+def csv_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of a CSV export in nine layouts, three of them with an offset, and a text that is no time."""
+    path, ts, k = _fresh_path(spark, "times"), F.col("ts").cast("timestamp"), F.col("event_id") % 10
+    layouts = [
+        "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss'-05:00'",
+        "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "MMM d, yyyy HH:mm:ss", "yyyyMMdd", "dd/MMM/yyyy:HH:mm:ss '+0000'",
+    ]
+    text = F.lit("some time")
+    for i, layout in enumerate(layouts):
+        text = F.when(k == i, F.date_format(ts, layout)).otherwise(text)
+    records = table(spark, sf_dir, "events").select(text.alias("time"), F.col("event_id").alias("msg"))
+    records.write.option("header", True).csv(path)
+    found = parse_csv_log(spark, path).events
+    return found.select(F.col("message").cast("bigint").alias("event_id"), "timestamp")
+
+
 def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enforce_row_limit(log_events(spark, sf_dir), 200_000)
+    """The first third of the events."""
+    events = log_events(spark, sf_dir)
+    return enforce_row_limit(events, events.count() // 3)
 
 
 # ---- features ---------------------------------------------------------------------------
@@ -478,21 +499,14 @@ def flag_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed 60 s windows of a stream over ``events``, every 10 s."""
+    """60 s windows of a stream over ``events``, every 10 s, the last open ones included."""
     out = _fresh_path(spark, "stream")
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     events = stream.select(F.col("ts").alias("timestamp"), _source().alias("source"))
-    query = (
-        sliding_counts(events, delay="10 minutes")
-        .writeStream.format("parquet")
-        .option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+    counts = sliding_counts(events, delay="10 minutes")
+    store_counts(counts, f"{out}/data", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return read_counts(spark, f"{out}/data")
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,8 +521,8 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         slice_ = F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")
         if i < 3:
             slice_ &= F.col("timestamp") < F.lit(end).cast("timestamp_ntz")
-        events.filter(slice_).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        events.filter(slice_).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     windows = StreamWindows(f"{path}/out", CarriedEvents(f"{path}/carried"))
     windows.start_on(stream, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", "gap_seconds", "trailing_count")
@@ -528,7 +542,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_generic, parse_syslog, parse_apache, parse_by_line, parse_fallback_stats, detect_format, document_lines,
-        text_files, csv_files, csv_canonicalise, log_folder, row_limit,
+        text_files, csv_files, csv_canonicalise, csv_times, log_folder, row_limit,
         calendar_features, severity_of_level, gap_same_source, rolling_count_60s, rolling_count_3600s, rolling_ties,
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
         tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features,

@@ -183,8 +183,7 @@ starts AS (
   SELECT source, ts, time_bucket(INTERVAL 10 SECOND, ts, TIMESTAMP '1970-01-01') - INTERVAL 10 SECOND * k AS window_start
   FROM src, range(6) r(k))
 SELECT source, window_start, window_start + INTERVAL 60 SECOND AS window_end, count(*) AS events FROM starts
-GROUP BY source, window_start
-HAVING window_start + INTERVAL 60 SECOND <= (SELECT date_trunc('millisecond', max(ts)) FROM src) - INTERVAL 10 MINUTE"""
+GROUP BY source, window_start"""
 
 ORACLES: dict[str, str] = {
     "parse_generic": _select(_GENERIC, "generic"),
@@ -209,7 +208,10 @@ SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(NULL AS VARCHAR) AS level, CA
     "log_folder": f"""WITH {_LOGS}
 SELECT CASE WHEN level = 'ERROR' THEN date_trunc('second', timestamp) ELSE timestamp END AS timestamp,
   level, source, message, CASE WHEN level = 'ERROR' THEN 'generic' ELSE 'csv' END AS fmt FROM logs""",
-    "row_limit": f"WITH {_LOGS} SELECT * EXCLUDE (value) FROM logs ORDER BY event_id LIMIT 200000",
+    "row_limit": f"WITH {_LOGS} SELECT * EXCLUDE (value) FROM logs ORDER BY event_id LIMIT (SELECT count(*) // 3 FROM events)",
+    "csv_times": """SELECT event_id, CAST(CASE event_id % 10 WHEN 7 THEN date_trunc('day', ts) WHEN 9 THEN NULL
+  ELSE date_trunc('second', ts) - CASE event_id % 10 WHEN 1 THEN INTERVAL 2 HOUR WHEN 3 THEN INTERVAL (-5) HOUR
+    ELSE INTERVAL 0 HOUR END END AS TIMESTAMP) AS timestamp FROM events""",
     "calendar_features": """SELECT event_id, CAST(hour(ts) AS DOUBLE) AS hour,
   CAST(isodow(ts) - 1 AS DOUBLE) AS day_of_week, CASE WHEN isodow(ts) >= 6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS is_weekend
 FROM events""",

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from eventsift.operators.behaviour import source_windows
+from eventsift.operators.ordered import event_positions
 from eventsift.operators.parse import parse_lines
 from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import FeatureModel
 from eventsift.plans.analysis import score_events
 from eventsift.schema import ROLLING_WINDOW_SECONDS
 from eventsift.sources.text import to_lines, with_file_fields
-from eventsift.storage import materialise
+from eventsift.storage import discard, materialise, scratch
 
 
 def read_line_stream(
@@ -31,6 +32,15 @@ def read_line_stream(
     return with_file_fields(reader.text(path))
 
 
+_BATCH_BITS = 36  # event numbers within a micro-batch
+
+
+def numbered(events: DataFrame, batch_id: int) -> DataFrame:
+    """Stored ``events`` with ids that no other micro-batch gives: the batch number above the row's position."""
+    placed = event_positions(events, ["event_id"], "_position")
+    return placed.withColumn("event_id", F.lit(batch_id << _BATCH_BITS) + F.col("_position")).drop("_position")
+
+
 def parse_batch(raw: DataFrame, **parse_options) -> DataFrame:
     """A micro-batch of raw lines to events; the layout is found per line unless ``fmt`` is given."""
     lines = to_lines(raw).withColumn("event_id", F.monotonically_increasing_id())
@@ -44,7 +54,8 @@ class CarriedEvents:
 
     Kept are events newer than the watermark (latest time seen minus ``delay_seconds``) minus the
     window, and the last event of every source. Later batches so see every earlier event inside
-    their windows unless it was later than the delay allows.
+    their windows unless it was later than the delay allows. An event dated ahead of the clock does
+    not move the watermark past it. Versions older than the one a restart needs are removed.
     """
 
     path: str
@@ -66,7 +77,9 @@ class CarriedEvents:
         known = carried.unionByName(
             batch.filter("source is not null and timestamp is not null").select("source", "timestamp")
         )
-        latest = known.agg(F.max("timestamp")).first()[0]
+        # In UTC, as all event times.
+        now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+        latest = known.agg(F.least(F.max("timestamp"), now)).first()[0]
         keep = known
         if latest is not None:
             reach = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(self.window_seconds + self.delay_seconds))
@@ -74,6 +87,8 @@ class CarriedEvents:
             last = known.filter(~recent).groupBy("source").agg(F.max("timestamp").alias("timestamp"))
             keep = known.filter(recent).unionByName(last)
         keep.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+        if batch_id > 1:  # a repeated batch reads the version before its own
+            discard(batch.sparkSession, [f"{self.path}/batch_id={batch_id - 2}"])
 
 
 @dataclass
@@ -89,13 +104,15 @@ class StreamWindows:
     max_group_rows: int = 2_000_000
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        events = materialise(batch, "batch")
-        carried = self.carried.before(batch.sparkSession, batch_id)
-        windows = source_windows(
-            self.carried.extend(events, carried), self.carried.window_seconds, self.max_group_rows
-        )
-        windows.filter("event_id >= 0").write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
-        self.carried.store(events, carried, batch_id)
+        with scratch() as stored:
+            events = materialise(batch, "batch")
+            carried = self.carried.before(batch.sparkSession, batch_id)
+            windows = source_windows(
+                self.carried.extend(events, carried), self.carried.window_seconds, self.max_group_rows
+            )
+            windows.filter("event_id >= 0").write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
+            self.carried.store(events, carried, batch_id)
+        discard(batch.sparkSession, stored)
 
     def start_on(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
@@ -116,13 +133,17 @@ class StreamScorer:
     parse_options: dict | None = None
 
     def __call__(self, raw: DataFrame, batch_id: int) -> None:
-        events = parse_batch(raw, **(self.parse_options or {})) if "value" in raw.columns else raw
-        events = materialise(events, "batch")
-        carried = self.carried.before(raw.sparkSession, batch_id)
-        scored = score_events(self.carried.extend(events, carried), self.features, self.detector)
-        own = scored.filter("event_id >= 0").withColumn("date", F.to_date("timestamp"))
-        own.write.mode("overwrite").partitionBy("date").parquet(f"{self.output}/batch_id={batch_id}")
-        self.carried.store(events, carried, batch_id)
+        with scratch() as stored:
+            events = parse_batch(raw, **(self.parse_options or {})) if "value" in raw.columns else raw
+            events = materialise(events, "batch")
+            if "value" in raw.columns:
+                events = materialise(numbered(events, batch_id), "batch")
+            carried = self.carried.before(raw.sparkSession, batch_id)
+            scored = score_events(self.carried.extend(events, carried), self.features, self.detector)
+            own = scored.filter("event_id >= 0").withColumn("date", F.to_date("timestamp"))
+            own.write.mode("overwrite").partitionBy("date").parquet(f"{self.output}/batch_id={batch_id}")
+            self.carried.store(events, carried, batch_id)
+        discard(raw.sparkSession, stored)
 
     def start_on(self, stream: DataFrame, checkpoint: str) -> DataStreamWriter:
         """A configured writer; the caller sets the trigger and starts it."""
@@ -149,3 +170,18 @@ def sliding_counts(
             "events",
         )
     )
+
+
+def store_counts(counts: DataFrame, output: str, checkpoint: str) -> DataStreamWriter:
+    """Write every change of ``sliding_counts`` to ``output``, windows that are still open included."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+
+    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def read_counts(spark: SparkSession, output: str) -> DataFrame:
+    """The latest count of every window that ``store_counts`` has written."""
+    latest = F.max_by("events", "batch_id").alias("events")
+    return spark.read.parquet(output).groupBy("source", "window_start", "window_end").agg(latest)
