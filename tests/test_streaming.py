@@ -7,7 +7,15 @@ from eventsift import analyze_events
 from eventsift.operators.behaviour import source_windows
 from eventsift.plans.analysis import load_models, score_events
 from eventsift.streaming.retraining import load_latest, retrain
-from eventsift.streaming.scoring import CarriedEvents, StreamScorer, parse_batch, read_line_stream, sliding_counts
+from eventsift.streaming.scoring import (
+    CarriedEvents,
+    StreamScorer,
+    parse_batch,
+    read_counts,
+    read_line_stream,
+    sliding_counts,
+    store_counts,
+)
 
 START = dt.datetime(2026, 6, 1, 8, 0, 0)
 
@@ -43,6 +51,9 @@ def test_stream_scores_equal_one_batch(spark, tmp_path):
     assert out.select("batch_id").distinct().count() == 3
     got = {(r.timestamp, r.source): r.anomaly_score for r in out.collect()}
     assert got == expected
+    assert out.select("event_id").distinct().count() == 120
+    # only the versions that a restart may need are left, and no table of a batch
+    assert sorted(d for d in os.listdir(tmp_path / "state") if d.startswith("batch")) == ["batch_id=1", "batch_id=2"]
 
 
 def test_carried_events_answer_windows(spark, tmp_path):
@@ -61,22 +72,28 @@ def test_carried_events_answer_windows(spark, tmp_path):
     assert got == whole
 
 
+def test_an_event_ahead_of_the_clock_does_not_empty_the_windows(spark, tmp_path):
+    schema = "event_id long, timestamp timestamp_ntz, source string"
+    now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    rows = [(i, now + dt.timedelta(seconds=i), "s") for i in range(6)]
+    carried = CarriedEvents(str(tmp_path / "state"))
+    first = [*rows[:5], (99, dt.datetime(2099, 1, 1), "other")]
+    carried.store(spark.createDataFrame(first, schema), carried.before(spark, 0), 0)
+    batch = carried.extend(spark.createDataFrame(rows[5:], schema), carried.before(spark, 1))
+    (row,) = source_windows(batch).filter("event_id >= 0").collect()
+    assert row.trailing_count == 6
+
+
 def test_sliding_counts(spark, tmp_path):
     rows = [(START + dt.timedelta(seconds=30 * i), "s") for i in range(100)]
     spark.createDataFrame(rows, "timestamp timestamp_ntz, source string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("timestamp timestamp_ntz, source string").parquet(str(tmp_path / "in"))
-    query = (
-        sliding_counts(stream, delay="1 minute")
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "ck"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    counts = {r.window_end: r.events for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert counts[START + dt.timedelta(seconds=600)] == 2
-    assert len(counts) > 200
+    counts = sliding_counts(stream, delay="1 minute")
+    store_counts(counts, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    found = {r.window_end: r.events for r in read_counts(spark, str(tmp_path / "out")).collect()}
+    assert found[START + dt.timedelta(seconds=600)] == 2
+    # every event is in six windows, the last ones too
+    assert sum(found.values()) == 600 and max(found) == rows[-1][0] + dt.timedelta(seconds=60)
 
 
 def test_retrain_versions(spark, tmp_path):
