@@ -3,6 +3,7 @@
 Liu, Ting and Zhou: Isolation Forest, ICDM 2008.
 """
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -76,7 +77,13 @@ def sample_trees(
     )
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
+def _draws(seed: int, tree: int, node: int) -> tuple[float, float]:
+    """Two uniform numbers in [0, 1) of a node: they depend on nothing else, so any engine can repeat a tree."""
+    digits = hashlib.md5(f"{seed}-{tree}-{node}".encode()).hexdigest()
+    return int(digits[:12], 16) / 2**48, int(digits[12:24], 16) / 2**48
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, limit: int) -> list[tuple]:
     """Nodes of one tree, numbered like a binary heap: the children of i are 2i+1 and 2i+2."""
     nodes = []
     todo = [(0, 0, x)]
@@ -89,8 +96,9 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         if len(open_features) == 0:
             nodes.append((node, -1, 0.0, len(part), depth))
             continue
-        feature = int(open_features[rng.integers(len(open_features))])
-        cut = rng.uniform(low[feature], high[feature])
+        pick, share = _draws(seed, tree, node)
+        feature = int(open_features[int(pick * len(open_features))])
+        cut = low[feature] + share * (high[feature] - low[feature])
         if cut >= high[feature]:
             cut = low[feature]
         left = part[:, feature] <= cut
@@ -106,7 +114,7 @@ def fit_nodes(samples: DataFrame, features: list[str], max_samples: int, seed: i
 
     def fit_tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample_key", kind="stable")
-        nodes = _grow(rows[features].to_numpy(dtype=float), np.random.default_rng([seed, int(key[0])]), limit)
+        nodes = _grow(rows[features].to_numpy(dtype=float), seed, int(key[0]), limit)
         out = pd.DataFrame(nodes, columns=["node_id", "feature", "threshold", "n_samples", "depth"])
         out.insert(0, "tree_id", int(key[0]))
         return out

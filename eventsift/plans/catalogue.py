@@ -15,7 +15,7 @@ from eventsift.functions import fields
 from eventsift.functions.lines import line_formats, not_blank
 from eventsift.operators import report, text
 from eventsift.operators.behaviour import source_windows
-from eventsift.operators.forest import Forest, sample_trees
+from eventsift.operators.forest import NODE_SCHEMA, Forest, fit_forest, sample_trees
 from eventsift.operators.lof import local_outlier_factor
 from eventsift.operators.ordered import event_positions
 from eventsift.operators.parse import (
@@ -391,12 +391,35 @@ def detect_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze_events(log_events(spark, sf_dir)).results.select("event_id", *EVENT_FIELDS, "anomaly_score", "is_anomaly")
 
 
+def _forest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven standardised numeric features, to six places so that every engine cuts the same values."""
+    return materialise(standardise_features(spark, sf_dir), "rounded")
+
+
+def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 trees fitted on all events."""
+    table_ = _forest_table(spark, sf_dir)
+    forest = fit_forest(table_, NUMERIC_FEATURES, table_.count())
+    nodes = spark.createDataFrame(forest.nodes, NODE_SCHEMA)
+    return nodes.withColumn("threshold", F.round("threshold", 9))
+
+
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events scored by the forest fitted on them."""
+    table_ = _forest_table(spark, sf_dir)
+    scored = AnomalyDetector().fit(table_, NUMERIC_FEATURES).raw_scores(table_)
+    return scored.select("event_id", F.round("raw_score", 9).alias("raw_score"))
+
+
 def detection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What holds for any forest: the share of flags and the ends of the scale."""
-    results = analyze_events(log_events(spark, sf_dir)).results
+    """Flags and scale of a detection on the numeric features."""
+    table_ = _forest_table(spark, sf_dir)
+    results = AnomalyDetector().fit_score(table_, NUMERIC_FEATURES)
     return results.agg(
         F.count("*").alias("events"),
         F.count_if("is_anomaly").alias("flagged"),
+        F.sum(F.when(F.col("is_anomaly"), F.col("event_id"))).alias("flagged_ids"),
+        F.round(F.avg("anomaly_score"), 2).alias("mean_score"),
         F.min("anomaly_score").alias("lowest"),
         F.max("anomaly_score").alias("highest"),
     )
@@ -547,7 +570,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
         tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features,
         forest_sample, forest_score_fixed, score_rescale, contamination_flags, contamination_counts, exact_thresholds,
-        detect_anomalies, detection_counts, model_roundtrip,
+        forest_nodes, forest_scores, detect_anomalies, detection_counts, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
         label_metrics, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
         stream_windows, retrained_scores,

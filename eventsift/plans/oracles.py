@@ -135,6 +135,49 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY round_no ORDER BY sample_ke
 SELECT CAST(round_no * per_round + n // size AS INTEGER) AS tree_id, event_id, sample_key FROM ranked
 WHERE n < per_round * size AND round_no * per_round + n // size < 200"""
 
+# Trees over the rounded features: every node draws its feature and cut from md5(seed, tree, node).
+_ROUNDED = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6)" for c in _SCALED)
+_LOW = ", ".join(f"min(x[{i}]) OVER node" for i in range(1, 8))
+_HIGH = ", ".join(f"max(x[{i}]) OVER node" for i in range(1, 8))
+
+
+def _draw(start: int) -> str:
+    digits = f"substr(md5(concat('42-', tree_id, '-', node_id)), {start}, 12)"
+    return f"(CAST(concat('0x', {digits}) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+_SPLIT = f"""SELECT *, CASE WHEN cut0 >= high[f] THEN low[f] ELSE cut0 END AS cut FROM (
+  SELECT *, low[f] + {_draw(13)} * (high[f] - low[f]) AS cut0 FROM (
+    SELECT *, CASE WHEN depth < (SELECT max_depth FROM bounds) AND n > 1 THEN open[1 + CAST(floor({_draw(1)} * len(open)) AS BIGINT)] END AS f
+    FROM (
+      SELECT *, list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: high[i] > low[i] + 1e-7) AS open FROM (
+        SELECT *, [{_LOW}] AS low, [{_HIGH}] AS high, count(*) OVER node AS n FROM grown
+        WINDOW node AS (PARTITION BY tree_id, node_id)))))"""
+_TREES = f"""{_FEATURES.replace("WITH ", "WITH RECURSIVE ", 1)},
+matrix AS (SELECT event_id, [{_ROUNDED}] AS x FROM features),
+sample AS ({_SAMPLE}),
+bounds AS (SELECT least(256, count(*)) AS size, CAST(ceil(log2(greatest(least(256, count(*)), 2))) AS INTEGER) AS max_depth FROM events),
+grown AS (
+  SELECT tree_id, CAST(0 AS BIGINT) AS node_id, 0 AS depth, x FROM sample JOIN matrix USING (event_id)
+  UNION ALL
+  SELECT tree_id, 2 * node_id + CASE WHEN x[f] <= cut THEN 1 ELSE 2 END, depth + 1, x FROM ({_SPLIT}) WHERE f IS NOT NULL),
+nodes AS (
+  SELECT tree_id, CAST(node_id AS INTEGER) AS node_id, CAST(coalesce(any_value(f), 0) - 1 AS INTEGER) AS feature,
+    coalesce(any_value(CASE WHEN f IS NOT NULL THEN cut END), 0.0::DOUBLE) AS threshold,
+    CAST(count(*) AS INTEGER) AS n_samples, any_value(depth) AS depth
+  FROM ({_SPLIT}) GROUP BY tree_id, node_id)"""
+_LENGTH = "CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} END"
+_SCORES = f"""{_TREES},
+walked AS (
+  SELECT event_id, x, tree_id, feature, threshold, n_samples, node_id, depth FROM matrix, nodes WHERE node_id = 0
+  UNION ALL
+  SELECT w.event_id, w.x, w.tree_id, k.feature, k.threshold, k.n_samples, k.node_id, k.depth FROM walked w JOIN nodes k
+  ON k.tree_id = w.tree_id AND k.node_id = 2 * w.node_id + CASE WHEN w.x[w.feature + 1] <= w.threshold THEN 1 ELSE 2 END
+  WHERE w.feature >= 0),
+scores AS (
+  SELECT event_id, round(pow(2, -sum(depth + {_LENGTH.format(n="n_samples")})
+    / (200 * (SELECT {_LENGTH.format(n="size")} FROM bounds))), 9) AS raw FROM walked WHERE feature < 0 GROUP BY event_id)"""
+
 # c(n), the mean depth among n points, for the leaf sizes of the fixed trees.
 _C3 = "(2 * (ln(2) + 0.5772156649015329) - 4.0 / 3)"
 _C4 = "(2 * (ln(3) + 0.5772156649015329) - 6.0 / 4)"
@@ -250,8 +293,13 @@ FROM weights a JOIN weights b ON a.doc_id = b.doc_id AND a.term_idx <= b.term_id
         f"SELECT {p}::DOUBLE AS prob, round(quantile_cont(l_extendedprice::DOUBLE, {p}), 6) AS value FROM lineitem"
         for p in (0.01, 0.05, 0.5, 0.95, 0.999)
     ),
-    "detection_counts": "SELECT count(*) AS events, CAST(ceil(0.05 * (count(*) - 1)) AS BIGINT) AS flagged, "
-    "0.0::DOUBLE AS lowest, 100.0::DOUBLE AS highest FROM events",
+    "forest_nodes": f"{_TREES} SELECT * REPLACE (round(threshold, 9) AS threshold) FROM nodes",
+    "forest_scores": f"{_SCORES} SELECT event_id, raw AS raw_score FROM scores",
+    "detection_counts": f"""{_SCORES}, marked AS (
+  SELECT *, raw > (SELECT -quantile_cont(-raw, 0.05) FROM scores) AS f,
+    100 * (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()) AS share FROM scores)
+SELECT count(*) AS events, count(*) FILTER (f) AS flagged, CAST(sum(event_id) FILTER (f) AS BIGINT) AS flagged_ids,
+  round(avg(share), 2) AS mean_score, round(min(share), 2) AS lowest, round(max(share), 2) AS highest FROM marked""",
     "model_roundtrip": "SELECT count(*) AS events, count(*) AS equal_scores FROM events",
     "run_summary": f"""WITH {_Z} SELECT count(*) AS total_events, count(*) FILTER (is_anomaly) AS anomaly_count,
   round_even(count(*) FILTER (is_anomaly) / count(*) * 100, 2) AS anomaly_rate, 'csv' AS detected_format,
