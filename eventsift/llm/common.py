@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,6 +43,13 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_TO_SPACE).split() if text else []
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` through ``function``, one Arrow batch at a time."""
 
@@ -57,15 +63,13 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-@functools.lru_cache(maxsize=4)
 def load_tokenizer(path: str):
-    """The tokenizer of a file, once per Python worker."""
+    """The tokenizer of a file; tasks load it once or a few times, in well under a second."""
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(maxsize=1)
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies.
 

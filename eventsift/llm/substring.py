@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventsift.llm.common import words_of
+from eventsift.llm.common import slices, words_of
 from eventsift.storage import materialise
 
 _PHRASE = 8  # words of a phrase
@@ -23,7 +23,7 @@ _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -67,7 +67,7 @@ def _profiles(docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches, 1024):
             n, digests, anchors = [], [], []
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
@@ -88,7 +88,7 @@ def _packed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches, 1024):
             joined = [b" ".join(words_of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,7 +111,7 @@ def _phrases(candidates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             shards, phrases = [], []
             for packed, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _unpack(packed)
@@ -138,12 +138,12 @@ def _locate(window: int):
             for phrase in set(right.column("phrase").to_pylist()):
                 automaton.add_word(f" {phrase} ", 1)
             automaton.make_automaton()
-            for row in left.select(["shard", "key", "digest", "packed"]).to_batches():
-                for shard, key, digest, packed in zip(*[c.to_pylist() for c in row.columns], strict=True):
+            for part in slices(left.select(["shard", "key", "digest", "packed"]).to_batches()):
+                for shard, key, digest, packed in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     words = _unpack(packed)
                     text = " " + b" ".join(words).decode() + " "
                     ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-                    if not len(ends):
+                    if not len(ends) or len(words) < window:
                         continue
                     stops = np.cumsum([len(w.decode()) + 1 for w in words])
                     at = np.searchsorted(stops, ends) - _PHRASE + 1
@@ -167,12 +167,12 @@ def _cut(found: DataFrame, window: int) -> DataFrame:
     """(key, digest, n_removed, kept) from packed words and the starts of the windows to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, kept = [], []
-            for packed, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                words = _unpack(packed)
+            for packed, found_ in zip(batch.column(2), batch.column(3), strict=True):
+                words = _unpack(packed.as_py())
                 marks = np.zeros(len(words) + 1, np.int64)
-                starts = np.unique(np.array(starts))
+                starts = np.unique(found_.values.to_numpy())
                 marks[starts] += 1
                 marks[starts + window] -= 1
                 gone = np.cumsum(marks)[:-1] > 0
@@ -249,7 +249,7 @@ def repeated_passages(
         windows.join(earliest.where("first < last").select("shard", "hash", "first"), ["shard", "hash"])
         .where("key > first")
         .groupBy("key", "digest")
-        .agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
+        .agg(F.collect_list(F.col("start") + F.col("i")).alias("starts"))
     )
     cut = materialise(_cut(candidates.select("key", "digest", "packed").join(later, ["key", "digest"]), window), "cut")
     copies = F.coalesce(F.col("key") > F.col("first"), F.lit(False))
