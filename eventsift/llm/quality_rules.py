@@ -13,15 +13,21 @@ _WINDOW = 8
 
 def words(text: Column) -> Column:
     """Words between runs of ASCII white space; an empty array for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{_SPACE}|{_SPACE}\z", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
 
 
+def _neighbours(hashes: str, step: int) -> Column:
+    """One hash for every two elements ``step`` apart."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, step + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
 _STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _measured(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """_row with the ``columns`` of ``docs``, _words, and the statistics."""
+    """_row with the ``columns`` of ``docs``, _hashes of all words, _pairs of neighbours, and the statistics."""
     source = docs.select(
         F.struct(*columns).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_text"), words(docs[text]).alias("_words")
     )
@@ -33,19 +39,16 @@ def _measured(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
         F.length(F.regexp_replace("_text", "[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         lines.alias("_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
-    ).drop("_text")
-    starts = F.when(
-        F.size("_hashes") >= _WINDOW,
-        F.transform(
-            F.sequence(F.lit(1), F.size("_hashes") - (_WINDOW - 1)),
-            lambda i: F.xxhash64(F.slice("_hashes", i, _WINDOW)),
-        ),
-    )
+    ).drop("_text", "_words")
     source = source.select(
         "*",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
-        starts.alias("_windows"),
-    ).drop("_lines", "_hashes")
+        _neighbours("_hashes", 1).alias("_pairs"),
+    ).drop("_lines")
+    # a text without equal runs of four words has no equal runs of eight
+    source = source.withColumn("_fours", _neighbours("_pairs", 2))
+    eights = F.when(F.size("_fours") > F.size(F.array_distinct("_fours")), _neighbours("_fours", 4))
+    source = source.withColumn("_windows", eights).drop("_fours")
     # sorted by hash, equal windows are neighbours; only texts with such windows are sorted at all
     repeats = F.size("_windows") > F.size(F.array_distinct("_windows"))
     ordered = F.when(repeats, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -76,14 +79,8 @@ def statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return _measured(docs, text, columns).select("_row.*", *_STATISTICS)
 
 
-def buckets(words_: str, size: int) -> Column:
-    """Hash buckets of all words (below ``size``) and of all pairs of neighbouring words (from ``size``)."""
-    single = F.transform(words_, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.size(words_) - 2),
-        lambda i: (F.pmod(F.xxhash64(F.get(words_, i), F.get(words_, i + 1)), F.lit(size)) + size).cast("int"),
-    )
-    return F.when(F.size(words_) > 1, F.concat(single, pairs)).otherwise(single)
+def _bucket(hashed: Column, size: int) -> Column:
+    return hashed.bitwiseAND(F.lit(size - 1)).cast("int")
 
 
 def likelihood_ratios(
@@ -95,7 +92,7 @@ def likelihood_ratios(
     smoothing: float = 1.0,
     max_trusted: int = 20_000,
 ) -> DataFrame:
-    """One row, ratios: by bucket the log of its share among trusted documents over its share in the corpus.
+    """One row, ratios: for ``size`` (a power of two) buckets of words, then of neighbouring pairs, the log of its share among trusted documents over its share in the corpus.
 
     The corpus counts cover all of ``docs``. The trusted target is a bounded sample: the ``max_trusted``
     keys of ``trusted`` of least hash. Shares are smoothed by ``smoothing`` counts per bucket.
@@ -105,8 +102,12 @@ def likelihood_ratios(
         .orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(max_trusted).withColumn("_trusted", F.lit(1))
     )
     source = docs.select(F.col(key).alias("_key"), words(docs[text]).alias("_words")).join(F.broadcast(picked), "_key", "left")
+    source = source.select("_trusted", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
+    following = F.slice("_hashes", 2, F.greatest(F.size("_hashes") - 1, F.lit(0)))  # the last word has none
+    terms = source.select("_trusted", F.inline(F.arrays_zip(F.col("_hashes").alias("a"), following.alias("b"))))
+    found = F.array(_bucket(F.col("a"), size), F.when(F.col("b").isNotNull(), _bucket(F.xxhash64("a", "b"), size) + size))
     counts = (
-        source.select(F.explode(buckets("_words", size)).alias("bucket"), "_trusted")
+        terms.select("_trusted", F.explode(found).alias("bucket")).where("bucket is not null")
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
     )
     counts = materialise(counts.coalesce(8), "buckets")
@@ -145,13 +146,15 @@ def judge(
     added = (*_STATISTICS, "score", "base_failed", "kept")
     columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
     table = ratios.select("ratios").scalar()
-    found = _measured(docs, text, columns).withColumn("_buckets", buckets("_words", size)).withColumn("_ratios", table)
-    total = F.aggregate("_buckets", F.lit(0.0), lambda acc, b: acc + F.get("_ratios", b))
+    found = _measured(docs, text, columns).withColumn("_ratios", table)
+    single = F.aggregate("_hashes", F.lit(0.0), lambda acc, h: acc + F.get("_ratios", _bucket(h, size)))
+    pairs = F.aggregate("_pairs", F.lit(0.0), lambda acc, h: acc + F.get("_ratios", _bucket(h, size) + size))
+    terms = F.size("_hashes") + F.size("_pairs")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     found = found.select(
         "_row",
         *_STATISTICS,
-        F.when(F.size("_buckets") > 0, total / F.size("_buckets")).alias("score"),
+        F.when(terms > 0, (single + pairs) / terms).alias("score"),
         failed.alias("base_failed"),
     )
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False))
