@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from eventsift.storage import materialise
 
-_BLANK = r"^[\x20\x09-\x0D]*$"
-
-
 def _trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def shared_lines(
@@ -35,7 +32,7 @@ def shared_lines(
         F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("")).alias("site"),
         F.col(key).alias("key"),
         F.explode(F.split(text, "\n")).alias("line"),
-    ).where(~F.col("line").rlike(_BLANK)).select(F.xxhash64(_trimmed(F.col("line"))).alias("line_hash"), "site", "key")
+    ).select(_trimmed(F.col("line")).alias("line"), "site", "key").where("line <> ''").select(F.xxhash64("line").alias("line_hash"), "site", "key")
     spread = lines.groupBy("line_hash").agg(
         F.hll_sketch_agg("site", F.lit(log_size)).alias("sketch"), F.min("key").alias("first_key")
     ).select("line_hash", "first_key", F.hll_sketch_estimate("sketch").alias("sites"))
