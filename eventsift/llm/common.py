@@ -50,6 +50,28 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def text_first(docs: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """The text of ``docs`` under a name that none of the ``kept`` columns has, then these."""
+    name = "_text"
+    while name in {c.lower() for c in kept}:
+        name += "_"
+    return docs.select(docs[text].alias(name), *kept)
+
+
+def keeping_columns(docs: DataFrame, added: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of ``docs`` after ``step``, which adds columns ``added``; own columns of these names survive."""
+    away, taken = {}, {c.lower() for c in [*docs.columns, *added]}
+    for column in docs.columns:
+        if column.lower() in {a.lower() for a in added}:
+            name = column
+            while name.lower() in taken:
+                name += "_"
+            away[column] = name
+            taken.add(name.lower())
+    after = step(docs.withColumnsRenamed(away) if away else docs)
+    return after.select(*[after[away.get(c, c)].alias(c) for c in docs.columns])
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``df`` through ``function``, one Arrow batch at a time."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended, plain_words
+from eventsift.llm.common import extended, keeping_columns, plain_words, text_first
 
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
 
@@ -222,11 +222,8 @@ def match_items(
     )
     schema = extended(docs.select(*kept), matches=T.ArrayType(struct))
     rows = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where("k is not null").orderBy("k", "t").toLocalIterator()
-    own = "_text"
-    while own in kept:
-        own += "_"
-    found = docs.select(docs[text].alias(own), *kept, F.lit(None).cast(T.ArrayType(struct)).alias("matches"))
-    with_text = T.StructType([T.StructField(own, T.StringType()), *schema.fields])
+    found = text_first(docs, text, kept).withColumn("matches", F.lit(None).cast(T.ArrayType(struct)))
+    with_text = T.StructType([found.schema.fields[0], *schema.fields])
     while block := list(itertools.islice(rows, block_items)):
         seeds = Seeds.of([r["t"] for r in block], n)
         rare = _rare(seeds, *_word_counts(docs, text, seeds), rare_share)
@@ -255,4 +252,4 @@ def _with_matches(found: DataFrame, seeds: Seeds, rare: np.ndarray, keys: list,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    return match_items(docs, items, **how).where(F.size("matches") == 0).drop("matches")
+    return keeping_columns(docs, ["matches"], lambda d: match_items(d, items, **how).where(F.size("matches") == 0))

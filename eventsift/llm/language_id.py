@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended
+from eventsift.llm.common import extended, text_first
 
 UNDETERMINED = "und"
 _CHUNK = 8192
@@ -109,4 +109,4 @@ def identify(
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], [*kept, *names])
 
     schema = extended(docs.select(*kept), lang_pred=T.StringType(), score=T.DoubleType(), accepted=T.BooleanType())
-    return docs.select(docs[text].alias("_text"), *kept).mapInArrow(run, schema)
+    return text_first(docs, text, kept).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended
+from eventsift.llm.common import extended, text_first
 
 _BITS = 16
 _EXTRA = 3  # shares of: words equal to the word before, words met before, lines met before
@@ -169,7 +169,7 @@ def rate(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: list[st
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], [*kept, "expected_grade", "tails"])
 
     schema = extended(docs.select(*kept), expected_grade=T.DoubleType(), tails=T.ArrayType(T.DoubleType()))
-    return docs.select(docs[text].alias("_text"), *kept).mapInArrow(run, schema)
+    return text_first(docs, text, kept).mapInArrow(run, schema)
 
 
 def select(docs: DataFrame, model: OrdinalModel, at_least: int = 1, probability: float = 0.5, **how) -> DataFrame:

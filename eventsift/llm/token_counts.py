@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import byte_letters, extended, is_plain, load_tokenizer
+from eventsift.llm.common import byte_letters, extended, is_plain, load_tokenizer, text_first
 
 # Letters and numbers below U+0250 as the pre-token pattern of byte-level BPE has them.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -114,4 +114,4 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], [*kept, *names])
 
     schema = extended(docs.select(*kept), n_bytes=T.LongType(), n_tokens=T.LongType(), over_limit=T.BooleanType())
-    return docs.select(docs[text].alias("_text"), *kept).mapInArrow(run, schema)
+    return text_first(docs, text, kept).mapInArrow(run, schema)

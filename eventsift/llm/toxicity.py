@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended, plain_words
+from eventsift.llm.common import extended, plain_words, text_first
 
 def terms(text: str | None) -> set[bytes]:
     """Distinct lower-case words, cut at ASCII punctuation."""
@@ -179,4 +179,4 @@ def score(
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], [*kept, "score", "predicted"])
 
     schema = extended(docs.select(*kept), score=T.DoubleType(), predicted=T.IntegerType())
-    return docs.select(docs[text].alias("_text"), *kept).mapInArrow(run, schema)
+    return text_first(docs, text, kept).mapInArrow(run, schema)

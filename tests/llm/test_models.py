@@ -72,7 +72,7 @@ def test_interactions_are_learned(spark):
     rng = np.random.default_rng(8)
     rows = []
     for i in range(3000):
-        insult, group = rng.random(2) < 0.4
+        insult, group = (rng.random(2) < 0.4).tolist()
         words = [f"w{x}" for x in rng.integers(0, 300, 12)] + ["vermin"] * insult + ["strangers"] * group
         rows.append((i, " ".join(words), int(insult and group)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")

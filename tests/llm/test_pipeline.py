@@ -32,8 +32,11 @@ def test_stages_keep_the_columns_and_take_effect(spark, documents):
 
 def test_odd_rows_pass_through(spark, odd):
     docs = odd
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, FOLDER)
+        if name != "BPE encoding":
+            assert docs.columns == odd.columns
+            assert {(r["kept"], r["matches"]) for r in docs.where("doc_id = 6").collect()} == {("7", "7")}
     assert {r["doc_id"] for r in docs.collect()} >= {1, 6, 7, 8, 9}
     docs = odd.where("false")
     for _, stage in corpus_pipeline.STAGES:
