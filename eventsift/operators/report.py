@@ -112,13 +112,20 @@ def write_results(
     partition_by_date: bool = False,
     mode: str = "overwrite",
 ) -> None:
-    """Result columns as CSV (with header) or Parquet; ranked output is globally sorted over the part files."""
+    """Result columns as CSV (with header) or Parquet; ranked output is globally sorted over the part files.
+
+    By date, each date is ranked on its own: its part files follow one another, few even for a busy date.
+    """
     out = with_short_messages(results) if truncate_message else results
-    out = rank_results(out) if ranked else out
     columns = [c for c in RESULT_COLUMNS if c in out.columns]
     if partition_by_date:
         out = out.withColumn("date", F.to_date("timestamp"))
         columns.append("date")
+        if ranked:
+            order = ["date", F.desc("anomaly_score"), *[c for c in ("event_id",) if c in out.columns]]
+            out = out.repartitionByRange(*order).sortWithinPartitions(*order)
+    elif ranked:
+        out = rank_results(out)
     if fmt == "csv":
         out = _csv_times(out)
     writer = out.select(*columns).write.mode(mode)
