@@ -24,6 +24,24 @@ _NUMBER = "0-9²³¹¼-¾"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t\n\r{_LETTER}{_NUMBER}]+")
 
 
+_PLACE_BITS = 28  # word numbers within a block
+_BLOCK_BITS = 12  # blocks of a task
+
+
+def _marked(numbers: np.ndarray, known: int) -> np.ndarray:
+    """0 for the first use of each new word, whose number is the next one; number + 1 for all others."""
+    codes = numbers + np.uint32(1)
+    new = np.flatnonzero(numbers >= known)
+    _, first = np.unique(numbers[new], return_index=True)
+    codes[new[first]] = 0
+    return codes
+
+
+def _unmarked(codes: np.ndarray) -> np.ndarray:
+    new = codes == 0
+    return np.where(new, np.cumsum(new) - 1, codes.astype(np.int64) - 1)
+
+
 class Splitter:
     """The words of a text as the tokenizer's normaliser and split pattern make them.
 
@@ -65,7 +83,7 @@ def _blocks(docs: DataFrame, path: str, text: str, key: str, block_chars: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, pack = Splitter(path), zstandard.ZstdCompressor(level=3).compress
-        block, keys, lengths, codes, numbers, chars = TaskContext.get().partitionId() << 24, [], [], [], {}, 0
+        block, keys, lengths, codes, numbers, chars = TaskContext.get().partitionId() << _BLOCK_BITS, [], [], [], {}, 0
 
         def flush() -> pa.RecordBatch:
             planes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
@@ -87,7 +105,9 @@ def _blocks(docs: DataFrame, path: str, text: str, key: str, block_chars: int) -
                 words = splitter(t)
                 keys.append(k)
                 lengths.append(len(words))
-                codes.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.uint32, len(words)))
+                known = len(numbers)
+                own = np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.uint32, len(words))
+                codes.append(_marked(own, known))
                 chars += len(t or "")
                 if chars >= block_chars:
                     yield flush()
@@ -101,15 +121,16 @@ def _blocks(docs: DataFrame, path: str, text: str, key: str, block_chars: int) -
 
 
 def _encode_sorted(path: str):
-    """Ids of (place, word) rows that come sorted by word: each distinct word is encoded once."""
+    """(block, n, ids) from (place, word) rows that come sorted by word: each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, letters = load_tokenizer(path), byte_letters()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         tokenize, last, ids = tokenizer.model.tokenize, None, b""
+        kind = _id_type(tokenizer)
         for batch in batches:
             out = []
-            for word in batch.column(2).to_pylist():
+            for word in batch.column(1).to_pylist():
                 if word != last:
                     last = word
                     found = (
@@ -117,9 +138,12 @@ def _encode_sorted(path: str):
                         if word in special
                         else [t.id for t in tokenize("".join(map(letters.__getitem__, word.encode())))]
                     )
-                    ids = np.array(found, "<u4").tobytes()
+                    ids = np.array(found, kind).tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "n", "ids"])
+            place = batch.column(0).to_numpy()
+            numbers = (place & ((1 << _PLACE_BITS) - 1)).astype(np.int32)
+            columns = [pa.array(place >> _PLACE_BITS), pa.array(numbers), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "n", "ids"])
 
     return run
 
@@ -158,6 +182,7 @@ def encode(
     )
     blocks = spark.table(name)
     words = blocks.select("block", F.posexplode("words").alias("n", "word"))
+    words = words.select(F.shiftleft("block", _PLACE_BITS).bitwiseOR(F.col("n").cast("bigint")).alias("place"), "word")
     ids = (
         words.repartition(parts, "word")
         .sortWithinPartitions("word")
@@ -165,16 +190,17 @@ def encode(
     )
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = _pieces(path)
+        pieces, kind = _pieces(path), _id_type(load_tokenizer(path))
         order = np.argsort(right.column("n").to_numpy()) if right.num_rows else []
         ids = right.column("ids").to_pylist() if right.num_rows else []
-        ids = [ids[i] for i in order]
-        decoded = [" ".join([pieces[i] for i in np.frombuffer(w, "<u4").tolist()]) for w in ids]
+        found = [np.frombuffer(ids[i], kind) for i in order]
+        ids = [w.astype("<u4").tobytes() for w in found]
+        decoded = [" ".join([pieces[i] for i in w.tolist()]) for w in found]
         out = {c: [] for c in ("key", "n", "ids", "sha", "decoded")}
         for block in left.to_pylist():
             planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in block["codes"]]
-            codes = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel() if planes else np.zeros(0, "<u4")
-            at = 0
+            codes = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
+            codes, at = _unmarked(codes), 0
             for k, n in zip(block["keys"], block["lengths"], strict=True):
                 own, at = codes[at : at + n].tolist(), at + n
                 data = b"".join([ids[i] for i in own])
@@ -198,6 +224,10 @@ def encode(
     return left.cogroup(ids.groupBy("block")).applyInArrow(assemble, schema)
 
 
+def _id_type(tokenizer) -> str:
+    return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
 def _pieces(path: str) -> list[str]:
     tokenizer = load_tokenizer(path)
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
