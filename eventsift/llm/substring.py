@@ -80,7 +80,7 @@ def _profiles(docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
                 ["key", "n_words", "digest", "anchors"],
             )
 
-    return docs.select(key, text).mapInArrow(run, "key bigint, n_words bigint, digest binary, anchors array<bigint>")
+    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "key bigint, n_words bigint, digest binary, anchors array<bigint>")
 
 
 def _packed(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -99,7 +99,7 @@ def _packed(docs: DataFrame, text: str, key: str) -> DataFrame:
                 ["key", "digest", "packed"],
             )
 
-    return docs.select(key, text).mapInArrow(run, "key bigint, digest binary, packed binary")
+    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "key bigint, digest binary, packed binary")
 
 
 def _unpack(packed: bytes) -> list[bytes]:
