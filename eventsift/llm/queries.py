@@ -106,6 +106,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_substring": r"""
+        WITH split AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS run
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM split WHERE len(words) >= 50)
+        ), firsts AS (
+            SELECT run, min(doc_id) AS first_id FROM windows GROUP BY run
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place
+            FROM windows JOIN firsts USING (run) WHERE doc_id > first_id
+        ), placed AS (
+            SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+        ), kept AS (
+            SELECT p.doc_id, count(g.place) AS n_removed,
+                coalesce(string_agg(word, ' ' ORDER BY p.place) FILTER (WHERE g.place IS NULL), '') AS left_words
+            FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.place = g.place GROUP BY p.doc_id
+        )
+        SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+            sha256(coalesce(left_words, '')) AS kept_sha256
+        FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+    """,
     "op7_line_dedup": r"""
         WITH parts AS (
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
