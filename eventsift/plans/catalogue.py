@@ -34,7 +34,7 @@ from eventsift.plans.analysis import analyze_events, load_models, score_events
 from eventsift.plans.detector import AnomalyDetector
 from eventsift.plans.features import numeric_features, severity_feature, temporal_features
 from eventsift.schema import EVENT_FIELDS, NUMERIC_FEATURES
-from eventsift.sources.guard import enforce_row_limit
+from eventsift.sources.guard import enforce_row_limit, list_input
 from eventsift.sources.text import split_lines
 from eventsift.storage import materialise, shared_dir, spread
 from eventsift.streaming.retraining import load_latest, retrain
@@ -218,6 +218,45 @@ def csv_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("message").cast("bigint").alias("event_id"), "timestamp")
 
 
+def csv_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV export without level, source and time; an empty one beside it adds nothing."""
+    path, events = _fresh_path(spark, "narrow"), table(spark, sf_dir, "events")
+    records = events.select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "view", F.col("props")).alias("Log"))
+    records.write.option("header", True).option("escape", '"').csv(f"{path}/some")
+    records.filter("false").coalesce(1).write.option("header", True).csv(f"{path}/none")
+    return parse_csv_log(spark, path).events.select(*EVENT_FIELDS, "parsed")
+
+
+def bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of which every third has a byte that is not UTF-8."""
+    path = _fresh_path(spark, "bytes")
+    broken = F.when(F.col("event_id") % 3 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    line = F.concat(_second(), F.lit(" INFO svc: "), F.col("event_id").cast("string"), broken, F.lit("."))
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    return parse_text_log(spark, path).events.select("timestamp", "source", "message")
+
+
+def input_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a tree by kind: why some are not read, and whether they have any bytes."""
+    path, events = _fresh_path(spark, "guard"), log_events(spark, sf_dir)
+    for level, writer in (("INFO", "text"), ("ERROR", "json"), ("WARN", "csv")):
+        lines = events.filter(F.col("level") == level).select(F.col("message").alias("value"))
+        lines.write.format(writer).save(f"{path}/{level}/{writer}")
+    listed = list_input(spark, path).filter("length > 0")
+    return listed.groupBy("kind", "reason").agg((F.count("*") > 0).alias("found"), (F.sum("length") > 0).alias("bytes"))
+
+
+def null_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap and trailing count where every seventh event has no time and every eleventh no source."""
+    events = log_events(spark, sf_dir).withColumns(
+        {
+            "timestamp": F.when(F.col("event_id") % 7 != 0, F.col("timestamp")),
+            "source": F.when(F.col("event_id") % 11 != 0, F.col("source")),
+        }
+    )
+    return source_windows(events).select("event_id", "gap_seconds", "trailing_count")
+
+
 def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first third of the events."""
     events = log_events(spark, sf_dir)
@@ -565,7 +604,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_generic, parse_syslog, parse_apache, parse_by_line, parse_fallback_stats, detect_format, document_lines,
-        text_files, csv_files, csv_canonicalise, csv_times, log_folder, row_limit,
+        text_files, csv_files, csv_canonicalise, csv_times, csv_missing_columns, bad_bytes, input_guard,
+        log_folder, row_limit, null_time_windows,
         calendar_features, severity_of_level, gap_same_source, rolling_count_60s, rolling_count_3600s, rolling_ties,
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
         tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features,

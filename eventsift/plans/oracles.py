@@ -252,6 +252,21 @@ SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(NULL AS VARCHAR) AS level, CA
 SELECT CASE WHEN level = 'ERROR' THEN date_trunc('second', timestamp) ELSE timestamp END AS timestamp,
   level, source, message, CASE WHEN level = 'ERROR' THEN 'generic' ELSE 'csv' END AS fmt FROM logs""",
     "row_limit": f"WITH {_LOGS} SELECT * EXCLUDE (value) FROM logs ORDER BY event_id LIMIT (SELECT count(*) // 3 FROM events)",
+    "csv_missing_columns": """SELECT CAST(NULL AS TIMESTAMP) AS timestamp, 'INFO' AS level, 'unknown' AS source,
+  CASE WHEN event_type <> 'view' THEN coalesce(props, '') ELSE '' END AS message, true AS parsed FROM events""",
+    "bad_bytes": f"""SELECT CAST({_SECOND} AS TIMESTAMP) AS timestamp, 'svc' AS source,
+  concat(event_id, CASE WHEN event_id % 3 = 0 THEN chr(65533) ELSE '' END, '.') AS message FROM events""",
+    "input_guard": f"""WITH {_LOGS}
+SELECT CASE level WHEN 'INFO' THEN 'text' WHEN 'WARN' THEN 'csv' END AS kind,
+  CASE WHEN level = 'ERROR' THEN concat('unsupported file type ', chr(39), '.json', chr(39)) END AS reason,
+  count(*) > 0 AS found, sum(length(message)) > 0 AS bytes
+FROM logs WHERE level IN ('INFO', 'ERROR', 'WARN') GROUP BY level""",
+    "null_time_windows": f"""WITH {_LOGS}, part AS (
+  SELECT event_id, timestamp, source FROM logs WHERE event_id % 7 <> 0 AND event_id % 11 <> 0),
+{_GAPS.replace("FROM logs", "FROM part")},
+counts AS ({_rows_until("INTERVAL 59999999 MICROSECONDS", "part")})
+SELECT event_id, CAST(gap AS DOUBLE) AS gap_seconds, coalesce(trailing_count, 0.0::DOUBLE) AS trailing_count
+FROM logs LEFT JOIN gaps USING (event_id) LEFT JOIN counts USING (event_id)""",
     "csv_times": """SELECT event_id, CAST(CASE event_id % 10 WHEN 7 THEN date_trunc('day', ts) WHEN 9 THEN NULL
   ELSE date_trunc('second', ts) - CASE event_id % 10 WHEN 1 THEN INTERVAL 2 HOUR WHEN 3 THEN INTERVAL (-5) HOUR
     ELSE INTERVAL 0 HOUR END END AS TIMESTAMP) AS timestamp FROM events""",
