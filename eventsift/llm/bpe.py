@@ -21,6 +21,9 @@ from eventsift.storage import shared_dir
 # Letters and numbers below U+0250 as the split pattern of the vocabulary has them.
 _LETTER = "a-zªµºß-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
+# Plain characters whose small letters are plain too: some capitals below U+0250 have theirs beyond it.
+_SMALL = "".join(c for c in map(chr, range(0x250)) if is_plain(c) and is_plain(c.lower()))
+_OTHER = re.compile(f"[^{re.escape(_SMALL)}]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t\n\r{_LETTER}{_NUMBER}]+")
 
 
@@ -45,7 +48,7 @@ def _unmarked(codes: np.ndarray) -> np.ndarray:
 class Splitter:
     """The words of a text as the tokenizer's normaliser and split pattern make them.
 
-    Special strings are words of their own. Texts of plain characters take a compiled pattern, others
+    Special strings are words of their own. Texts whose characters are plain in small letters take a compiled pattern, others
     the library's own steps.
     """
 
@@ -62,7 +65,7 @@ class Splitter:
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _plain_words(self, text: str) -> list[str]:
-        if is_plain(text):
+        if _OTHER.search(text) is None:
             return _WORD.findall(text.lower())
         return [w for w, _ in self.split(self.normalise(text))]
 
