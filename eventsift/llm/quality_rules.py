@@ -90,18 +90,16 @@ def likelihood_ratios(
     key: str = "doc_id",
     size: int = 1 << 15,
     smoothing: float = 1.0,
-    max_trusted: int = 20_000,
 ) -> DataFrame:
     """One row, ratios: for ``size`` (a power of two) buckets of words, then of neighbouring pairs, the log of its share among trusted documents over its share in the corpus.
 
-    The corpus counts cover all of ``docs``. The trusted target is a bounded sample: the ``max_trusted``
-    keys of ``trusted`` of least hash. Shares are smoothed by ``smoothing`` counts per bucket.
+    Both sides are counted over all of ``docs``: the corpus on every row, the trusted target on every row whose
+    key is in ``trusted``. Shares are smoothed by ``smoothing`` counts per bucket.
     """
-    picked = (
-        trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct()
-        .orderBy(F.xxhash64(F.col("_key").cast("string")), "_key").limit(max_trusted).withColumn("_trusted", F.lit(1))
-    )
-    source = docs.select(F.col(key).alias("_key"), words(docs[text]).alias("_words")).join(F.broadcast(picked), "_key", "left")
+    picked = trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct().withColumn("_trusted", F.lit(1))
+    # shuffled by key, so that neither side has to fit into a task; texts travel as they are, words are made after it
+    source = docs.select(F.col(key).alias("_key"), docs[text].alias("_text")).join(picked.hint("merge"), "_key", "left")
+    source = source.select("_trusted", words(F.col("_text")).alias("_words"))
     source = source.select("_trusted", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     following = F.slice("_hashes", 2, F.greatest(F.size("_hashes") - 1, F.lit(0)))  # the last word has none
     terms = source.select("_trusted", F.inline(F.arrays_zip(F.col("_hashes").alias("a"), following.alias("b"))))
