@@ -4,11 +4,13 @@ import contextlib
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open_scopes: list[list[str]] = []
+#: Open scopes of the running thread, innermost last; a new thread starts without any.
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 @functools.lru_cache(maxsize=1)
@@ -26,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{conf.rstrip('/')}/eventsift-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder, listed for removal by the innermost ``scratch`` of this thread."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if scopes := _open_scopes.get():
+        scopes[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
@@ -34,22 +44,20 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     table is listed for removal.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch() -> Iterator[list[str]]:
-    """Collect the paths that ``materialise`` writes inside the block; ``discard`` removes them."""
+    """Collect the paths that this thread writes by ``materialise`` inside the block; ``discard`` removes them."""
     paths: list[str] = []
-    _open_scopes.append(paths)
+    before = _open_scopes.set((*_open_scopes.get(), paths))
     try:
         yield paths
     finally:
-        _open_scopes.remove(paths)
+        _open_scopes.reset(before)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -60,6 +68,20 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str = "result") -> DataFrame:
+    """What ``build`` returns, stored once; the tables it stored on its way are removed, also if it fails."""
+    with scratch() as paths:
+        try:
+            built = build()
+        except BaseException:
+            discard(spark, paths)
+            raise
+    try:
+        return materialise(built, label)
+    finally:
+        discard(spark, paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores when it reads few files, as with one small file.
 
