@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsift.llm import bpe, decontaminate, language_id, lines, quality_model, quality_rules
-from eventsift.llm import simhash, substring, token_counts, toxicity
+from eventsift.llm import bpe, byte_bpe, decontaminate, fill_in_middle, language_id, lines, quality_model, quality_rules
+from eventsift.llm import simhash, substring, token_counts, toxicity, whitening
 from eventsift.llm.common import table
 
 
@@ -92,6 +92,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, model.explained())).cast("array<double>")
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("bigint").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).cast("double").alias("identity_error"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), path, keep=["doc_id"])
+    decoded = byte_bpe.decode(encoded, path)
+    digests = (F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("ids", "decoded"))
+    return decoded.select("doc_id", "n_tokens", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -103,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_model": op8_quality_model,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
@@ -146,4 +177,26 @@ ORACLES: dict[str, str] = {
             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
         FROM marked GROUP BY doc_id
     """,
+    "op12_fill_in_middle": r"""
+        WITH units AS (
+            SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash
+            FROM documents
+        ), drawn AS (
+            SELECT *, CAST('0x' || substr(hash, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(hash, 9, 8) AS BIGINT) % (n + 1) AS b,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                        OR CAST('0x' || substr(hash, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                    WHEN CAST('0x' || substr(hash, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM units
+        ), parts AS (
+            SELECT *, substr(text, 1, least(a, b)) AS prefix, substr(text, least(a, b) + 1, abs(a - b)) AS middle,
+                substr(text, greatest(a, b) + 1) AS suffix
+            FROM drawn
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN abs(a - b) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parts
+    """,
 }
