@@ -6,17 +6,18 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventsift.llm.common import byte_letters, extended, is_plain, load_tokenizer
-from eventsift.storage import shared_dir
+from eventsift.llm.common import Pieces, byte_letters, extended, gathered, is_plain, load_tokenizer, slices
+from eventsift.storage import new_path
 
 # Letters and numbers below U+0250 as the split pattern of the vocabulary has them.
 _LETTER = "a-zªµºß-öø-ɏ"
@@ -27,8 +28,7 @@ _OTHER = re.compile(f"[^{re.escape(_SMALL)}]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t\n\r{_LETTER}{_NUMBER}]+")
 
 
-_PLACE_BITS = 28  # word numbers within a block
-_BLOCK_BITS = 12  # blocks of a task
+_WORD_BITS, _BLOCK_BITS, _TASK_BITS = 28, 14, 21  # words of a block, blocks of a task, tasks: a place is one long
 
 
 def _marked(numbers: np.ndarray, known: int) -> np.ndarray:
@@ -40,9 +40,9 @@ def _marked(numbers: np.ndarray, known: int) -> np.ndarray:
     return codes
 
 
-def _unmarked(codes: np.ndarray) -> np.ndarray:
+def _unmarked(codes: np.ndarray, known: int) -> np.ndarray:
     new = codes == 0
-    return np.where(new, np.cumsum(new) - 1, codes.astype(np.int64) - 1)
+    return np.where(new, np.cumsum(new) + known - 1, codes.astype(np.int64) - 1)
 
 
 class Splitter:
@@ -80,46 +80,62 @@ class Splitter:
         return words
 
 
-def _blocks(docs: DataFrame, path: str, text: str, key: str, block_chars: int) -> DataFrame:
-    """Rows of documents as one block each: keys, word counts, distinct words and word numbers."""
+def _place(task: int, block: int, words: int) -> int:
+    """The place of the first word of a block; raises where a number has no room, so that no two blocks share one."""
+    if task >> _TASK_BITS or block >> _BLOCK_BITS or words >> _WORD_BITS:
+        raise OverflowError(f"task {task}, block {block} of it or a block's {words} words are beyond what a place can hold")
+    return (task << _BLOCK_BITS | block) << _WORD_BITS
+
+
+def _blocks(docs: DataFrame, path: str, text: str, key: str, block_chars: int, part_chars: int) -> DataFrame:
+    """Documents in blocks of about ``block_chars`` characters, a row for each part of about ``part_chars``.
+
+    A part has the keys and word counts of its documents, their words as numbers (the four bytes of each apart, which
+    compresses better), and the words that are new in it, with the number of the first of them. A worker
+    holds the distinct words of one block and the numbers of one part.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    columns = ["block", "part", "keys", "lengths", "b0", "b1", "b2", "b3", "first", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, pack = Splitter(path), zstandard.ZstdCompressor(level=3).compress
-        block, keys, lengths, codes, numbers, chars = TaskContext.get().partitionId() << _BLOCK_BITS, [], [], [], {}, 0
+        splitter, task = Splitter(path), TaskContext.get().partitionId()
+        block = part = chars = chars_of_part = known = 0
+        keys, lengths, codes, numbers, key_type = [], [], [], {}, pa.null()
 
         def flush() -> pa.RecordBatch:
-            planes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            planes = np.ascontiguousarray(planes.view(np.uint8).reshape(-1, 4).T)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([keys]).cast(pa.list_(key_type)),
-                    pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([[pack(p.tobytes()) for p in planes]], pa.list_(pa.binary())),
-                    pa.array([list(numbers)], pa.list_(pa.string())),
-                ],
-                ["block", "keys", "lengths", "codes", "words"],
-            )
-
-        for batch in batches:
+            planes = np.concatenate(codes).view(np.uint8).reshape(-1, 4).T
+            arrays = [
+                pa.array([_place(task, block, len(numbers)) >> _WORD_BITS], pa.int64()),
+                pa.array([part], pa.int32()),
+                pa.array([keys]).cast(pa.list_(key_type)),
+                pa.array([lengths], pa.list_(pa.int32())),
+                *(pa.array([p.tobytes()], pa.binary()) for p in planes),
+                pa.array([known], pa.int32()),
+                pa.array([list(islice(numbers, known, None))], pa.list_(pa.string())),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, columns)
+
+        for batch in slices(batches, 64):
             key_type = batch.schema.field(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = splitter(t)
+                words, before = splitter(t), len(numbers)
                 keys.append(k)
                 lengths.append(len(words))
-                known = len(numbers)
                 own = np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.uint32, len(words))
-                codes.append(_marked(own, known))
-                chars += len(t or "")
-                if chars >= block_chars:
+                codes.append(_marked(own, before))
+                chars_of_part += len(t or "") + 1
+                if chars_of_part >= part_chars:
                     yield flush()
-                    block, keys, lengths, codes, numbers, chars = block + 1, [], [], [], {}, 0
+                    chars, part, known = chars + chars_of_part, part + 1, len(numbers)
+                    keys, lengths, codes, chars_of_part = [], [], [], 0
+                    if chars >= block_chars:
+                        block, part, chars, known, numbers = block + 1, 0, 0, 0, {}
         if keys:
             yield flush()
 
+    bytes_ = ", ".join(f"b{i} binary" for i in range(4))
     return docs.select(key, text).mapInArrow(
-        run, f"block bigint, keys array<{kind}>, lengths array<int>, codes array<binary>, words array<string>"
+        run, f"block bigint, part int, keys array<{kind}>, lengths array<int>, {bytes_}, first int, words array<string>"
     )
 
 
@@ -144,8 +160,8 @@ def _encode_sorted(path: str):
                     ids = np.array(found, kind).tobytes()
                 out.append(ids)
             place = batch.column(0).to_numpy()
-            numbers = (place & ((1 << _PLACE_BITS) - 1)).astype(np.int32)
-            columns = [pa.array(place >> _PLACE_BITS), pa.array(numbers), pa.array(out, pa.binary())]
+            numbers = (place & ((1 << _WORD_BITS) - 1)).astype(np.int32)
+            columns = [pa.array(place >> _WORD_BITS), pa.array(numbers), pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "n", "ids"])
 
     return run
@@ -156,10 +172,11 @@ def encode(
     path: str,
     text: str = "text",
     key: str = "doc_id",
-    block_chars: int = 32_000_000,
+    block_chars: int = 1 << 25,
+    part_chars: int = 1 << 20,
     with_ids: bool = True,
 ) -> DataFrame:
-    """(key, n_tokens, ids, ids_sha256, decoded_sha256) of every row; null text counts as empty.
+    """``key``, n_tokens, ids, ids_sha256 and decoded_sha256 of every document (null text: empty).
 
     1. Tasks split their documents into words and number the distinct words of each block of about
        ``block_chars`` characters. Blocks are stored once, bucketed by block.
@@ -168,90 +185,88 @@ def encode(
     3. Ids go back to the block and, by word number, to every position. The stored blocks are
        not shuffled: the bucketed table already lies as the join needs it.
 
-    decoded_sha256 is of the text that the ids decode to, special tokens kept: the join of ids with
-    their pieces, which the vocabulary bounds (a map-side join), made once per distinct word of a block.
-    Keys may be null or repeated; a text is never cut. ids is left out unless ``with_ids``.
+    decoded_sha256 is of the text that the ids decode to, special tokens kept: the ids of every position joined with the
+    id-to-piece table, as ``decode`` does. Keys may be null or repeated; a text is never cut; an empty table
+    gives no rows. ids is left out unless ``with_ids``.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    (
-        _blocks(docs, path, text, key, block_chars)
-        .write.bucketBy(parts, "block")
-        .option("path", f"{shared_dir(spark)}/{name}")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
+    stored = _blocks(docs, path, text, key, block_chars, part_chars).write.bucketBy(parts, "block")
+    stored.option("path", new_path(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    words = blocks.select("block", F.posexplode("words").alias("n", "word"))
-    words = words.select(F.shiftleft("block", _PLACE_BITS).bitwiseOR(F.col("n").cast("bigint")).alias("place"), "word")
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and ``blocks`` knows them; the catalogue is left as it was
+    words = blocks.select("block", "first", F.posexplode("words").alias("n", "word"))
+    number = (F.col("first") + F.col("n")).cast("bigint")
+    words = words.select(F.shiftleft("block", _WORD_BITS).bitwiseOR(number).alias("place"), "word")
     ids = (
         words.repartition(parts, "word")
         .sortWithinPartitions("word")
         .mapInArrow(_encode_sorted(path), "block bigint, n int, ids binary")
     )
+    names = [key, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces, kind = _pieces(path), _id_type(load_tokenizer(path))
-        order = np.argsort(right.column("n").to_numpy()) if right.num_rows else []
-        ids = right.column("ids").to_pylist() if right.num_rows else []
-        found = [np.frombuffer(ids[i], kind) for i in order]
-        ids = [w.astype("<u4").tobytes() for w in found]
-        decoded = [" ".join([pieces[i] for i in w.tolist()]) for w in found]
-        out = {c: [] for c in ("key", "n", "ids", "sha", "decoded")}
-        for block in left.to_pylist():
-            planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in block["codes"]]
-            codes = np.ascontiguousarray(np.stack(planes, axis=1)).view("<u4").ravel()
-            codes, at = _unmarked(codes), 0
-            for k, n in zip(block["keys"], block["lengths"], strict=True):
-                own, at = codes[at : at + n].tolist(), at + n
-                data = b"".join([ids[i] for i in own])
-                out["key"].append(k)
-                out["n"].append(len(data) // 4)
-                out["ids"].append(np.frombuffer(data, "<u4").astype(np.int32) if with_ids else None)
-                out["sha"].append(hashlib.sha256(data).hexdigest())
-                out["decoded"].append(hashlib.sha256(" ".join([decoded[i] for i in own]).encode()).hexdigest())
-        columns = [
-            pa.array(out["key"], left.schema.field("keys").type.value_type),
-            pa.array(out["n"], pa.int64()),
-            *([pa.array(out["ids"], pa.list_(pa.int32()))] if with_ids else []),
-            pa.array(out["sha"], pa.string()),
-            pa.array(out["decoded"], pa.string()),
-        ]
-        return pa.table(columns, names=names)
+        pieces, id_type = _pieces(path), _id_type(load_tokenizer(path))
+        right = right.select(["n", "ids"]).sort_by("n").combine_chunks()
+        listed = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.binary())
+        flat = np.frombuffer(b"".join(listed.to_pylist()), id_type)
+        lengths = pc.binary_length(listed).to_numpy().astype(np.int64) // flat.itemsize
+        starts, done, known = np.cumsum(lengths) - lengths, [], 0
+        key_type = left.schema.field("keys").type.value_type
+        for row in left.sort_by("part").to_batches(max_chunksize=1):
+            part = {c: row.column(c)[0].as_py() for c in ("lengths", "b0", "b1", "b2", "b3")}
+            planes = np.stack([np.frombuffer(part[f"b{i}"], np.uint8) for i in range(4)], axis=1)
+            codes = _unmarked(np.ascontiguousarray(planes).view("<u4").ravel(), known)
+            known, ends = known + len(row.column("words")[0]), np.cumsum([0, *part["lengths"]])
+            n, flats, shas, texts = [], [], [], []
+            for a, b in zip(ends, ends[1:], strict=False):
+                own = codes[a:b]
+                found = gathered(flat, starts[own], np.concatenate([[0], np.cumsum(lengths[own])])).astype("<u4")
+                n.append(len(found))
+                flats.append(found)
+                shas.append(hashlib.sha256(found.tobytes()).hexdigest())
+                texts.append(hashlib.sha256(_text(pieces, found)).hexdigest())
+            arrays = [row.column("keys")[0].values.cast(key_type), pa.array(n, pa.int64())]
+            if with_ids:
+                positions = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                arrays.append(pa.ListArray.from_arrays(positions, pa.array(np.concatenate(flats).astype(np.int32))))
+            done.append(pa.RecordBatch.from_arrays([*arrays, pa.array(shas, pa.string()), pa.array(texts, pa.string())], names))
+        return pa.Table.from_batches(done)
 
-    names = [key, "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"]
     schema = f"`{key}` {kind}, n_tokens bigint, {'ids array<int>, ' if with_ids else ''}ids_sha256 string, decoded_sha256 string"
-    left = blocks.select("block", "keys", "lengths", "codes").groupBy("block")
-    return left.cogroup(ids.groupBy("block")).applyInArrow(assemble, schema)
+    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def _id_type(tokenizer) -> str:
     return "<u2" if max(tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
 
 
-def _pieces(path: str) -> list[str]:
-    tokenizer = load_tokenizer(path)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    pieces = [""] * (max(vocabulary.values()) + 1)
-    for piece, i in vocabulary.items():
-        pieces[i] = piece
-    return pieces
+def _pieces(path: str) -> Pieces:
+    """Pieces with a space after each, as they stand in decoded text."""
+    vocabulary = load_tokenizer(path).get_vocab(with_added_tokens=True)
+    return Pieces.of({i: f"{piece} ".encode() for piece, i in vocabulary.items()})
+
+
+def _text(pieces: Pieces, ids: np.ndarray) -> bytes:
+    return pieces.decode(ids, pieces.offsets(ids))[:-1]
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids, special tokens kept; null ids give null.
 
-    The id-to-piece table has one row per vocabulary entry, so each task holds it whole.
+    Ids meet their pieces in a map-side join: the id-to-piece table has one row per vocabulary entry, so each task holds
+    it whole.
     """
     kept = [c for c in encoded.columns if c != output]
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        for batch in batches:
-            texts = [None if r is None else " ".join([pieces[i] for i in r]) for r in batch.column(at).to_pylist()]
+        for batch in slices(batches):
+            rows = batch.column(at).to_pylist()
+            texts = [None if r is None else _text(pieces, np.array(r, np.int64)).decode() for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, output])
 
     source = encoded.select(*kept)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventsift.llm.common import extended, slices, text_first
+from eventsift.llm.common import Pieces, extended, slices, text_first
 
 # Character classes. The first three hold for a character alone, the others also look at what follows:
 # an apostrophe before s, t, m, d or before re, ve, ll; white space that more white space or the end follows,
@@ -209,29 +208,8 @@ class _Encoded(dict):
         return ids
 
 
-@dataclass
-class Pieces:
-    """The bytes of all tokens in one row, and where each token's bytes begin and end; ids without a token have none."""
-
-    data: np.ndarray
-    starts: np.ndarray
-    lengths: np.ndarray
-
-    @classmethod
-    def load(cls, path: str) -> Pieces:
-        tokens = {rank: token for token, rank in load_ranks(path).items()}
-        listed = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
-        lengths = np.array([len(t) for t in listed], np.int64)
-        return cls(np.frombuffer(b"".join(listed), np.uint8), np.cumsum(lengths) - lengths, lengths)
-
-    def offsets(self, ids: np.ndarray) -> np.ndarray:
-        """Where the bytes of each id begin in the decoded text, and at last its length."""
-        return np.concatenate([[0], np.cumsum(self.lengths[ids])])
-
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
-        """The bytes of ``ids``, each copied to its offset."""
-        shift = self.starts[ids] - offsets[:-1]
-        return self.data[np.repeat(shift, np.diff(offsets)) + np.arange(offsets[-1])].tobytes()
+def _pieces(path: str) -> Pieces:
+    return Pieces.of({rank: token for token, rank in load_ranks(path).items()})
 
 
 def _groups(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
@@ -267,7 +245,7 @@ def encode(
     classes = docs.sparkSession.sparkContext.broadcast(character_classes())  # one byte per code point
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, pieces, table = _Encoded(load_ranks(path), cache).__getitem__, Pieces.load(path), classes.value
+        get, pieces, table = _Encoded(load_ranks(path), cache).__getitem__, _pieces(path), classes.value
         for batch in batches:
             for part in _groups(batch, chars):
                 texts = [t or "" for t in part.column(0).to_pylist()]
@@ -288,7 +266,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", offsets: str = "offs
     at, start = kept.index(ids), kept.index(offsets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(path)
+        pieces = _pieces(path)
         for part in slices(batches):
             found = []
             for i, o in zip(part.column(at).to_pylist(), part.column(start).to_pylist(), strict=True):

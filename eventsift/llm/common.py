@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -100,3 +102,35 @@ def byte_letters() -> dict[int, str]:
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+@dataclass
+class Pieces:
+    """The id-to-piece table of a vocabulary: the bytes of all pieces in one row, and where each begins.
+
+    Ids are small whole numbers, so joining ids with their pieces is reading at their places, for all ids of a text at
+    once. Ids without a piece have no bytes.
+    """
+
+    data: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def of(cls, pieces: dict[int, bytes]) -> Pieces:
+        listed = [pieces.get(i, b"") for i in range(max(pieces, default=-1) + 1)]
+        lengths = np.array([len(t) for t in listed], np.int64)
+        return cls(np.frombuffer(b"".join(listed), np.uint8), np.cumsum(lengths) - lengths, lengths)
+
+    def offsets(self, ids: np.ndarray) -> np.ndarray:
+        """Where the bytes of each id begin in the decoded text, and at last its length."""
+        return np.concatenate([[0], np.cumsum(self.lengths[ids])])
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of ``ids``, each copied to its offset."""
+        return gathered(self.data, self.starts[ids], offsets).tobytes()
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Runs of ``data`` that begin at ``starts``, one after the other at ``offsets`` (one more: the end)."""
+    return data[np.repeat(starts - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]

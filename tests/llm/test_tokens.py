@@ -24,7 +24,7 @@ def test_encoding_equals_the_library(request, name):
         expected.append((r["doc_id"], ids, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(decoded.encode())))
     got = [
         (r["doc_id"], r["ids"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
-        for r in bpe.encode(docs, WORDS, block_chars=100_000).collect()
+        for r in bpe.encode(docs, WORDS, block_chars=100_000, part_chars=20_000).collect()
     ]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
@@ -53,3 +53,16 @@ def test_empty_tables(odd):
     none = odd.where("false")
     assert bpe.encode(none, WORDS).collect() == []
     assert token_counts.count_tokens(none, BYTES).collect() == []
+
+
+def test_places_without_room_are_refused():
+    assert bpe._place(2, 3, 5) == (2 << 14 | 3) << 28
+    for task, block, words in ((1 << 21, 0, 0), (0, 1 << 14, 0), (0, 0, 1 << 28)):
+        with pytest.raises(OverflowError):
+            bpe._place(task, block, words)
+
+
+def test_nothing_stays_in_the_catalogue(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert bpe.encode(odd, WORDS).count() == odd.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
