@@ -3,19 +3,22 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is what the stage before kept, written as
 Parquet and read again. All but the last return the columns of their input. ``run`` applies the stages
 to the documents of ``sf_dir``. Rows with a null key or text, repeated rows and empty tables pass through as the
-operators define; rows of equal key count as one document.
+operators define; rows of equal key count as one document. Tables that a stage stores on its way are removed
+when it is done, and its input when the next one has it.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventsift.llm import bpe, decontaminate, lines, near_copies, quality_model
+from eventsift.llm import bpe, decontaminate, lines, quality_model, simhash
 from eventsift.llm.common import keeping_columns, table
 from eventsift.llm.queries import MIN_PROBABILITY, graded
-from eventsift.storage import materialise
+from eventsift.storage import discard, scratch, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group that shares 0.8 of its five-word shingles."""
-    found = near_copies.near_duplicates(docs)
-    later = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")
+    """The document of smallest doc_id of each group whose fingerprints of three-word shingles link at two bits."""
+    found = simhash.near_duplicates(docs)
+    later = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -62,10 +65,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, stored = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch() as own:
+            docs = settled(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, stored)
+        stored = own
+    encoded = settled(spark, partial(STAGES[-1][1], spark, docs, sf_dir), "encoded")
+    discard(spark, stored)
+    return encoded
 
 
 #: Hash features, SimHash, alignment and BPE are beyond SQL; tests compare the stages with brute force.
