@@ -97,8 +97,10 @@ def likelihood_ratios(
     key is in ``trusted``. Shares are smoothed by ``smoothing`` counts per bucket.
     """
     picked = trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct().withColumn("_trusted", F.lit(1))
-    # shuffled by key, so that neither side has to fit into a task; texts travel as they are, words are made after it
-    source = docs.select(F.col(key).alias("_key"), docs[text].alias("_text")).join(picked.hint("merge"), "_key", "left")
+    # which rows are trusted is a plain join, of the texts as they are; rows without a key are in no join, else they would meet
+    source = docs.select(F.col(key).alias("_key"), docs[text].alias("_text"))
+    without = source.where("_key is null").select(F.lit(None).cast("int").alias("_trusted"), "_text")
+    source = source.where("_key is not null").join(picked, "_key", "left").select("_trusted", "_text").unionAll(without)
     source = source.select("_trusted", words(F.col("_text")).alias("_words"))
     source = source.select("_trusted", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     following = F.slice("_hashes", 2, F.greatest(F.size("_hashes") - 1, F.lit(0)))  # the last word has none
@@ -108,7 +110,7 @@ def likelihood_ratios(
         terms.select("_trusted", F.explode(found).alias("bucket")).where("bucket is not null")
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
     )
-    counts = materialise(counts.coalesce(8), "buckets")
+    counts = materialise(counts, "buckets")
     kinds = counts.groupBy((F.col("bucket") >= size).alias("pair")).agg(F.sum("raw").alias("r"), F.sum("target").alias("t"))
     shares = (
         docs.sparkSession.range(2 * size).select(F.col("id").cast("int").alias("bucket"), (F.col("id") >= size).alias("pair"))

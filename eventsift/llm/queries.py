@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from eventsift.llm import bpe, byte_bpe, decontaminate, fill_in_middle, language_id, lines, quality_model, quality_rules
 from eventsift.llm import simhash, substring, token_counts, toxicity, whitening
 from eventsift.llm.common import table
+from eventsift.storage import settled
 
 
 def fold(key: str, folds: int) -> Column:
@@ -22,21 +23,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = language_id.learn_dictionaries(docs.where(fold("doc_id", 4) != 2))
     found = language_id.identify(docs, dictionaries, keep=["doc_id"])
-    return found.withColumn("held_out", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "accepted")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    return settled(spark, lambda: bpe.encode(docs, path, with_ids=False))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    ratios = quality_rules.likelihood_ratios(docs, labels.where("quality = 1"))
-    return quality_rules.judge(docs, ratios, keep=["doc_id"])
+    trusted = labels.where("quality = 1")
+    found = settled(spark, lambda: quality_rules.judge(docs, quality_rules.likelihood_ratios(docs, trusted), keep=["doc_id"]))
+    contract = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*contract, "score")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = settled(spark, lambda: simhash.near_duplicates(table(spark, sf_dir, "documents")))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
@@ -72,7 +77,7 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_model.select(docs, model, probability=MIN_PROBABILITY, keep=["doc_id"])
     return found.select(
         "doc_id",
-        (fold("doc_id", 4) == 2).alias("held_out"),
+        F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
         "expected_grade",
         F.element_at("tails", 1).alias("p_grade_1"),
         F.element_at("tails", 2).alias("p_grade_2"),

@@ -55,22 +55,26 @@ def learn(
     rows_per_label: int = 12_000,
     max_terms: int = 60_000,
     min_rows: int = 3,
+    pair_terms: int = 2_000,
     rank: int = 4,
     epochs: int = 12,
     seed: int = 17,
 ) -> FactorizationMachine:
     """Fit on a bounded sample: at most ``rows_per_label`` rows of each label, sparse term hashes only.
 
-    Rows without label, key or text teach nothing. Terms of fewer than ``min_rows`` sampled texts, and
-    terms whose share of positives is what chance gives (chi-square up to 10), get no parameters. Negatives left
-    out of the sample are made up for by weight. Linear weights are fitted with an L1 penalty.
+    Rows without label, key or text teach nothing; a key that is repeated teaches once per row. Parameters go to terms
+    of ``min_rows`` sampled texts or more whose share of positives is not what chance gives (chi-square
+    over 10), and to both terms of every pair, among the ``pair_terms`` most frequent terms, that changes the odds in
+    another way than its two terms do each by itself. The sample takes labels in other shares than the
+    table has; the bias makes up for it. Without both labels, scores are the same for every text.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where(
         "key is not null and label in (0, 1)"
     )
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = sample_labelled(known, "label", "key", rows_per_label)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    texts = texts.join(F.broadcast(picked), "key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,33 +86,85 @@ def learn(
     data = sorted((str(r["key"]), r["label"], bytes(r["terms"])) for r in sample.collect())
     y = np.array([r[1] for r in data], float)
     rows = [np.frombuffer(r[2], "<u4") for r in data]
-    weight = np.array([totals[r[1]] / max((y == r[1]).sum(), 1) for r in data])
-    return _fit(rows, y, weight, max_terms, min_rows, rank, epochs, seed)
+    model = fit_sample(rows, y, max_terms, min_rows, pair_terms, rank, epochs, seed)
+    if 0 < y.sum() < len(y):
+        model.bias += float(np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    return model
 
 
-def _fit(rows, y, weight, max_terms, min_rows, rank, epochs, seed, l1=0.2, l2=0.02, step=0.3, batch=64):
-    rng = np.random.default_rng(seed)
+def _interacting(rows: list[np.ndarray], y: np.ndarray, n: int, least: float = 40.0) -> np.ndarray:
+    """Which of ``n`` terms are in a pair that interacts: the log odds ratio of one differs with the other.
+
+    The difference over its variance, from the eight counts of a pair with and without each term and label, each plus a half, is
+    over ``least`` (one pair in 4e9 by chance). Counts of all pairs are products of bounded blocks.
+    """
+    both = np.zeros((2, n, n), np.float32)
+    for label in (0, 1):
+        picks = np.flatnonzero(y == label)
+        for i in range(0, len(picks), 1000):
+            block = np.zeros((min(1000, len(picks) - i), n), np.float32)
+            for j, p in enumerate(picks[i : i + 1000]):
+                block[j, rows[p]] = 1
+            both[label] += block.T @ block
+    interaction, variance = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for label, sign in ((1, 1), (0, -1)):
+        own, total = np.diag(both[label]).copy(), np.float32((y == label).sum())
+        cells = (
+            (both[label], 1), (own[:, None] - both[label], -1), (own[None, :] - both[label], -1),
+            (total - own[:, None] - own[None, :] + both[label], 1),
+        )
+        for cell, direction in cells:
+            interaction += sign * direction * np.log(cell + np.float32(0.5))
+            variance += 1 / (cell + np.float32(0.5))
+    strong = interaction**2 > least * variance
+    np.fill_diagonal(strong, False)
+    return strong.any(axis=1)
+
+
+def _numbered(rows: list[np.ndarray], hashes: np.ndarray) -> list[np.ndarray]:
+    """For each row the places of its hashes among the sorted ``hashes``; others are left out."""
+    found = []
+    for r in rows:
+        at = np.searchsorted(hashes, r)
+        at[at == len(hashes)] = 0
+        found.append(at[hashes[at] == r] if len(hashes) else at[:0])
+    return found
+
+
+def fit_sample(
+    rows: list[np.ndarray],
+    y: np.ndarray,
+    max_terms: int = 60_000,
+    min_rows: int = 3,
+    pair_terms: int = 2_000,
+    rank: int = 4,
+    epochs: int = 12,
+    seed: int = 17,
+) -> FactorizationMachine:
+    """The machine for ``rows`` of distinct term hashes and their labels; its bias is that of the sample."""
     flat = np.concatenate(rows) if rows else np.zeros(0, "<u4")
     found, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     positive = np.bincount(inverse, np.repeat(y, [len(r) for r in rows]), len(found))
     rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-    chi = (positive - counts * rate) ** 2 / (np.maximum(counts, 1) * rate * (1 - rate))
-    usable = (counts >= min_rows) & (chi > 10)
-    found, chi = found[usable], chi[usable]
-    hashes = np.sort(found[np.lexsort((found, -chi))[:max_terms]])
-    own = []
-    for r in rows:
-        at = np.searchsorted(hashes, r)
-        at[at == len(hashes)] = 0
-        own.append(at[hashes[at] == r] if len(hashes) else at[:0])
-    n, share = len(hashes), float(np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 1e-4, 1 - 1e-4))
-    bias, z, g2 = np.log(share / (1 - share)), np.zeros(n), np.zeros(n)
-    linear, v, h2, b2 = np.zeros(n), rng.normal(0, 0.01, (n, rank)), np.full((n, rank), 1e-6), 1e-6
     if not (0 < y.sum() < len(y)):
-        return FactorizationMachine(hashes, float(bias), linear, np.zeros((n, rank)))
-    weight = weight / weight.mean()
+        return FactorizationMachine(found[:0], float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, rank)))
+    chi = (positive - counts * rate) ** 2 / (np.maximum(counts, 1) * rate * (1 - rate))
+    frequent = np.sort(found[np.lexsort((found, -counts))[:pair_terms]])
+    paired = frequent[_interacting(_numbered(rows, frequent), y, len(frequent))]
+    own = (counts >= min_rows) & (chi > 10)
+    single = found[own][np.lexsort((found[own], -chi[own]))[:max_terms]]
+    hashes = np.union1d(single, paired)
+    linear, factors, bias = _train(_numbered(rows, hashes), y, len(hashes), rank, epochs, seed)
+    return FactorizationMachine(hashes, bias, linear, factors)
+
+
+def _train(own, y, n, rank, epochs, seed, l1=0.2, decay=2e-4, step=0.3, factor_step=0.1, batch=64):
+    rng = np.random.default_rng(seed)
+    rate = float(y.mean())
+    bias, z, g2 = float(np.log(rate / (1 - rate))), np.zeros(n), np.zeros(n)
+    linear, v, h2, b2 = np.zeros(n), rng.normal(0, 0.1, (n, rank)), np.full((n, rank), 1e-2), 1e-6
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(own))
         for i in range(0, len(order), batch):
             picks = order[i : i + batch]
             flat = np.concatenate([own[p] for p in picks])
@@ -118,7 +174,7 @@ def _fit(rows, y, weight, max_terms, min_rows, rank, epochs, seed, l1=0.2, l2=0.
             np.add.at(total, of, vf)
             squares = np.bincount(of, (vf**2).sum(axis=1), len(picks))
             margin = bias + np.bincount(of, linear[flat], len(picks)) + 0.5 * ((total**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[picks]) * weight[picks]
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[picks]
             terms_, inverse = np.unique(flat, return_inverse=True)
             # linear weights: follow the regularised leader with L1
             grad = np.bincount(inverse, error[of], len(terms_))
@@ -129,15 +185,14 @@ def _fit(rows, y, weight, max_terms, min_rows, rank, epochs, seed, l1=0.2, l2=0.
             linear[terms_] = np.where(
                 np.abs(zt) <= l1, 0.0, -(zt - np.sign(zt) * l1) / ((0.1 + np.sqrt(g2[terms_])) / step)
             )
-            # factors: AdaGrad with decay
+            # factors: AdaGrad; decay for each row that has the term, so that its weight against the data is the same for all
             pull = np.zeros((len(terms_), rank))
-            np.add.at(pull, inverse, error[of, None] * (total[of] - vf) / len(picks))
-            pull += l2 * v[terms_]
+            np.add.at(pull, inverse, error[of, None] * (total[of] - vf) + decay * vf)
             h2[terms_] += pull**2
-            v[terms_] -= 0.02 * pull / np.sqrt(h2[terms_] + 1e-4)
+            v[terms_] -= factor_step * pull / np.sqrt(h2[terms_])
             b2 += error.sum() ** 2
             bias -= step * error.sum() / np.sqrt(b2)
-    return FactorizationMachine(hashes, float(bias), linear, v)
+    return linear, v, float(bias)
 
 
 def score(

@@ -27,6 +27,40 @@ def test_languages_of_odd_rows(odd):
     assert language_id.learn_dictionaries(none) == {} and language_id.identify(none, dictionaries).collect() == []
 
 
+def test_three_hundred_languages_with_one_long_text_among_them(spark):
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows, words = [], {}
+    for i in range(300):
+        words[i] = ["".join(rng.choice(letters, rng.integers(3, 9))) for _ in range(40)]
+        texts = 1 if i == 7 else 3
+        rows += [(f"l{i}", " ".join(rng.choice(words[i], 4000 if i == 7 else 60))) for _ in range(texts)]
+    rows += [("l0", rows[0][1])] * 2000  # copies fill no dictionary
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(8)
+    dictionaries = language_id.learn_dictionaries(docs, size=2000)
+    assert len(dictionaries) == 300
+    assert len(dictionaries["l7"]) == 2000 and len(dictionaries["l0"]) > 900
+    held = [(f"l{i}", " ".join(rng.choice(words[i], 30))) for i in range(0, 300, 10)] + [("l7", " ".join(rng.choice(words[7], 30)))]
+    got = language_id.identify(spark.createDataFrame(held, "lang string, text string"), dictionaries).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+def test_sizes_equal_those_of_the_library(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null").limit(60)
+    dictionaries = language_id.learn_dictionaries(spark.read.parquet(f"{FOLDER}/documents.parquet"), size=4000)
+    for r in language_id.identify(docs, dictionaries).collect():
+        data = language_id._letters(r["text"])
+        sizes = {}
+        for lang, content in dictionaries.items():
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            make = zstandard.ZstdCompressor(level=9, dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(make.compress(data[i : i + 8192])) for i in range(0, len(data), 8192))
+        if data.strip():
+            assert sizes[r["lang_pred"]] <= 1.002 * min(sizes.values())
+
+
 def test_narrow_margins_are_rejected(spark):
     docs = spark.createDataFrame([("the cat sat on the mat",)], "text string")
     same = {"a": b"the cat sat on the mat ", "b": b"the cat sat on the mat "}
@@ -68,19 +102,37 @@ def test_toxic_texts_held_out(spark):
     assert sum(r["predicted"] for r in got if r["toxic"] == 0) <= 0.01 * len(got)
 
 
-def test_interactions_are_learned(spark):
+@pytest.mark.parametrize("share", [0.5, 0.06])
+def test_exclusive_or_is_learned_by_factors_alone(spark, share):
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(3000):
-        insult, group = (rng.random(2) < 0.4).tolist()
+    for i in range(5000):
+        insult, group = (rng.random(2) < share).tolist()
         words = [f"w{x}" for x in rng.integers(0, 300, 12)] + ["vermin"] * insult + ["strangers"] * group
-        rows.append((i, " ".join(words), int(insult and group)))
+        rows.append((i, " ".join(words), int(insult and group) if share < 0.5 else int(insult != group)))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:2000]], "doc_id bigint, toxic int")
-    model = toxicity.learn(docs, labels, epochs=20)
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
-    held = rows[2000:]
-    assert sum(got[i] == y for i, _, y in held) >= 0.97 * len(held)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:4000]], "doc_id bigint, toxic int")
+    held = rows[4000:]
+
+    def right(rank):
+        model = toxicity.learn(docs, labels, rank=rank)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+        return sum((got[i] > 0.5) == y for i, _, y in held) / len(held)
+
+    assert right(4) >= 0.97
+    if share == 0.5:
+        assert right(0) <= 0.6  # what weights without interactions reach
+
+
+def test_predictions_are_not_those_of_the_weights_alone(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    linear = toxicity.FactorizationMachine(model.hashes, model.bias, model.linear, model.factors * 0)
+    both = toxicity.score(docs, model, keep=["doc_id"]).join(
+        toxicity.score(docs, linear, keep=["doc_id"]).select("doc_id", toxicity.F.col("predicted").alias("other")), "doc_id"
+    )
+    assert both.where("predicted <> other").count() > 0
 
 
 def test_margin_equals_all_pairs():
