@@ -1,26 +1,30 @@
 """Exact k nearest neighbours of every point of a table.
 
-Space is cut into cells of similar size by a k-d tree over a sample. Every point first looks
-inside its own cell; the distance found bounds the search, and only cells whose bounding box is
-closer than that are visited. Equal points are one point with a weight, so copies cost nothing,
-and a cell with many visitors is served by several tasks. The cut points only steer the work:
-the result does not depend on them.
+Space is cut into cells of similar size by k-d trees over samples, cell by cell and again until every cell is small, so the
+number of cells grows with the table and no task holds more than a part of one. Every point first looks
+inside its own cell; the distance found bounds the search, and only cells whose bounding box is closer than that are
+visited: the nearest ones first, then those that the shorter distance still reaches. Equal points are one point with a
+weight, so copies cost nothing, and a cell with many visitors is served by several tasks. The cut points only steer
+the work: the result does not depend on them.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from eventsift.storage import materialise
 
-_MAX_CELLS = 16_384
+_BITS = 12  # one cut gives a cell at most 2 ** _BITS parts, which bounds trees, samples and boxes of a task
+_LEVELS = 5  # cell numbers have _BITS bits for each level
 _SAMPLE_PER_CELL = 24
+_PART_ROWS = 50_000
+_BROADCAST_ROWS = 100_000
+_FIRST_VISITS = 2
 
 
 def distinct_points(df: DataFrame, vector: str, id_col: str) -> DataFrame:
@@ -97,102 +101,199 @@ def _nearest(
 
 
 _EDGES = "pid bigint, nid bigint, d double, w bigint"
-_LOCAL = "pid bigint, v array<double>, cell int, reach double, nids array<bigint>, ds array<double>, ws array<bigint>"
 
 
-def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000) -> DataFrame:
-    """``pid, nid, d, w`` over ``points (pid, v, m)``: the neighbours of each point, nearest first by
-    ``(d, nid)``, with weights that add up to ``k`` (fewer only if the table is smaller).
+def _matrix(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+
+
+def _checked(table: DataFrame) -> DataFrame:
+    """A stored table with one row per cell, broadcast if it has few rows; else every cell is a small part of all rows."""
+    return F.broadcast(table) if table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else table
+
+
+def _parts(rows: Column, rows_per_part: int) -> Column:
+    return (F.floor(rows / rows_per_part) + 1).cast("int")
+
+
+def _copied(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """``table`` once for each of the ``n`` parts of its cell, as columns of its own: it meets rows of the same table."""
+    part = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
+    return table.join(parts, key).select(*[F.col(c).alias(c) for c in table.columns], part)
 
-    The other copies of a point are its first neighbour, at distance 0.
+
+def _dealt(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """``table`` with the part of its cell that a row belongs to."""
+    return table.join(parts, key).withColumn("part", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
+
+
+def _cell_trees(drawn: DataFrame) -> DataFrame:
+    """``cell`` and its tree from sampled rows ``cell, v, wanted``."""
+
+    def cut(rows: pa.Table) -> pa.Table:
+        tree = _cut_space(_matrix(rows.column("v")), rows.column("wanted")[0].as_py())
+        out = {"cell": [rows.column("cell")[0].as_py()], "dim": [tree.dim.tolist()], "cut": [tree.cut.tolist()]}
+        return pa.table(
+            out | {"leaf": [tree.cell.tolist()], "depth": [tree.depth]},
+            schema=pa.schema([("cell", pa.int64()), ("dim", pa.list_(pa.int32())), ("cut", pa.list_(pa.float64())),
+                              ("leaf", pa.list_(pa.int32())), ("depth", pa.int32())]),
+        )
+
+    kind = "cell bigint, dim array<int>, cut array<double>, leaf array<int>, depth int"
+    return drawn.groupBy("cell").applyInArrow(cut, kind)
+
+
+def place(points: DataFrame, cell_rows: int, bits: int = _BITS) -> tuple[DataFrame, int]:
+    """``pid, v, m, cell`` and the number of levels: cells of more than twice ``cell_rows`` are cut until there are none.
+
+    The number of a cell has ``bits`` bits for every level, those of the first cut in front.
+    """
+    start = points.select("pid", F.col("v").cast("array<double>").alias("v"), "m", F.lit(0).cast("bigint").alias("cell"))
+    placed, levels = materialise(start, "cells"), 0
+
+    def relocate(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["pid", "v", "m", "cell"])
+        dim, cut, leaf = (np.array(trees.column(c)[0].as_py()) for c in ("dim", "cut", "leaf"))
+        found = _Cells(dim, cut, leaf, trees.column("depth")[0].as_py()).locate(_matrix(rows.column("v")))
+        cells = (rows.column("cell").to_numpy() << bits) + found
+        return pa.table([*(rows.column(c) for c in ("pid", "v", "m")), pa.array(cells, pa.int64())], ["pid", "v", "m", "cell"])
+
+    while levels < _LEVELS * _BITS // bits:
+        sizes = placed.groupBy("cell").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * cell_rows)
+        wanted = F.least(F.lit(1 << bits), F.ceil(F.col("rows") / cell_rows)).cast("int").alias("wanted")
+        crowded = materialise(sizes.select("cell", "rows", wanted), "crowded")
+        if crowded.isEmpty():
+            break
+        small = _checked(crowded)
+        share = 1.2 * _SAMPLE_PER_CELL * F.col("wanted") / F.col("rows")
+        drawn = placed.join(small, "cell").where(F.pmod(F.xxhash64("pid", F.lit(levels)), F.lit(1 << 20)) < share * (1 << 20))
+        trees = materialise(_cell_trees(drawn.select("cell", "v", "wanted")), "trees")
+        parts = _checked(materialise(trees.select("cell").join(small, "cell").select("cell", _parts(F.col("rows"), _PART_ROWS).alias("n")), "parts"))
+        moved = (
+            _dealt(placed, parts, "cell")
+            .groupBy("cell", "part")
+            .cogroup(_copied(trees, parts, "cell").groupBy("cell", "part"))
+            .applyInArrow(relocate, "pid bigint, v array<double>, m bigint, cell bigint")
+        )
+        same = placed.join(parts, "cell", "left_anti").withColumn("cell", F.shiftleft("cell", bits))
+        placed, levels = materialise(moved.unionByName(same), "cells"), levels + 1
+    return placed, levels
+
+
+def _search(visits: DataFrame, vectors: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """``pid, nid, d, w``: for each visit ``pid, cell`` the neighbours in that cell, no farther than the reach of ``vectors``.
+
+    Visits meet their cell in parts of bounded size.
     """
-    spark = points.sparkSession
-    n = points.count()
-    cells = min(_MAX_CELLS, max(1, round(n / cell_rows)))
-    share = min(1.0, 1.2 * cells * _SAMPLE_PER_CELL / max(n, 1))
-    sample = points.select("v").sample(share, seed=7).collect() if cells > 1 else []
-    tree = _cut_space(np.array([r["v"] for r in sample], dtype=float), cells) if sample else None
-
-    @F.arrow_udf("int")
-    def cell_of(v: pa.Array) -> pa.Array:
-        return pa.array(tree.locate(_matrix(v)))
-
-    where = cell_of("v") if sample else F.lit(0)
-    placed = materialise(points.select("pid", F.col("v").cast("array<double>").alias("v"), "m", where.alias("cell")), "cells")
-
-    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, m = np.stack(pdf["v"].to_numpy()), pdf["pid"].to_numpy(), pdf["m"].to_numpy()
-        rest = k - np.minimum(m - 1, k)
-        out = []
-        for i, nids, ds, ws in _nearest(x, ids, np.full(len(x), np.inf), x, ids, m, k):
-            copies = m[i] - 1
-            reach = 0.0 if rest[i] == 0 else np.inf
-            if rest[i] and ws.sum() >= rest[i]:
-                reach = ds[np.searchsorted(np.cumsum(ws), rest[i])]
-            if copies:
-                nids, ds, ws = np.r_[ids[i], nids], np.r_[0.0, ds], np.r_[copies, ws]
-            out.append((ids[i], x[i], key[0], reach, nids, ds, ws))
-        return pd.DataFrame(out, columns=["pid", "v", "cell", "reach", "nids", "ds", "ws"])
-
-    local = materialise(placed.groupBy("cell").applyInPandas(inside, _LOCAL), "near")
-    edges = local.select("pid", F.inline(F.arrays_zip("nids", "ds", "ws"))).toDF("pid", "nid", "d", "w")
-    if sample:
-        edges = edges.unionByName(_visits(spark, placed, local, k, cell_rows))
+    sizes = visits.groupBy("cell").agg(_parts(F.count("*"), 4 * cell_rows).alias("n"))
+    parts = _checked(materialise(sizes, "parts"))
+    visitors = _dealt(visits.select("pid", "cell"), parts, "cell").join(vectors.select("pid", "v", "reach"), "pid")
+
+    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+        if left.num_rows and right.num_rows:
+            pids, bound = left.column("pid").to_numpy(), left.column("reach").to_numpy()
+            ids, weights = right.column("pid").to_numpy(), right.column("m").to_numpy()
+            x, y = _matrix(left.column("v")), _matrix(right.column("v"))
+            for i, nids, ds, ws in _nearest(x, pids, bound, y, ids, weights, k):
+                found.append((np.full(len(nids), pids[i]), nids, ds, ws))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table([pa.array(c) for c in columns], ["pid", "nid", "d", "w"])
+
+    hosts = _copied(placed.select("cell", "pid", "v", "m"), parts, "cell")
+    return visitors.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInArrow(visit, _EDGES)
+
+
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """Edges of each point, nearest first by ``(d, nid)``, until their weights add up to ``k``."""
     near_first = Window.partitionBy("pid").orderBy("d", "nid")
     ahead = F.sum("w").over(near_first.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        edges.withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
-        .filter(F.col("_ahead") < k)
-        .select("pid", "nid", "d", F.least("w", F.lit(k) - F.col("_ahead")).alias("w"))
-    )
+    kept = edges.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("_ahead") < k)
+    return kept.select("pid", "nid", "d", F.least("w", F.lit(k) - F.col("_ahead")).alias("w"))
 
 
-def _matrix(v: pa.Array) -> np.ndarray:
-    return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1)
+def _with_reach(placed: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``pid, v, cell, reach``: the distance within which the best edges have weight ``k``; infinite if they do not."""
+    reach = F.when(F.sum("w") >= k, F.max("d")).otherwise(F.lit(float("inf")))
+    known = best.groupBy("pid").agg(reach.alias("reach"))
+    found = placed.join(known, "pid", "left")
+    return found.select("pid", "v", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
 
 
-def _visits(spark, placed: DataFrame, local: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """Neighbours found in other cells, at most as far away as those already known."""
-    width = placed.select(F.size("v")).first()[0]
-    edge = [f(F.get("v", i)).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(width)]
-    boxes = placed.groupBy("cell").agg(*edge).orderBy("cell").collect()  # at most _MAX_CELLS rows
-    numbers = np.array([r["cell"] for r in boxes], dtype=np.int32)
-    low = np.array([[r[f"lo{i}"] for i in range(width)] for r in boxes])
-    high = np.array([[r[f"hi{i}"] for i in range(width)] for r in boxes])
-    shared = spark.sparkContext.broadcast((numbers, low, high))
-
-    @F.arrow_udf("array<int>")
-    def to_visit(v: pa.Array, cell: pa.Array, reach: pa.Array) -> pa.Array:
-        numbers, low, high = shared.value
-        x, own = _matrix(v), cell.to_numpy(zero_copy_only=False)
-        far = reach.to_numpy(zero_copy_only=False)
-        out = []
-        for i in range(len(x)):
-            off = np.maximum(np.maximum(low - x[i], x[i] - high), 0.0)
-            # A hair of slack: box and point distances round differently.
-            near = np.sqrt((off * off).sum(axis=1)) <= far[i] * (1 + 1e-9)
-            out.append(numbers[near & (numbers != own[i])])
-        return pa.array(out, pa.list_(pa.int32()))
-
-    calls = materialise(
-        local.filter("reach > 0").select("pid", "v", "reach", F.explode(to_visit("v", "cell", "reach")).alias("cell")),
-        "visits",
-    )
-    # One row per cell; a cell with many visitors is copied for several tasks.
-    shares = calls.groupBy("cell").agg((F.floor(F.count("*") / (4 * cell_rows)) + 1).cast("int").alias("n"))
-    shares = F.broadcast(shares)
-    visitors = calls.join(shares, "cell").withColumn("part", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
-    hosts = placed.join(shares, "cell").select(
-        "cell", "pid", "v", "m", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part")
-    )
-
-    def visit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
-        if len(left) and len(right):
-            x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            pids, bound = left["pid"].to_numpy(), left["reach"].to_numpy()
-            for i, nids, ds, ws in _nearest(x, pids, bound, y, right["pid"].to_numpy(), right["m"].to_numpy(), k):
-                found.append((np.full(len(nids), pids[i]), nids, ds, ws))
-        return pd.DataFrame(dict(zip(["pid", "nid", "d", "w"], map(np.concatenate, zip(*found)))))
+def _boxes(placed: DataFrame, shift: int, bits: int, width: int) -> DataFrame:
+    """``node, child, lo, hi``: the bounding boxes of the cells of one level under those of the level above."""
+    child = F.shiftright("cell", shift)
+    edges = [f(F.get("v", i)).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(width)]
+    boxes = placed.groupBy(child.alias("child")).agg(*edges)
+    sides = (F.array(*[f"{s}{i}" for i in range(width)]).alias(s) for s in ("lo", "hi"))
+    return boxes.select(F.shiftright("child", bits).alias("node"), "child", *sides)
+
+
+def _touched(visits: DataFrame, vectors: DataFrame, boxes: DataFrame, shift: int) -> DataFrame:
+    """``pid, cell, off``: the children of each visited ``cell`` whose boxes are within reach, and how far off they are.
 
-    return visitors.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInPandas(visit, _EDGES)
+    ``shift`` 0 is the last level, where the own cell of a point is left out.
+    """
+    sizes = visits.groupBy("cell").agg(_parts(F.count("*"), _PART_ROWS).alias("n"))
+    parts = _checked(materialise(sizes, "parts"))
+    own = vectors.select("pid", "v", "reach", F.col("cell").alias("own"))
+    left = _dealt(visits.select("pid", "cell"), parts, "cell").join(own, "pid")
+    right = _copied(boxes.withColumnRenamed("node", "cell"), parts, "cell")
+
+    def touch(points: pa.Table, children: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if points.num_rows and children.num_rows:
+            names, low, high = children.column("child").to_numpy(), _matrix(children.column("lo")), _matrix(children.column("hi"))
+            pids, far, own_cell = (points.column(c).to_numpy() for c in ("pid", "reach", "own"))
+            x = _matrix(points.column("v"))
+            for a in range(0, len(x), 128):
+                part = slice(a, a + 128)
+                squares = np.zeros((len(x[part]), len(names)))
+                for j in range(x.shape[1]):
+                    c = x[part, j][:, None]
+                    squares += np.maximum(np.maximum(low[:, j] - c, c - high[:, j]), 0.0) ** 2
+                # A hair of slack: box and point distances round differently.
+                off = np.sqrt(squares) * (1 - 1e-9)
+                near = off <= far[part][:, None]
+                if shift == 0:
+                    near &= names != own_cell[part][:, None]
+                row, at = np.nonzero(near)
+                out.append((pids[part][row], names[at], off[row, at]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table([pa.array(c) for c in columns], ["pid", "cell", "off"])
+
+    grouped = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
+    return grouped.applyInArrow(touch, "pid bigint, cell bigint, off double")
+
+
+def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits: int = _BITS) -> DataFrame:
+    """``pid, nid, d, w`` over ``points (pid, v, m)``: the neighbours of each point, nearest first by
+    ``(d, nid)``, with weights that add up to ``k`` (fewer only if the table is smaller).
+
+    The other copies of a point are its first neighbour, at distance 0. An empty table gives no rows.
+    """
+    placed, levels = place(points, cell_rows, bits)
+    unbounded = placed.select("pid", "v", "cell", F.lit(float("inf")).alias("reach"))
+    copies = placed.where("m > 1").select("pid", F.col("pid").alias("nid"), F.lit(0.0).alias("d"), (F.col("m") - 1).alias("w"))
+    edges = _search(unbounded, unbounded, placed, k, cell_rows).unionByName(copies)
+    best = materialise(_best(edges, k), "near")
+    if levels == 0:
+        return best
+    width = placed.select(F.size("v")).first()[0]
+    vectors = materialise(_with_reach(placed, best, k), "reach")
+    waiting = vectors.where("reach > 0")
+    visits = waiting.select("pid", F.lit(0).cast("bigint").alias("cell"))
+    for level in range(1, levels + 1):
+        shift = bits * (levels - level)
+        boxes = materialise(_boxes(placed, shift, bits, width), "boxes")
+        visits = materialise(_touched(visits, waiting, boxes, shift), "visits")
+    # the nearest boxes first: what is found there shortens the reach for all others
+    rank = F.row_number().over(Window.partitionBy("pid").orderBy("off", "cell"))
+    first = materialise(visits.withColumn("rank", rank).where(F.col("rank") <= _FIRST_VISITS).drop("rank"), "first")
+    best = materialise(_best(best.unionByName(_search(first, waiting, placed, k, cell_rows)), k), "near")
+    vectors = materialise(_with_reach(placed, best, k), "reach")
+    rest = visits.join(first, ["pid", "cell"], "left_anti").join(vectors.select("pid", "reach"), "pid").where("off <= reach")
+    rest = materialise(rest.select("pid", "cell"), "visits")
+    return _best(best.unionByName(_search(rest, vectors, placed, k, cell_rows)), k)

@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 
 from eventsift.functions.fields import tokens
 from eventsift.schema import MAX_TERMS, TEXT_COMPONENTS
-from eventsift.storage import spread
+from eventsift.storage import materialise, spread
 
 _MAX_PARTIALS = 20_000
+_GRAM_TERMS = 1_000  # beyond it the square of the number of terms is more than a task should hold
+_EXTRA_COLUMNS = 10
 
 
 def default_stop_words() -> list[str]:
@@ -184,29 +186,114 @@ def component_count(n_terms: int, n_docs: int, wanted: int = TEXT_COMPONENTS) ->
 
 
 def fit_components(
-    events: DataFrame, vocabulary: Vocabulary, wanted: int = TEXT_COMPONENTS, message: str = "message"
+    events: DataFrame, vocabulary: Vocabulary, wanted: int = TEXT_COMPONENTS, message: str = "message", gram_terms: int = _GRAM_TERMS
 ) -> Components:
-    """Truncated SVD without centring, from the Gram matrix (at most 500 x 500 on the driver)."""
+    """Truncated SVD without centring: from the Gram matrix up to ``gram_terms`` terms, by random projections beyond."""
     size = len(vocabulary.terms)
     k = component_count(size, vocabulary.n_docs, wanted)
     if size == 0:
         return Components(np.zeros((0, k)), np.zeros(k))
-    entries = gram_matrix(events, vocabulary, message).toPandas()
-    gram = np.zeros((size, size))
-    gram[entries["i"], entries["j"]] = entries["value"]
-    gram = np.triu(gram) + np.triu(gram, 1).T
-    values, vectors = np.linalg.eigh(gram)
-    values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+    if size > gram_terms:
+        values, vectors = leading_eigenvectors(sparse_weights(events, vocabulary, message), size, k)
+    else:
+        entries = gram_matrix(events, vocabulary, message).toPandas()
+        gram = np.zeros((size, size))
+        gram[entries["i"], entries["j"]] = entries["value"]
+        gram = np.triu(gram) + np.triu(gram, 1).T
+        values, vectors = np.linalg.eigh(gram)
+        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
     loadings = np.zeros((size, k))
-    start = 0
-    while start < k and values[start] > 1e-12 * values[0]:
+    start, known = 0, len(values)
+    while start < min(k, known) and values[start] > 1e-12 * values[0]:
         end = start + 1
-        while end < size and values[end - 1] - values[end] <= 1e-9 * values[0]:
+        while end < known and values[end - 1] - values[end] <= 1e-9 * values[0]:
             end += 1
         taken = min(end, k) - start
         loadings[:, start : start + taken] = _fixed_basis(vectors[:, start:end], taken)
         start = end
-    return Components(loadings, np.sqrt(values[:k]))
+    return Components(loadings, np.sqrt(np.r_[values, np.zeros(k)][:k]))
+
+
+def sparse_weights(events: DataFrame, vocabulary: Vocabulary, message: str = "message") -> DataFrame:
+    """``terms, weights``: the TF-IDF row of every message with a known term, stored once for repeated products."""
+    terms, idf = vocabulary.terms, vocabulary.idf
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms, pa.string())
+        for batch in batches:
+            row, term, _, weight = _sparse_rows(batch.column(0), known, idf)
+            ends = pa.array(np.r_[np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), len(row)].astype(np.int32)) if len(row) else pa.array([0], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (term.astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays(lists, ["terms", "weights"])
+
+    found = spread(events.select(message)).select(tokens(F.col(message)).alias("tokens"))
+    return materialise(found.mapInArrow(weigh, "terms array<int>, weights array<double>"), "weights")
+
+
+def gram_product(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """The Gram matrix of the sparse ``rows`` times ``block`` (terms x columns), without the matrix itself.
+
+    A task adds up one block for its rows; partial blocks are added by term.
+    """
+    width = block.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros_like(own)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                term, weight = part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy()
+                if len(term):
+                    row = np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy()))
+                    scaled = own[term] * weight[:, None]
+                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                    sums = np.add.reduceat(scaled, starts)
+                    back = np.repeat(sums, np.diff(np.r_[starts, len(row)]), axis=0) * weight[:, None]
+                    found, place = np.unique(term, return_inverse=True)
+                    total[found] += np.stack([np.bincount(place, back[:, c]) for c in range(width)], axis=1)
+        used = np.flatnonzero(total.any(axis=1))
+        columns = [pa.array(used.astype(np.int32)), *(pa.array(total[used, c]) for c in range(width))]
+        yield pa.RecordBatch.from_arrays(columns, ["term", *(f"c{c}" for c in range(width))])
+
+    limit = max(_MAX_PARTIALS, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    partial = rows.coalesce(limit).mapInArrow(multiply, "term int, " + ", ".join(f"c{c} double" for c in range(width)))
+    sums = partial.groupBy("term").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(width)]).toPandas()
+    out = np.zeros_like(block)
+    out[sums["term"].to_numpy()] = sums[[f"c{c}" for c in range(width)]].to_numpy()
+    return out
+
+
+def leading_eigenvectors(
+    rows: DataFrame, size: int, k: int, tolerance: float = 1e-10, passes: int = 40, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``k`` leading eigenvalues and eigenvectors of the Gram matrix of sparse ``rows`` over ``size`` terms.
+
+    A random block is multiplied by the matrix again and again, and each product, made orthogonal to all before, widens
+    the space in which eigenvectors are looked for. It ends when the matrix takes each of them to its multiple up to
+    ``tolerance`` of the largest eigenvalue, or the space grows no more. The driver holds terms x columns only.
+    """
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(size, k + _EXTRA_COLUMNS))))[0]
+    basis, products = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(passes):
+        product = gram_product(rows, block)
+        basis, products = np.hstack([basis, block]), np.hstack([products, product])
+        inner = basis.T @ products
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        residual = products @ turn[:, :k] - (basis @ turn[:, :k]) * values[:k]
+        if np.linalg.norm(residual, axis=0).max(initial=0.0) <= tolerance * max(values[0], 1e-300):
+            break
+        scale = np.linalg.norm(product, axis=0).max(initial=0.0)
+        for _ in range(2):
+            product = product - basis @ (basis.T @ product)
+        left, sizes, _ = np.linalg.svd(product, full_matrices=False)
+        block = left[:, sizes > 1e-12 * max(scale, 1e-300)]
+        if not block.shape[1]:
+            break
+    kept = min(len(values), k + _EXTRA_COLUMNS)
+    return np.clip(values[:kept], 0, None), basis @ turn[:, :kept]
 
 
 def _fixed_basis(space: np.ndarray, n: int) -> np.ndarray:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from eventsift.functions import fields
 from eventsift.functions.lines import line_formats, not_blank
-from eventsift.operators import report, text
+from eventsift.operators import curves, report, text
 from eventsift.operators.behaviour import source_windows
+from eventsift.operators.curves import precision_recall_curve, threshold_counts
 from eventsift.operators.forest import NODE_SCHEMA, Forest, fit_forest, sample_trees
 from eventsift.operators.lof import local_outlier_factor
 from eventsift.operators.ordered import event_positions
@@ -369,6 +370,31 @@ def svd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.get("p", i).alias(f"text_svd_{i}") for i in range(parts.k)])
 
 
+def svd_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all terms of the documents, judged by what makes them the singular vectors.
+
+    Per component: energy of its projections over its squared singular value (1), the largest product with another component's
+    projections over both singular values (0), whether the Gram matrix only stretches it; and the squared sum of all weights.
+    """
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    vocab = text.fit_vocabulary(docs, docs.count(), 20_000, STOP_WORDS, "text")
+    parts = text.fit_components(docs, vocab, message="text")
+    rows = materialise(docs.select(text.projected(F.col("text"), vocab, parts).alias("p")), "projected")
+    pairs = [(i, j) for i in range(parts.k) for j in range(parts.k)]
+    sums = rows.agg(*[F.sum(F.get("p", i) * F.get("p", j)).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    weights = text.sparse_weights(docs, vocab, "text")
+    stretched = text.gram_product(weights, parts.loadings) - parts.loadings * parts.singular_values**2
+    total = weights.agg(F.sum(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w))).first()[0]
+    sigma = parts.singular_values
+    found = []
+    for i in range(parts.k):
+        cross = max(abs(sums[f"s{i}_{j}"]) / float(sigma[i] * sigma[j]) for j in range(parts.k) if j != i)
+        fixed = bool(abs(stretched[:, i]).max() < 1e-7 * sigma[0] ** 2)
+        found.append((i, round(sums[f"s{i}_{i}"] / float(sigma[i] ** 2), 7), abs(round(cross, 7)), fixed, round(total, 5)))
+    schema = "component int, energy double, largest_cross double, only_stretched boolean, squared_weights double"
+    return spark.createDataFrame(found, schema)
+
+
 # ---- forest and scores ------------------------------------------------------------------
 
 
@@ -524,6 +550,22 @@ def label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.label_metrics(flagged, table(spark, sf_dir, "labels"), F.col("quality") == 0, "doc_id")
 
 
+def _length_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of document length as a score for poor quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return threshold_counts(docs, table(spark, sf_dir, "labels"), "n_chars", F.col("quality") == 0, "doc_id")
+
+
+def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = precision_recall_curve(_length_counts(spark, sf_dir))
+    return curve.withColumns({c: F.round(c, 9) for c in ("precision", "recall")})
+
+
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = curves.ranking_quality(_length_counts(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 9) for c in ("average_precision", "roc_area")})
+
+
 # ---- neighbours -------------------------------------------------------------------------
 
 
@@ -533,14 +575,14 @@ def lof_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = local_outlier_factor(_numeric_matrix(spark, sf_dir), NUMERIC_FEATURES)
-    return got.select("event_id", "lof", "is_anomaly")
+    got = local_outlier_factor(_forest_table(spark, sf_dir), NUMERIC_FEATURES)
+    return got.select("event_id", F.round("lof", 5).alias("lof"), "is_anomaly")
 
 
 def detector_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events flagged by the forest, by LOF and by both."""
-    matrix = _numeric_matrix(spark, sf_dir)
-    forest = AnomalyDetector().fit_score(matrix)
+    matrix = _forest_table(spark, sf_dir)
+    forest = AnomalyDetector().fit_score(matrix, NUMERIC_FEATURES)
     return report.detector_agreement(forest, local_outlier_factor(matrix, NUMERIC_FEATURES))
 
 
@@ -608,11 +650,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         log_folder, row_limit, null_time_windows,
         calendar_features, severity_of_level, gap_same_source, rolling_count_60s, rolling_count_3600s, rolling_ties,
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
-        tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features,
+        tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features, svd_identities,
         forest_sample, forest_score_fixed, score_rescale, contamination_flags, contamination_counts, exact_thresholds,
         forest_nodes, forest_scores, detect_anomalies, detection_counts, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
-        label_metrics, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
+        label_metrics, precision_recall, ranking_quality, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
         stream_windows, retrained_scores,
     )
 }

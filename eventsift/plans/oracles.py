@@ -228,6 +228,28 @@ starts AS (
 SELECT source, window_start, window_start + INTERVAL 60 SECOND AS window_end, count(*) AS events FROM starts
 GROUP BY source, window_start"""
 
+# LOF of the rounded features of all events; ``matrix`` has them.
+_EVENT_LOF = """near AS (
+  SELECT a.event_id, unnest(min({'d': list_distance(a.x, b.x), 'nid': b.event_id}, 20)) AS n
+  FROM matrix a JOIN matrix b ON a.event_id <> b.event_id GROUP BY a.event_id),
+edges AS (SELECT event_id, n.nid AS nid, n.d AS d FROM near),
+kd AS (SELECT event_id, max(d) AS k_distance FROM edges GROUP BY event_id),
+lrd AS (
+  SELECT e.event_id, 1 / (avg(greatest(d, k_distance)) + 1e-10) AS density
+  FROM edges e JOIN kd ON kd.event_id = e.nid GROUP BY e.event_id),
+lof AS (
+  SELECT e.event_id, avg(n.density) / any_value(o.density) AS lof
+  FROM edges e JOIN lrd n ON n.event_id = e.nid JOIN lrd o ON o.event_id = e.event_id GROUP BY e.event_id),
+marked AS (SELECT event_id, lof, lof > (SELECT -quantile_cont(-lof, 0.05) FROM lof) AS is_anomaly FROM lof)"""
+
+_CURVE = """WITH counts AS (
+  SELECT n_chars::DOUBLE AS threshold, count(*) FILTER (quality = 0) AS positives, count(*) FILTER (quality <> 0) AS negatives
+  FROM documents JOIN labels USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY n_chars),
+curve AS (
+  SELECT *, CAST(sum(positives) OVER w AS BIGINT) AS true_positives, CAST(sum(negatives) OVER w AS BIGINT) AS false_positives,
+    sum(positives) OVER () AS p, sum(negatives) OVER () AS n FROM counts WINDOW w AS (ORDER BY threshold DESC))"""
+
+
 ORACLES: dict[str, str] = {
     "parse_generic": _select(_GENERIC, "generic"),
     "parse_syslog": _select(_SYSLOG, "syslog"),
@@ -341,4 +363,20 @@ SELECT count(*) AS events, count(*) FILTER (a > ca) AS left_flagged, count(*) FI
     "stream_sliding_counts": _STREAM,
     "stream_windows": f"""WITH {_LOGS}, {_GAPS}, counts AS ({_rows_until("INTERVAL 59999999 MICROSECONDS")})
 SELECT event_id, CAST(gap AS DOUBLE) AS gap_seconds, trailing_count FROM gaps JOIN counts USING (event_id)""",
+    "lof_events": f"""{_FEATURES}, matrix AS (SELECT event_id, [{_ROUNDED}] AS x FROM features), {_EVENT_LOF}
+SELECT event_id, round(lof, 5) AS lof, is_anomaly FROM marked""",
+    "detector_agreement": f"""{_SCORES}, {_EVENT_LOF},
+forest AS (SELECT event_id, raw > (SELECT -quantile_cont(-raw, 0.05) FROM scores) AS f FROM scores)
+SELECT count(*) AS events, count(*) FILTER (f) AS left_flagged, count(*) FILTER (is_anomaly) AS right_flagged,
+  count(*) FILTER (f AND is_anomaly) AS flagged_by_both FROM forest JOIN marked USING (event_id)""",
+    "precision_recall": f"""{_CURVE}
+SELECT threshold, positives, negatives, true_positives, false_positives,
+  round(true_positives / (true_positives + false_positives), 9) AS precision, round(true_positives / p, 9) AS recall FROM curve""",
+    "ranking_quality": f"""{_CURVE}
+SELECT CAST(any_value(p) AS BIGINT) AS positives, CAST(any_value(n) AS BIGINT) AS negatives,
+  round(sum(positives * true_positives / (true_positives + false_positives)) / any_value(p), 9) AS average_precision,
+  round(sum(negatives * (true_positives - positives / 2)) / (any_value(p) * any_value(n)), 9) AS roc_area FROM curve""",
+    "svd_identities": f"""WITH {_TERMS}
+SELECT CAST(unnest(range(8)) AS INTEGER) AS component, 1.0::DOUBLE AS energy, 0.0::DOUBLE AS largest_cross, true AS only_stretched,
+  round((SELECT count(DISTINCT doc_id) FROM uses WHERE term NOT IN ({_STOP}))::DOUBLE, 5) AS squared_weights""",
 }

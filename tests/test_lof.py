@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventsift.operators.lof import local_outlier_factor
-from eventsift.operators.neighbours import distinct_points, nearest_neighbours
+from eventsift.operators.neighbours import distinct_points, nearest_neighbours, place
 
 
 def _points(copies):
@@ -53,3 +53,23 @@ def test_crowded_cell_is_shared(spark):
     kd = _brute(x, 60)[0]
     assert {r.w for r in sums} == {60}
     np.testing.assert_allclose([r.d for r in sorted(sums)], kd)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3])
+def test_cells_are_cut_until_all_are_small(spark, bits):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(250, 2)), rng.normal(50, 0.01, size=(250, 2))])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    points = distinct_points(df, "v", "id")
+    placed, levels = place(points, 20, bits)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert levels > 1 and sum(sizes) == 500 and max(sizes) <= 40
+    edges = nearest_neighbours(points, 9, cell_rows=20, bits=bits).groupBy("pid").agg(F.sum("w").alias("w"), F.max("d").alias("d"))
+    rows = sorted(edges.collect())
+    assert {r.w for r in rows} == {9}
+    np.testing.assert_allclose([r.d for r in rows], _brute(x, 9)[0])
+
+
+def test_no_points_have_no_neighbours(spark):
+    none = spark.createDataFrame([], "id long, v array<double>")
+    assert nearest_neighbours(distinct_points(none, "v", "id"), 3).collect() == []

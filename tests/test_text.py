@@ -97,3 +97,21 @@ def test_equal_singular_values_have_fixed_directions():
     np.testing.assert_allclose(a, b, atol=1e-12)
     np.testing.assert_allclose(a.T @ a, np.eye(3), atol=1e-12)
     np.testing.assert_allclose(text._fixed_basis(turned, 2), a[:, :2], atol=1e-12)
+
+
+def test_components_of_large_vocabularies_equal_those_of_the_gram_matrix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    vocabulary = text.fit_vocabulary(docs, docs.count(), 300, message="text")
+    exact = text.fit_components(docs, vocabulary, 6, "text")
+    projected = text.fit_components(docs, vocabulary, 6, "text", gram_terms=0)
+    np.testing.assert_allclose(projected.singular_values, exact.singular_values, rtol=1e-9)
+    np.testing.assert_allclose(projected.loadings, exact.loadings, atol=1e-6)
+
+
+def test_components_of_few_messages_by_projection(spark):
+    docs = spark.createDataFrame([(0, "alpha beta"), (1, "alpha beta"), (2, "gamma"), (3, "")], "event_id long, message string")
+    vocabulary = text.fit_vocabulary(docs, 4)
+    for limit in (0, 100):
+        parts = text.fit_components(docs, vocabulary, 8, gram_terms=limit)
+        np.testing.assert_allclose(parts.singular_values, [2**0.5, 1.0], atol=1e-12)
+        np.testing.assert_allclose(np.abs(parts.loadings), [[0.5**0.5, 0], [0.5**0.5, 0], [0, 1]], atol=1e-12)
