@@ -39,7 +39,15 @@ from eventsift.sources.guard import enforce_row_limit, list_input
 from eventsift.sources.text import split_lines
 from eventsift.storage import materialise, shared_dir, spread
 from eventsift.streaming.retraining import load_latest, retrain
-from eventsift.streaming.scoring import CarriedEvents, StreamWindows, read_counts, sliding_counts, store_counts
+from eventsift.streaming.scoring import (
+    CarriedEvents,
+    StreamScorer,
+    StreamWindows,
+    read_counts,
+    read_scores,
+    sliding_counts,
+    store_counts,
+)
 
 STOP_WORDS = ["the", "and", "of", "to", "der", "die", "und", "le", "la", "les", "de", "user"]
 SHARES = [0.02, 0.05, 0.1]
@@ -613,10 +621,9 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_counts(spark, f"{out}/data")
 
 
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap and trailing count of a stream that gets ``events`` in four files, oldest first."""
+def _oldest_first(spark: SparkSession, sf_dir: str, events: DataFrame) -> str:
+    """A folder with ``events`` in four files, one for each quarter of their time, written oldest first."""
     path = _fresh_path(spark, "stream")
-    events = log_events(spark, sf_dir).select("event_id", "timestamp", "source")
     first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
     quarter = (last - first) / 4
     for i in range(4):
@@ -626,12 +633,40 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < 3:
             slice_ &= F.col("timestamp") < F.lit(end).cast("timestamp_ntz")
         events.filter(slice_).write.mode("append").parquet(f"{path}/in")
+    return path
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap and trailing count of a stream that gets ``events`` in four files, oldest first."""
+    events = log_events(spark, sf_dir).select("event_id", "timestamp", "source")
+    path = _oldest_first(spark, sf_dir, events)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     windows = StreamWindows(f"{path}/out", CarriedEvents(f"{path}/carried"))
     windows.start_on(stream, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("event_id", "gap_seconds", "trailing_count")
 
 
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events scored as a stream and as one batch by the same model: how many scores and flags agree, by level."""
+    events = log_events(spark, sf_dir)
+    run = analyze_events(events)
+    model = _fresh_path(spark, "model")
+    run.save(model)
+    features, detector = load_models(spark, model)
+    path = _oldest_first(spark, sf_dir, events)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    scorer = StreamScorer(features, detector, f"{path}/out", CarriedEvents(f"{path}/carried"))
+    scorer.start_on(stream, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    streamed = read_scores(spark, f"{path}/out").select("event_id", "level", F.col("anomaly_score").alias("a"), F.col("is_anomaly").alias("f"))
+    batch = score_events(events, features, detector).select("event_id", "anomaly_score", "is_anomaly")
+    both = streamed.join(batch, "event_id")
+    return both.groupBy("level").agg(
+        F.count("*").alias("events"),
+        F.count_if(F.abs(F.col("a") - F.col("anomaly_score")) < 0.011).alias("equal_scores"),
+        F.count_if(F.col("f") == F.col("is_anomaly")).alias("equal_flags"),
+    )
+
+
 def retrained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events scored, without refitting, by a model of the last ten days."""
     path = _fresh_path(spark, "versions")
@@ -655,6 +690,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forest_nodes, forest_scores, detect_anomalies, detection_counts, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
         label_metrics, precision_recall, ranking_quality, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
-        stream_windows, retrained_scores,
+        stream_windows, stream_scores, retrained_scores,
     )
 }

@@ -379,4 +379,5 @@ SELECT CAST(any_value(p) AS BIGINT) AS positives, CAST(any_value(n) AS BIGINT) A
     "svd_identities": f"""WITH {_TERMS}
 SELECT CAST(unnest(range(8)) AS INTEGER) AS component, 1.0::DOUBLE AS energy, 0.0::DOUBLE AS largest_cross, true AS only_stretched,
   round((SELECT count(DISTINCT doc_id) FROM uses WHERE term NOT IN ({_STOP}))::DOUBLE, 5) AS squared_weights""",
+    "stream_scores": f"WITH {_LOGS} SELECT level, count(*) AS events, count(*) AS equal_scores, count(*) AS equal_flags FROM logs GROUP BY level",
 }

@@ -20,6 +20,7 @@ from eventsift.plans.analysis import score_events
 from eventsift.schema import ROLLING_WINDOW_SECONDS
 from eventsift.sources.text import to_lines, with_file_fields
 from eventsift.storage import discard, materialise, scratch
+from eventsift.streaming.batches import BatchTable
 
 
 def read_line_stream(
@@ -122,8 +123,8 @@ class StreamWindows:
 class StreamScorer:
     """``foreachBatch`` function: parse, build features, score, append to a result table.
 
-    Results land in ``output/batch_id=N``, partitioned by date; a repeated batch replaces its own
-    folder, so a restart neither loses nor doubles rows.
+    Results are a ``BatchTable`` under ``output``, partitioned by date: a repeated batch replaces its own rows, so a
+    restart neither loses nor doubles any, and ``read_scores`` sees whole batches only.
     """
 
     features: FeatureModel
@@ -141,7 +142,8 @@ class StreamScorer:
             carried = self.carried.before(raw.sparkSession, batch_id)
             scored = score_events(self.carried.extend(events, carried), self.features, self.detector)
             own = scored.filter("event_id >= 0").withColumn("date", F.to_date("timestamp"))
-            own.write.mode("overwrite").partitionBy("date").parquet(f"{self.output}/batch_id={batch_id}")
+            own = own.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            BatchTable(self.output).write(own, batch_id, ("date",))
             self.carried.store(events, carried, batch_id)
         discard(raw.sparkSession, stored)
 
@@ -150,6 +152,11 @@ class StreamScorer:
         return stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
 
 
+def read_scores(spark: SparkSession, output: str) -> DataFrame:
+    """The results of all batches that a ``StreamScorer`` has completed."""
+    return BatchTable(output).read(spark)
+
+
 def sliding_counts(
     stream: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", delay: str = "10 minutes"
 ) -> DataFrame:

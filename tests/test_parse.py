@@ -1,6 +1,8 @@
 import datetime as dt
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventsift import enforce_row_limit, parse_csv_log, parse_log_file, parse_text_log, validate_input
 from eventsift.functions.lines import LineFormat, line_formats
@@ -310,3 +312,24 @@ def test_run_removes_its_tables(spark, tmp_path):
     with analyze(spark, _file(tmp_path, "a.log", lines)) as run:
         assert run.top(5).count() <= 5 and set(os.listdir(folder)) > before
     assert set(os.listdir(folder)) == before
+
+
+def test_relative_names_are_those_files_only(spark, tmp_path):
+    here = spark._jvm.java.lang.System.getProperty("user.dir")
+    for folder in ("", "in/sub"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / "a.out").write_text(f"2026-06-01 08:00:00 INFO svc: from {folder or 'top'}\n")
+    (tmp_path / "in" / "b +%.log").write_text("2026-06-01 08:00:01 INFO svc: second\n")
+    relative = os.path.relpath(tmp_path / "a.out", here)
+    found = parse_log_file(spark, [relative, str(tmp_path / "in")])
+    assert sorted(r.message for r in found.events.collect()) == ["from top", "second"]
+    assert [r.path.rsplit("/", 2)[-2:] for r in found.rejected.collect()] == [["sub", "a.out"]]
+    odd = parse_log_file(spark, str(tmp_path / "in" / "b +%.log"))
+    assert odd.events.count() == 1
+
+
+def test_row_limits_without_files(spark):
+    ids = spark.range(0, 3000, 1, 7).select((F.col("id") * 7919 % 3001 * 2**40).alias("event_id"))
+    everything = sorted(r.event_id for r in ids.collect())
+    for n in (0, 1, 1234, 2999, 3000, 5000):
+        assert sorted(r.event_id for r in enforce_row_limit(ids, n).collect()) == everything[:n]

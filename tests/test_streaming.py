@@ -1,11 +1,13 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventsift import analyze_events
 from eventsift.operators.behaviour import source_windows
 from eventsift.plans.analysis import load_models, score_events
+from eventsift.streaming.batches import BatchTable
 from eventsift.streaming.retraining import load_latest, retrain
 from eventsift.streaming.scoring import (
     CarriedEvents,
@@ -13,6 +15,7 @@ from eventsift.streaming.scoring import (
     parse_batch,
     read_counts,
     read_line_stream,
+    read_scores,
     sliding_counts,
     store_counts,
 )
@@ -47,7 +50,7 @@ def test_stream_scores_equal_one_batch(spark, tmp_path):
     stream = read_line_stream(spark, str(logs), glob="*.log", max_files=1)
     query = scorer.start_on(stream, str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
+    out = read_scores(spark, str(tmp_path / "out"))
     assert out.select("batch_id").distinct().count() == 3
     got = {(r.timestamp, r.source): r.anomaly_score for r in out.collect()}
     assert got == expected
@@ -106,3 +109,45 @@ def test_retrain_versions(spark, tmp_path):
         1 for i in range(120) if dt.timedelta(minutes=6) < dt.timedelta(seconds=7 * i) <= dt.timedelta(minutes=12)
     )
     assert score_events(events, features, detector).count() == 120
+
+
+def test_batches_are_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    table = BatchTable(str(tmp_path / "table"))
+    with pytest.raises(FileNotFoundError):
+        table.read(spark)
+
+    def rows(n):
+        return spark.range(n).withColumn("day", F.col("id") % 2)
+
+    table.write(rows(4), 0, ("day",))
+    commit = BatchTable._commit
+    monkeypatch.setattr(BatchTable, "_commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):  # written, not committed
+        table.write(rows(100), 1, ("day",))
+    assert table.batches(spark) == [0] and table.read(spark).count() == 4
+    monkeypatch.setattr(BatchTable, "_commit", commit)
+    table.write(rows(5), 1, ("day",))
+    table.write(rows(6), 1, ("day",))  # repeated
+    assert table.batches(spark) == [0, 1] and table.read(spark).count() == 10
+    reader = table.read(spark)
+    table.write(rows(0), 2, ("day",))
+    table.write(rows(1), 3, ("day",))
+    table.compact(spark, ("day",), files=1)
+    assert table.batches(spark) == [0, 1, 2, 3] and reader.count() == 10
+    assert sorted(r.id for r in table.read(spark).collect()) == sorted([*range(4), *range(6), 0])
+    before = len(os.listdir(tmp_path / "table" / "data"))
+    table.clean(spark)
+    table.compact(spark)
+    left = os.listdir(tmp_path / "table" / "data")
+    assert len(left) < before and table.read(spark).count() == 11
+    assert len([n for n in os.listdir(tmp_path / "table" / "manifests") if n.isdigit()]) == 2
+
+
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    table = BatchTable(str(tmp_path / "table"))
+    table.write(spark.range(1), 0)
+    seen = table._latest(spark)
+    table.write(spark.range(2), 1)
+    monkeypatch.setattr(BatchTable, "_latest", lambda *_: seen)
+    with pytest.raises(RuntimeError):
+        table.write(spark.range(3), 1)
