@@ -65,8 +65,10 @@ def sample_trees(
     if rounds == 1 and n_rows > 4 * need:
         share = (need + 8 * math.sqrt(need) + 64) / n_rows
         few = materialise(keyed.filter(F.col("sample_key") < int(share * 2**_KEY_BITS)), "sample")
-        # Short only by a freak of the hash (8 standard deviations): then rank all rows.
-        keyed = few if few.count() >= need else keyed
+        while share < 1 and few.count() < need:  # by a freak of the hash (8 standard deviations), or with equal ids
+            share = min(1.0, 2 * share)
+            few = materialise(keyed.filter(F.col("sample_key") < int(share * 2**_KEY_BITS)), "sample")
+        keyed = few
     rank = F.row_number().over(Window.partitionBy("_round").orderBy("sample_key", id_col)) - 1
     return (
         keyed.withColumn("_rank", rank)

@@ -14,14 +14,17 @@ from eventsift.storage import materialise
 _MIN_TASK_ROWS = 10_000
 
 
+def _range_count(df: DataFrame, rows: int, rows_per_task: int) -> int:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, rows), rows // max(rows_per_task, _MIN_TASK_ROWS) + 1)
+
+
 def sorted_ranges(df: DataFrame, order: list[str], rows: int, rows_per_task: int) -> DataFrame:
     """``df`` with its range number ``_pid`` in the given order, stored once.
 
     Stored, because the range bounds come from sampling and may differ between two runs.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(parts, rows), rows // max(rows_per_task, _MIN_TASK_ROWS) + 1)
+    parts = _range_count(df, rows, rows_per_task)
     ranged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
     return materialise(ranged, "ranges")
 
@@ -54,19 +57,22 @@ def running_totals(
     )
 
 
+_ROW_BITS = 33  # of monotonically_increasing_id: row within a task below, the task above
+
+
 def event_positions(
     events: DataFrame, order: list[str], name: str = "event_index", rows_per_task: int = 2_000_000
 ) -> DataFrame:
-    """``events`` with the 0-based position of each row in ``order`` (a unique key)."""
-    ranged = sorted_ranges(events, order, events.count(), rows_per_task)
-    sizes = ranged.groupBy("_pid").count()
-    # One row per task: small by construction, so an unpartitioned window is fine here.
+    """``events`` with the 0-based position of each row in ``order`` (a unique key).
+
+    Rows are numbered inside their range where they are sorted, before they are stored; the sizes of the
+    ranges ahead, one row per range, do the rest. So all rows move once.
+    """
+    parts = _range_count(events, events.count(), rows_per_task)
+    ranged = events.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_pid", F.shiftright("_at", _ROW_BITS))
     earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_pid").orderBy(*order)
-    return (
-        ranged.withColumn("_n", F.row_number().over(local))
-        .join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.col("_n") + F.col("_off") - 1).cast("bigint"))
-        .drop("_pid", "_n", "_off")
-    )
+    offsets = ranged.groupBy("_pid").count().select("_pid", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_off"))
+    row = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return ranged.join(F.broadcast(offsets), "_pid").withColumn(name, (row + F.col("_off")).cast("bigint")).drop("_pid", "_at", "_off")

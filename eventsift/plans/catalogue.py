@@ -266,6 +266,14 @@ def null_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_windows(events).select("event_id", "gap_seconds", "trailing_count")
 
 
+def no_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap, trailing count and calendar features of events none of which has a time: no median to fill gaps with."""
+    events = log_events(spark, sf_dir).withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    gap, volume = "seconds_since_prev_same_source", "events_per_min_same_source"
+    found = materialise(numeric_features(events).select("event_id", gap, volume, "hour", "day_of_week", "is_weekend"), "numeric")
+    return found.fillna({gap: exact_quantiles(found, gap, [0.5])[0] or 0.0})
+
+
 def row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first third of the events."""
     events = log_events(spark, sf_dir)
@@ -682,7 +690,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         parse_generic, parse_syslog, parse_apache, parse_by_line, parse_fallback_stats, detect_format, document_lines,
         text_files, csv_files, csv_canonicalise, csv_times, csv_missing_columns, bad_bytes, input_guard,
-        log_folder, row_limit, null_time_windows,
+        log_folder, row_limit, null_time_windows, no_times,
         calendar_features, severity_of_level, gap_same_source, rolling_count_60s, rolling_count_3600s, rolling_ties,
         rolling_hot_source, message_lengths, truncate_messages, standardise_features,
         tokens, term_frequencies, vocabulary, tfidf_weights, gram_matrix, svd_features, svd_identities,
