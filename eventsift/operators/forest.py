@@ -66,7 +66,7 @@ def sample_trees(
         share = (need + 8 * math.sqrt(need) + 64) / n_rows
         few = materialise(keyed.filter(F.col("sample_key") < int(share * 2**_KEY_BITS)), "sample")
         while share < 1 and few.count() < need:  # by a freak of the hash (8 standard deviations), or with equal ids
-            share = min(1.0, 2 * share)
+            share = min(1.0, max(2 * share, need / n_rows))
             few = materialise(keyed.filter(F.col("sample_key") < int(share * 2**_KEY_BITS)), "sample")
         keyed = few
     rank = F.row_number().over(Window.partitionBy("_round").orderBy("sample_key", id_col)) - 1
