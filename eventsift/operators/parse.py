@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from eventsift.functions.lines import LineFormat, line_formats
 from eventsift.functions.times import csv_time
 from eventsift.schema import EVENT_FIELDS, EVENT_SCHEMA
-from eventsift.sources.csv import MISSING, SURPLUS, read_csv
+from eventsift.sources.csv import MISSING, ONE_TASK_BYTES, SURPLUS, quoted_name, read_csv
 from eventsift.sources.guard import CSV_NAME, TEXT_NAME, list_input, normal_path
 from eventsift.sources.text import LINE_ORDER, read_lines
 from eventsift.storage import materialise
@@ -158,7 +158,7 @@ def canonicalise(records: DataFrame, epoch_unit: str = "s", keep: list[str] | No
             continue
         for field, known in ALIASES.items():
             if name.strip().lower() in known and field not in cells:
-                cell = F.col(f"`{name}`").cast("string")
+                cell = F.col(quoted_name(name)).cast("string")
                 cells[field] = F.when(~cell.isin(*MISSING), cell)
     cell = {f: cells.get(f, F.lit(None).cast("string")) for f in EVENT_FIELDS}
     surplus = F.col(f"`{SURPLUS}`") if SURPLUS in records.columns else F.lit(None).cast("string")
@@ -199,9 +199,10 @@ def parse_csv_log(
     same_header: bool = False,
     multi_line: bool | None = None,
     wanted: Column | None = None,
+    one_task_bytes: int = ONE_TASK_BYTES,
 ) -> ParseResult:
     """Parse CSV exports; every record counts as parsed unless it has more cells than the header."""
-    parts = read_csv(spark, paths, glob, max_bytes, same_header, multi_line, wanted)
+    parts = read_csv(spark, paths, glob, max_bytes, same_header, multi_line, wanted, one_task_bytes)
     if not parts:
         return ParseResult(spark.createDataFrame([], EVENT_SCHEMA))
     events = None
@@ -220,7 +221,7 @@ def parse_log_file(spark: SparkSession, paths: str | list[str], **options) -> Pa
     Every file is decided on alone; files that are not read are in ``rejected`` with the reason.
     """
     text_opts = {k: v for k, v in options.items() if k in ("detect", "fmt", "syslog_year", "formats", "max_bytes")}
-    csv_opts = {k: v for k, v in options.items() if k in ("epoch_unit", "max_bytes", "same_header", "multi_line")}
+    csv_opts = {k: v for k, v in options.items() if k in ("epoch_unit", "max_bytes", "same_header", "multi_line", "one_task_bytes")}
     listed = list_input(spark, paths, options.get("max_bytes"))
     rejected = listed.filter("reason is not null").select("path", "length", "reason")
     read = listed.filter("reason is null")

@@ -269,6 +269,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS line_no, CAST(NULL AS VARCHAR) AS level, CA
   a[i + 1] AS message, false AS parsed FROM lines WHERE regexp_matches(a[i + 1], '\S')""",
     "text_files": f"SELECT * EXCLUDE (event_id) FROM ({_select(_GENERIC, 'generic')})",
     "csv_files": f"SELECT {_CSV_FIELDS}",
+    "csv_quoted_blocks": f"SELECT {_CSV_FIELDS}",
     "csv_canonicalise": f"SELECT {_CSV_FIELDS}",
     "log_folder": f"""WITH {_LOGS}
 SELECT CASE WHEN level = 'ERROR' THEN date_trunc('second', timestamp) ELSE timestamp END AS timestamp,

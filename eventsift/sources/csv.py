@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventsift.sources.quoted import block_states, read_blocks, read_records
+
 # Cells read as missing.
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -16,7 +18,7 @@ MISSING = [
 SURPLUS = "surplus\x1f"
 
 # Below this size a file is read by one task anyway, so quoted line breaks cost nothing.
-_ONE_TASK_BYTES = 128 * 1024 * 1024
+ONE_TASK_BYTES = 128 * 1024 * 1024
 
 
 def read_csv(
@@ -27,14 +29,16 @@ def read_csv(
     same_header: bool = False,
     multi_line: bool | None = None,
     wanted: Column | None = None,
+    one_task_bytes: int = ONE_TASK_BYTES,
 ) -> list[DataFrame]:
     """One DataFrame per distinct header row: its columns as text, plus ``event_id, file, block_start``
     and ``surplus``, the whole text of records with more cells than the header (else null).
 
     Folders are read to any depth; ``wanted`` (over ``file``) selects files.
-    ``same_header`` skips the look at every file's first row; a file with another header then fails. ``multi_line=None`` decides by the
-    data: quoted line breaks force a file into one task, so files above 128 MiB are read in
-    blocks when no quoted cell in them spans lines.
+    ``same_header`` skips the look at every file's first row; a file with another header then fails. Files up to
+    ``one_task_bytes`` are read by one task each, larger ones by blocks. ``multi_line=None`` looks whether cells of the larger
+    ones span lines; True and False say so. Lines of files that are cut in such a way end at line feeds, with or without a
+    carriage return ahead.
     """
     reader = spark.read.option("recursiveFileLookup", True)
     if glob:
@@ -49,24 +53,32 @@ def read_csv(
         files = files.filter(wanted)
     if max_bytes is not None:
         files = files.filter(F.col("length") <= max_bytes)
-    big = F.col("length") > _ONE_TASK_BYTES
+    big = F.col("length") > one_task_bytes
     # Both lists name files only; Spark's own file index holds the same names on the driver.
     sized = files.withColumn("big", big).collect()
     if not sized:
         return []
     names = [r["file"] for r in sized]
     headers = dict.fromkeys(names, "") if same_header else _first_rows(spark, names)
-    if multi_line is None:
-        large = [r["file"] for r in sized if r["big"]]
-        spanning = _with_open_quotes(spark, large) if large else set()
-        whole = {n: n in spanning or n not in set(large) for n in names}
-    else:
-        whole = dict.fromkeys(names, multi_line)
-    groups: dict[tuple[str, bool], list[str]] = {}
+    large = [r["file"] for r in sized if r["big"]]
+    whole = dict.fromkeys(names, multi_line is not False)
+    whole |= dict.fromkeys(large, False)
+    # Names that Spark reads itself, as the header row goes on in the next line, stay in one task.
+    cut = [n for n in large if multi_line is not False and n in headers and _column_names(headers[n])]
+    states, spanning = None, set()
+    if cut:
+        states = block_states(read_blocks(spark, cut))
+        chosen = states if multi_line else states.filter("spans")
+        spanning = {_plain(r["file"]) for r in chosen.select("file").distinct().collect()}
+    whole |= {n: True for n in set(large) - set(cut) if multi_line is not False}
+    groups: dict[tuple[str, bool, bool], list[str]] = {}
     for name in names:
         if name in headers:
-            groups.setdefault((headers[name], whole[name]), []).append(name)
-    return [_read_group(spark, group, header, one_task) for (header, one_task), group in groups.items()]
+            groups.setdefault((headers[name], whole[name], _plain(name) in spanning), []).append(name)
+    return [
+        _cut_group(spark, group, header, states) if spans else _read_group(spark, group, header, one_task)
+        for (header, one_task, spans), group in groups.items()
+    ]
 
 
 def _read_group(spark: SparkSession, names: list[str], header: str, one_task: bool) -> DataFrame:
@@ -80,14 +92,12 @@ def _read_group(spark: SparkSession, names: list[str], header: str, one_task: bo
         reader = reader.option("enforceSchema", False)
     records = reader.csv(names)
     surplus = F.lit(None).cast("string")
-    if columns:  # the reader marks records with too few cells as well; those are just padded
-        unquoted = F.regexp_replace(record, r'"([^"]|"")*"', "")
-        cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    if columns:
         # The reader needs one real column besides the record, so the first one takes part.
-        present = F.coalesce(F.length(f"`{columns[0]}`"), F.lit(0)) >= 0
-        surplus = F.when((cells > len(columns)) & present, F.col(record))
+        present = F.coalesce(F.length(quoted_name(columns[0])), F.lit(0)) >= 0
+        surplus = F.when(_too_many_cells(F.col(record), columns) & present, F.col(record))
     return records.select(
-        *[F.col(f"`{c}`").cast(T.StringType()).alias(c) for c in records.columns if c != record],
+        *[F.col(quoted_name(c)).cast(T.StringType()).alias(c) for c in records.columns if c != record],
         surplus.alias(SURPLUS),
         F.monotonically_increasing_id().alias("event_id"),
         F.col("_metadata.file_path").alias("file"),
@@ -95,6 +105,34 @@ def _read_group(spark: SparkSession, names: list[str], header: str, one_task: bo
     )
 
 
+def _cut_group(spark: SparkSession, names: list[str], header: str, states: DataFrame) -> DataFrame:
+    """As ``_read_group`` for large files with cells that span lines: records are cut by many tasks, then parsed."""
+    columns = _column_names(header)
+    record = _unused("_record", columns)
+    options = {"escape": '"', "columnNameOfCorruptRecord": record}
+    cells = F.from_csv("text", ", ".join(f"{quoted_name(c)} string" for c in [*columns, record]), options)
+    found = read_records(spark, names, states, "text").select("file", "block_start", cells.alias("cells"))
+    broken = F.col("cells").getField(record)
+    return found.select(
+        *[F.col("cells").getField(c).alias(c) for c in columns],
+        F.when(_too_many_cells(broken, columns), broken).alias(SURPLUS),
+        F.monotonically_increasing_id().alias("event_id"),
+        "file",
+        "block_start",
+    )
+
+
+def _too_many_cells(record: Column, columns: list[str]) -> Column:
+    """Whether a record that the reader marks has surplus cells; it marks those with too few as well, which are padded."""
+    unquoted = F.regexp_replace(record, '"[^"]*"', "")
+    return F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1 > len(columns)
+
+
+def quoted_name(column: str) -> str:
+    """``column`` as a name for Spark, whatever characters it holds."""
+    return f"`{column.replace('`', '``')}`"
+
+
 def _unused(name: str, taken: list[str]) -> str:
     while name.lower() in {t.lower() for t in taken}:
         name += "_"
@@ -130,13 +168,6 @@ def _first_rows(spark: SparkSession, names: list[str]) -> dict[str, str]:
     return {n: by_path[_plain(n)] for n in names if _plain(n) in by_path}
 
 
-def _with_open_quotes(spark: SparkSession, names: list[str]) -> set[str]:
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = spark.read.text(names).filter(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file")).distinct()
-    found = {_plain(r["file"]) for r in odd.collect()}
-    return {n for n in names if _plain(n) in found}
-
-
 def _plain(path: str) -> str:
     """Paths come as ``file:/x`` or ``file:///x`` depending on the column."""
     scheme, colon, rest = path.partition(":")

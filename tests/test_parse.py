@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from eventsift import enforce_row_limit, parse_csv_log, parse_log_file, parse_te
 from eventsift.functions.lines import LineFormat, line_formats
 from eventsift.functions.times import csv_time
 from eventsift.operators.parse import canonicalise, format_votes, parse_lines
-from eventsift.sources.csv import read_csv
+from eventsift.sources.csv import SURPLUS, read_csv
 from eventsift.sources.text import read_lines
 
 GENERIC = [
@@ -195,12 +196,53 @@ def test_csv_files_with_different_headers(spark, tmp_path):
     assert len({r.event_id for r in rows}) == 2
 
 
-def test_large_csv_is_split_only_without_spanning_cells(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("eventsift.sources.csv._ONE_TASK_BYTES", 10)
+def test_large_csv_with_and_without_spanning_cells(spark, tmp_path):
     flat = _file(tmp_path, "flat.csv", "time,msg\n2026-06-01 00:00:00,one\n")
     span = _file(tmp_path, "span.csv", 'time,msg\n2026-06-01 00:00:00,"one\ntwo"\n')
-    assert [r.msg for r in read_csv(spark, flat)[0].collect()] == ["one"]
-    assert [r.msg for r in read_csv(spark, span)[0].collect()] == ["one\ntwo"]
+    assert [r.msg for r in read_csv(spark, flat, one_task_bytes=10)[0].collect()] == ["one"]
+    assert [r.msg for r in read_csv(spark, span, one_task_bytes=10)[0].collect()] == ["one\ntwo"]
+
+
+@pytest.mark.parametrize("block, end", [(700, "\n"), (900, "\r\n")])
+def test_quoted_line_breaks_are_cut_by_many_tasks(spark, tmp_path, monkeypatch, block, end):
+    rng = random.Random(block)
+    cells = ["", "plain", "a,b", "x\ny", "\n\n", 'say ""hi""', '""\n""', "long " * 20 + "\n" + "tail,\n" * 30, "w\r\nz", "x\n2026,\"\"q"]
+    bare = ["", "7", '5"" pipe'.replace('""', '"'), 'a""b', " spaced "]
+    lines = ["time,msg,other`s"]
+    for i in range(150):
+        row = [f"{i}", *(rng.choice(bare) if rng.random() < 0.4 else f'"{rng.choice(cells)}"' for _ in range(2))]
+        lines.append(",".join(row + ["more"] * (i % 50 == 7)) + end * (i % 40 == 3))
+    path = _file(tmp_path, "a.csv", end * 2 + end.join(lines))
+    expected = read_csv(spark, path)[0].collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = []
+        for rows in (200_000, 0):  # block states by broadcast and by a join
+            monkeypatch.setattr("eventsift.sources.quoted._BROADCAST_BLOCKS", rows)
+            (table,) = read_csv(spark, path, one_task_bytes=10)
+            assert table.columns == ["time", "msg", "other`s", SURPLUS, "event_id", "file", "block_start"]
+            found.append(sorted(table.collect(), key=lambda r: (r.block_start, r.event_id)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len({r.block_start for r in found[0]}) > 7
+    for rows in found:
+        assert len({r.event_id for r in rows}) == len(rows)
+        assert [tuple(r)[:4] for r in rows] == [tuple(r)[:4] for r in expected]
+
+
+def test_a_quote_that_nothing_closes(spark, tmp_path, monkeypatch):
+    path = _file(tmp_path, "a.csv", 'time,msg\n1,a\n2,"open\n3,b\n4,c')
+    rows = sorted(read_csv(spark, path, one_task_bytes=10)[0].collect(), key=lambda r: r.event_id)
+    assert [r.time for r in rows] == ["1", "2"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")
+    monkeypatch.setattr("eventsift.sources.quoted.MAX_RECORD_CHARS", 5)
+    try:
+        with pytest.raises(Exception, match="open for more than"):
+            read_csv(spark, path, one_task_bytes=10)[0].collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_dispatch_by_extension(spark, tmp_path):
