@@ -39,6 +39,7 @@ from eventsift.sources.csv import ONE_TASK_BYTES
 from eventsift.sources.guard import enforce_row_limit, list_input
 from eventsift.sources.text import split_lines
 from eventsift.storage import materialise, shared_dir, spread
+from eventsift.streaming.late import LateWindows, read_windows
 from eventsift.streaming.retraining import load_latest, retrain
 from eventsift.streaming.scoring import (
     CarriedEvents,
@@ -635,17 +636,18 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_counts(spark, f"{out}/data")
 
 
-def _oldest_first(spark: SparkSession, sf_dir: str, events: DataFrame) -> str:
-    """A folder with ``events`` in four files, one for each quarter of their time, written oldest first."""
+def _oldest_first(spark: SparkSession, sf_dir: str, events: DataFrame, order: Column | None = None) -> str:
+    """A folder with ``events`` in four files, one for each quarter of their time (or of ``order``), written oldest first."""
+    order = F.col("timestamp") if order is None else order
     path = _fresh_path(spark, "stream")
     first, last = table(spark, sf_dir, "events").agg(F.min("ts"), F.max("ts")).first()
     quarter = (last - first) / 4
     for i in range(4):
         # File times decide the order, so the files are written one after the other.
         start, end = first + i * quarter, first + (i + 1) * quarter
-        slice_ = F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")
+        slice_ = order >= F.lit(start).cast("timestamp_ntz")
         if i < 3:
-            slice_ &= F.col("timestamp") < F.lit(end).cast("timestamp_ntz")
+            slice_ &= order < F.lit(end).cast("timestamp_ntz")
         events.filter(slice_).write.mode("append").parquet(f"{path}/in")
     return path
 
@@ -660,6 +662,18 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").select("event_id", "gap_seconds", "trailing_count")
 
 
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap and trailing count of a stream that gets ``events`` up to six hours late, so out of order."""
+    events = log_events(spark, sf_dir).select("event_id", "timestamp", "source")
+    delay = 6 * 3600
+    late_by = F.make_dt_interval(secs=F.pmod(F.xxhash64("event_id"), F.lit(delay)).cast("decimal(18,6)"))
+    path = _oldest_first(spark, sf_dir, events, F.col("timestamp") + late_by)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    windows = LateWindows(f"{path}/out", f"{path}/open", delay_seconds=delay)
+    windows.start_on(stream, f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return read_windows(spark, f"{path}/out").select("event_id", "gap_seconds", "trailing_count")
+
+
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events scored as a stream and as one batch by the same model: how many scores and flags agree, by level."""
     events = log_events(spark, sf_dir)
@@ -704,6 +718,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forest_nodes, forest_scores, detect_anomalies, detection_counts, model_roundtrip,
         run_summary, level_counts, top_anomalies, top_events, preview, plot_series, time_order, results_csv,
         label_metrics, precision_recall, ranking_quality, lof_embeddings, lof_events, detector_agreement, flag_agreement, stream_sliding_counts,
-        stream_windows, stream_scores, retrained_scores,
+        stream_windows, stream_late_windows, stream_scores, retrained_scores,
     )
 }

@@ -381,6 +381,8 @@ SELECT CAST(any_value(p) AS BIGINT) AS positives, CAST(any_value(n) AS BIGINT) A
 SELECT CAST(unnest(range(8)) AS INTEGER) AS component, 1.0::DOUBLE AS energy, 0.0::DOUBLE AS largest_cross, true AS only_stretched,
   round((SELECT count(DISTINCT doc_id) FROM uses WHERE term NOT IN ({_STOP}))::DOUBLE, 5) AS squared_weights""",
     "stream_scores": f"WITH {_LOGS} SELECT level, count(*) AS events, count(*) AS equal_scores, count(*) AS equal_flags FROM logs GROUP BY level",
+    "stream_late_windows": f"""WITH {_LOGS}, {_GAPS}, counts AS ({_rows_until("INTERVAL 59999999 MICROSECONDS")})
+SELECT event_id, CAST(gap AS DOUBLE) AS gap_seconds, trailing_count FROM gaps JOIN counts USING (event_id)""",
     "no_times": """SELECT event_id, 0.0::DOUBLE AS seconds_since_prev_same_source, 0.0::DOUBLE AS events_per_min_same_source,
   -1.0::DOUBLE AS hour, -1.0::DOUBLE AS day_of_week, 0.0::DOUBLE AS is_weekend FROM events""",
 }
