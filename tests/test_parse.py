@@ -124,6 +124,24 @@ def test_votes_use_the_first_25_lines(spark, tmp_path):
     assert stats["b.log"].parse_rate == pytest.approx(1 / 41)
 
 
+def test_vote_of_files_with_blank_blocks_and_of_many_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    # three blank blocks, then 24 lines of one layout and many of another
+    _file(folder, "blank.log", "\n" * 30_000 + "\n".join([SYSLOG] * 24 + [APACHE] * 900))
+    for i in range(60):
+        _file(folder, f"s{i:02}.log", "\n".join([APACHE] * (i % 3) + [SYSLOG] * 2 + [GENERIC[0]] * 40))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        votes = {r.file.rsplit("/")[-1]: r for r in format_votes(read_lines(spark, str(folder))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (votes["blank.log"].votes_syslog, votes["blank.log"].votes_apache_combined) == (24, 1)
+    for i in range(60):
+        r = votes[f"s{i:02}.log"]
+        assert (r.votes_apache_combined, r.votes_syslog, r.votes_generic) == (i % 3, 2, 23 - i % 3)
+
+
 def test_small_blocks_keep_order(spark, tmp_path):
     path = _file(tmp_path, "a.log", "\n".join(f"2026-03-09 17:40:12 INFO s: {i}" for i in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
