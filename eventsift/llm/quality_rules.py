@@ -83,6 +83,26 @@ def _bucket(hashed: Column, size: int) -> Column:
     return hashed.bitwiseAND(F.lit(size - 1)).cast("int")
 
 
+_MARKS = 1 << 26  # bits at most: 8 MB, and one key in ten is taken for another at 7 million keys
+
+
+def _marked(keys: DataFrame, key: str, most: int = _MARKS) -> Column:
+    """Whether the key column ``_key`` may be among ``keys``: false for no key that is, true for few that are not.
+
+    One bit for each hash, about sixteen a key and at most ``most`` in all, a power of two and 64 or more.
+    """
+    size = min(max(64, 1 << (16 * keys.count()).bit_length()), most)
+    place = F.xxhash64(key).bitwiseAND(F.lit(size - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    filled = keys.sparkSession.range(size // 64).join(found, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda s: s["bits"])
+    bits = materialise(filled.coalesce(1).agg(listed.alias("marks")), "marks").select("marks").scalar()
+    here = F.xxhash64("_key").bitwiseAND(F.lit(size - 1))
+    word = F.get(bits, F.shiftright(here, 6).cast("int"))
+    return F.col("_key").isNotNull() & (F.getbit(word, here.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+
 def likelihood_ratios(
     docs: DataFrame,
     trusted: DataFrame,
@@ -96,11 +116,14 @@ def likelihood_ratios(
     Both sides are counted over all of ``docs``: the corpus on every row, the trusted target on every row whose
     key is in ``trusted``. Shares are smoothed by ``smoothing`` counts per bucket.
     """
-    picked = trusted.select(F.col(key).alias("_key")).where("_key is not null").distinct().withColumn("_trusted", F.lit(1))
-    # which rows are trusted is a plain join, of the texts as they are; rows without a key are in no join, else they would meet
-    source = docs.select(F.col(key).alias("_key"), docs[text].alias("_text"))
-    without = source.where("_key is null").select(F.lit(None).cast("int").alias("_trusted"), "_text")
-    source = source.where("_key is not null").join(picked, "_key", "left").select("_trusted", "_text").unionAll(without)
+    kind = docs.schema[key].dataType
+    picked = materialise(trusted.select(F.col(key).try_cast(kind).alias("_key")).where("_key is not null").distinct(), "trusted")
+    # only rows whose key may be trusted move, of any number in the same way; the others are counted where they are read
+    source = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    maybe = _marked(picked, "_key")
+    without = source.where(~maybe).select(F.lit(None).cast("int").alias("_trusted"), "_text")
+    joined = source.where(maybe).join(picked.withColumn("_trusted", F.lit(1)).hint("shuffle_hash"), "_key", "left")
+    source = joined.select("_trusted", "_text").unionAll(without)
     source = source.select("_trusted", words(F.col("_text")).alias("_words"))
     source = source.select("_trusted", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     following = F.slice("_hashes", 2, F.greatest(F.size("_hashes") - 1, F.lit(0)))  # the last word has none
