@@ -3,9 +3,9 @@
 Space is cut into cells of similar size by k-d trees over samples, cell by cell and again until every cell is small, so the
 number of cells grows with the table and no task holds more than a part of one. Every point first looks
 inside its own cell; the distance found bounds the search, and only cells whose bounding box is closer than that are
-visited: the nearest ones first, then those that the shorter distance still reaches. Equal points are one point with a
+visited. Equal points are one point with a
 weight, so copies cost nothing, and a cell with many visitors is served by several tasks. The cut points only steer
-the work: the result does not depend on them.
+the work: the result does not depend on them. In many dimensions boxes exclude nothing: there all pairs of blocks are compared.
 """
 
 from collections.abc import Iterator
@@ -24,7 +24,11 @@ _LEVELS = 5  # cell numbers have _BITS bits for each level
 _SAMPLE_PER_CELL = 24
 _PART_ROWS = 50_000
 _BROADCAST_ROWS = 100_000
-_FIRST_VISITS = 2
+_TOUCH_ROWS = 20_000
+_BLOCK_CELLS = 1 << 19  # distances held at once
+_BOX_WIDTH = 16  # in more dimensions than this every box is near every point
+_BLOCK_ROWS = 1 << 15
+_LEAST_BLOCKS, _LEAST_ROWS = 8, 1 << 12  # small tables are cut into more blocks than memory asks for
 
 
 def distinct_points(df: DataFrame, vector: str, id_col: str) -> DataFrame:
@@ -81,26 +85,57 @@ def _halve(x: np.ndarray) -> tuple[int, float] | None:
 
 
 def _nearest(
-    x: np.ndarray, own: np.ndarray, bound: np.ndarray, y: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row of ``x``: ids, distances and weights of its nearest points in ``y`` up to weight ``k``."""
-    for a in range(0, len(x), 256):
-        block = x[a : a + 256]
-        d2 = np.zeros((len(block), len(y)))
-        for j in range(x.shape[1]):
-            d2 += np.subtract.outer(block[:, j], y[:, j]) ** 2
-        d2[own[a : a + 256, None] == ids[None, :]] = np.inf
-        kth = np.partition(d2, k - 1, axis=1)[:, k - 1] if k < len(y) else np.full(len(block), np.inf)
-        for i, row in enumerate(d2):
-            near = np.flatnonzero((row <= kth[i]) & np.isfinite(row))
-            near = near[np.lexsort((ids[near], row[near]))]
-            distance = np.sqrt(row[near])
-            ahead = np.cumsum(weights[near]) - weights[near]
-            take = (ahead < k) & (distance <= bound[a + i])
-            yield a + i, ids[near][take], distance[take], weights[near][take]
+    x: np.ndarray, own: np.ndarray, bound: np.ndarray, need: np.ndarray, y: np.ndarray, ids: np.ndarray, weights: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x``, and ids, distances and weights of their nearest points in ``y`` within ``bound`` up to weight ``need``.
+
+    A matrix product gives all squared distances up to rounding. Only points that these cannot rule out are measured by
+    coordinates, so the result does not depend on the product. Points that are not finite are near nothing.
+    """
+    fine, there = np.flatnonzero(np.isfinite(x).all(axis=1) & (need > 0)), np.isfinite(y).all(axis=1)
+    y, ids, weights = y[there], ids[there], weights[there]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
+    if not len(fine) or not len(y):
+        return found[0]
+    centre, k = y.mean(axis=0), int(need.max())
+    moved, columns = y - centre, np.ascontiguousarray(y.T)
+    squares = (moved * moved).sum(axis=1)
+    rounding = 16 * (x.shape[1] + 4) * np.finfo(float).eps
+    group = max(1, len(y) // (8 * (k + 1)))
+    whole = len(y) // group * group
+    step = max(16, _BLOCK_CELLS // len(y))
+    for a in range(0, len(fine), step):
+        at = fine[a : a + step]
+        block = x[at] - centre
+        size = (block * block).sum(axis=1)
+        about = (-2 * block) @ moved.T
+        about += squares
+        about += size[:, None]
+        limit = (bound[at] * (1 + 1e-9)) ** 2
+        if len(y) > k + 1:  # of the least of each group, one more than wanted, as a point finds itself
+            least = about[:, :whole].reshape(len(at), group, -1).min(axis=1)
+            limit = np.minimum(limit, np.partition(least, k, axis=1)[:, k])
+        limit = limit + rounding * (size + squares.max())
+        row, col = np.divmod(np.flatnonzero(~(about > limit[:, None])), len(y))
+        others = own[at[row]] != ids[col]
+        row, col = row[others], col[others]
+        d2, own_columns = np.zeros(len(row)), np.ascontiguousarray(x[at].T)
+        for mine, theirs in zip(own_columns, columns, strict=True):
+            d2 += (mine[row] - theirs[col]) ** 2
+        order = np.lexsort((ids[col], d2, row))
+        order = order[np.isfinite(d2[order])]
+        row, col, distance = at[row[order]], col[order], np.sqrt(d2[order])
+        w = weights[col]
+        ahead = np.cumsum(w) - w
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        ahead -= np.repeat(ahead[starts], np.diff(np.r_[starts, len(row)]))
+        take = (ahead < need[row]) & (distance <= bound[row])
+        found.append((row[take], ids[col[take]], distance[take], w[take]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 _EDGES = "pid bigint, nid bigint, d double, w bigint"
+_NO_EDGES = pa.schema([("pid", pa.int64()), ("nid", pa.int64()), ("d", pa.float64()), ("w", pa.int64())]).empty_table()
 
 
 def _matrix(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -182,28 +217,74 @@ def place(points: DataFrame, cell_rows: int, bits: int = _BITS) -> tuple[DataFra
     return placed, levels
 
 
-def _search(visits: DataFrame, vectors: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """``pid, nid, d, w``: for each visit ``pid, cell`` the neighbours in that cell, no farther than the reach of ``vectors``.
+def _needed(left: pa.Table, k: int) -> np.ndarray:
+    """The weight a point lacks from others: its own copies come first."""
+    return np.maximum(k - (left.column("m").to_numpy() - 1), 0)
 
-    Visits meet their cell in parts of bounded size.
-    """
+
+def _edges_between(left: pa.Table, right: pa.Table, bound: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    pids, ids, weights = left.column("pid").to_numpy(), right.column("pid").to_numpy(), right.column("m").to_numpy()
+    return _nearest(_matrix(left.column("v")), pids, bound, _needed(left, k), _matrix(right.column("v")), ids, weights)
+
+
+def _cogrouped_with_cells(visits: DataFrame, placed: DataFrame, cell_rows: int):
+    """Visits ``pid, v, m, cell`` (and more) with the points of their cell, in parts of bounded size."""
     sizes = visits.groupBy("cell").agg(_parts(F.count("*"), 4 * cell_rows).alias("n"))
     parts = _checked(materialise(sizes, "parts"))
-    visitors = _dealt(visits.select("pid", "cell"), parts, "cell").join(vectors.select("pid", "v", "reach"), "pid")
+    hosts = _copied(placed.select("cell", "pid", "v", "m"), parts, "cell")
+    return _dealt(visits, parts, "cell").groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part"))
+
+
+def _own_reach(placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """``pid, v, m, cell, reach``: the distance within which the own cell has weight ``k``; infinite if it has less."""
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))]
-        if left.num_rows and right.num_rows:
-            pids, bound = left.column("pid").to_numpy(), left.column("reach").to_numpy()
-            ids, weights = right.column("pid").to_numpy(), right.column("m").to_numpy()
-            x, y = _matrix(left.column("v")), _matrix(right.column("v"))
-            for i, nids, ds, ws in _nearest(x, pids, bound, y, ids, weights, k):
-                found.append((np.full(len(nids), pids[i]), nids, ds, ws))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.table([pa.array(c) for c in columns], ["pid", "nid", "d", "w"])
+        left = left.select(["pid", "v", "m", "cell"])
+        reach = np.zeros(left.num_rows)
+        if left.num_rows:
+            row, _, d, w = _edges_between(left, right, np.full(left.num_rows, np.inf), k)
+            np.maximum.at(reach, row, d)
+            reach[np.bincount(row, w, left.num_rows) < _needed(left, k)] = np.inf
+        return left.append_column("reach", pa.array(reach))
+
+    grouped = _cogrouped_with_cells(placed, placed, cell_rows)
+    return grouped.applyInArrow(visit, "pid bigint, v array<double>, m bigint, cell bigint, reach double")
+
+
+def _edge_table(left: pa.Table, found: tuple[np.ndarray, ...]) -> pa.Table:
+    row, *rest = found
+    return pa.table([pa.array(c) for c in (left.column("pid").to_numpy()[row], *rest)], ["pid", "nid", "d", "w"])
 
-    hosts = _copied(placed.select("cell", "pid", "v", "m"), parts, "cell")
-    return visitors.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInArrow(visit, _EDGES)
+
+def _search(visits: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """``pid, nid, d, w``: for each visit ``pid, v, m, cell, reach`` the neighbours in that cell, no farther than the reach."""
+
+    def visit(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _NO_EDGES
+        return _edge_table(left, _edges_between(left, right, left.column("reach").to_numpy(), k))
+
+    return _cogrouped_with_cells(visits, placed, cell_rows).applyInArrow(visit, _EDGES)
+
+
+def _by_blocks(points: DataFrame, k: int) -> DataFrame:
+    """``pid, nid, d, w`` by all pairs of blocks of points: every point's nearest in each block.
+
+    The work is quadratic; a task holds two blocks, and each point goes to twice as many tasks as there are blocks.
+    """
+    points = materialise(points.select("pid", F.col("v").cast("array<double>").alias("v"), "m"), "points")
+    n = points.count()
+    blocks = max(1, -(-n // _BLOCK_ROWS), min(_LEAST_BLOCKS, -(-n // _LEAST_ROWS)))
+    own, other = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = points.select("pid", "v", "m", own.alias("a"), other.alias("b"))
+    right = points.select("pid", "v", "m", other.alias("a"), own.alias("b"))
+
+    def visit(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return _NO_EDGES
+        return _edge_table(mine, _edges_between(mine, theirs, np.full(mine.num_rows, np.inf), k))
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(visit, _EDGES)
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -214,14 +295,6 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return kept.select("pid", "nid", "d", F.least("w", F.lit(k) - F.col("_ahead")).alias("w"))
 
 
-def _with_reach(placed: DataFrame, best: DataFrame, k: int) -> DataFrame:
-    """``pid, v, cell, reach``: the distance within which the best edges have weight ``k``; infinite if they do not."""
-    reach = F.when(F.sum("w") >= k, F.max("d")).otherwise(F.lit(float("inf")))
-    known = best.groupBy("pid").agg(reach.alias("reach"))
-    found = placed.join(known, "pid", "left")
-    return found.select("pid", "v", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-
-
 def _boxes(placed: DataFrame, shift: int, bits: int, width: int) -> DataFrame:
     """``node, child, lo, hi``: the bounding boxes of the cells of one level under those of the level above."""
     child = F.shiftright("cell", shift)
@@ -231,22 +304,21 @@ def _boxes(placed: DataFrame, shift: int, bits: int, width: int) -> DataFrame:
     return boxes.select(F.shiftright("child", bits).alias("node"), "child", *sides)
 
 
-def _touched(visits: DataFrame, vectors: DataFrame, boxes: DataFrame, shift: int) -> DataFrame:
-    """``pid, cell, off``: the children of each visited ``cell`` whose boxes are within reach, and how far off they are.
+def _touched(visits: DataFrame, boxes: DataFrame, shift: int) -> DataFrame:
+    """Visits ``pid, v, m, reach, own, cell`` of the children of each visited ``cell`` whose boxes are within reach.
 
     ``shift`` 0 is the last level, where the own cell of a point is left out.
     """
-    sizes = visits.groupBy("cell").agg(_parts(F.count("*"), _PART_ROWS).alias("n"))
+    sizes = visits.groupBy("cell").agg(_parts(F.count("*"), _TOUCH_ROWS).alias("n"))
     parts = _checked(materialise(sizes, "parts"))
-    own = vectors.select("pid", "v", "reach", F.col("cell").alias("own"))
-    left = _dealt(visits.select("pid", "cell"), parts, "cell").join(own, "pid")
     right = _copied(boxes.withColumnRenamed("node", "cell"), parts, "cell")
+    kept = ["pid", "v", "m", "reach", "own"]
 
     def touch(points: pa.Table, children: pa.Table) -> pa.Table:
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if points.num_rows and children.num_rows:
             names, low, high = children.column("child").to_numpy(), _matrix(children.column("lo")), _matrix(children.column("hi"))
-            pids, far, own_cell = (points.column(c).to_numpy() for c in ("pid", "reach", "own"))
+            far, own_cell = points.column("reach").to_numpy(), points.column("own").to_numpy()
             x = _matrix(points.column("v"))
             for a in range(0, len(x), 128):
                 part = slice(a, a + 128)
@@ -260,12 +332,12 @@ def _touched(visits: DataFrame, vectors: DataFrame, boxes: DataFrame, shift: int
                 if shift == 0:
                     near &= names != own_cell[part][:, None]
                 row, at = np.nonzero(near)
-                out.append((pids[part][row], names[at], off[row, at]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c) for c in columns], ["pid", "cell", "off"])
+                rows.append(a + row)
+                cells.append(names[at])
+        return points.select(kept).take(pa.array(np.concatenate(rows))).append_column("cell", pa.array(np.concatenate(cells)))
 
-    grouped = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
-    return grouped.applyInArrow(touch, "pid bigint, cell bigint, off double")
+    grouped = _dealt(visits, parts, "cell").groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
+    return grouped.applyInArrow(touch, "pid bigint, v array<double>, m bigint, reach double, own bigint, cell bigint")
 
 
 def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits: int = _BITS) -> DataFrame:
@@ -273,27 +345,22 @@ def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits:
     ``(d, nid)``, with weights that add up to ``k`` (fewer only if the table is smaller).
 
     The other copies of a point are its first neighbour, at distance 0. An empty table gives no rows.
+    Boxes do not help in many dimensions, so wide points are compared block by block.
     """
+    width = points.agg(F.max(F.size("v"))).first()[0] or 0
+    copies = points.where("m > 1").select("pid", F.col("pid").alias("nid"), F.lit(0.0).alias("d"), (F.col("m") - 1).alias("w"))
+    if width > _BOX_WIDTH:
+        return _best(_by_blocks(points, k).unionByName(copies), k)
     placed, levels = place(points, cell_rows, bits)
-    unbounded = placed.select("pid", "v", "cell", F.lit(float("inf")).alias("reach"))
-    copies = placed.where("m > 1").select("pid", F.col("pid").alias("nid"), F.lit(0.0).alias("d"), (F.col("m") - 1).alias("w"))
-    edges = _search(unbounded, unbounded, placed, k, cell_rows).unionByName(copies)
-    best = materialise(_best(edges, k), "near")
     if levels == 0:
-        return best
-    width = placed.select(F.size("v")).first()[0]
-    vectors = materialise(_with_reach(placed, best, k), "reach")
-    waiting = vectors.where("reach > 0")
-    visits = waiting.select("pid", F.lit(0).cast("bigint").alias("cell"))
+        everyone = placed.withColumn("reach", F.lit(float("inf")))
+        return _best(_search(everyone, placed, k, cell_rows).unionByName(copies), k)
+    # what a point finds in its own cell bounds its search; only that distance is kept, not the neighbours
+    reached = materialise(_own_reach(placed, k, cell_rows), "reach").where(F.col("m") <= k)
+    visits = reached.where("reach > 0").select("pid", "v", "m", "reach", F.col("cell").alias("own"), F.lit(0).cast("bigint").alias("cell"))
     for level in range(1, levels + 1):
         shift = bits * (levels - level)
         boxes = materialise(_boxes(placed, shift, bits, width), "boxes")
-        visits = materialise(_touched(visits, waiting, boxes, shift), "visits")
-    # the nearest boxes first: what is found there shortens the reach for all others
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("off", "cell"))
-    first = materialise(visits.withColumn("rank", rank).where(F.col("rank") <= _FIRST_VISITS).drop("rank"), "first")
-    best = materialise(_best(best.unionByName(_search(first, waiting, placed, k, cell_rows)), k), "near")
-    vectors = materialise(_with_reach(placed, best, k), "reach")
-    rest = visits.join(first, ["pid", "cell"], "left_anti").join(vectors.select("pid", "reach"), "pid").where("off <= reach")
-    rest = materialise(rest.select("pid", "cell"), "visits")
-    return _best(best.unionByName(_search(rest, vectors, placed, k, cell_rows)), k)
+        visits = materialise(_touched(visits, boxes, shift), "visits")
+    everywhere = reached.unionByName(visits.drop("own"))
+    return _best(_search(everywhere, placed, k, cell_rows).unionByName(copies), k)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventsift.operators import neighbours
 from eventsift.operators.lof import local_outlier_factor
 from eventsift.operators.neighbours import distinct_points, nearest_neighbours, place
 
@@ -73,3 +74,47 @@ def test_cells_are_cut_until_all_are_small(spark, bits):
 def test_no_points_have_no_neighbours(spark):
     none = spark.createDataFrame([], "id long, v array<double>")
     assert nearest_neighbours(distinct_points(none, "v", "id"), 3).collect() == []
+
+
+def test_nearest_by_product_is_exact():
+    # far from the origin and on a grid: products round, ties are many, some points are not finite
+    rng = np.random.default_rng(5)
+    y = 1e6 + rng.integers(0, 12, (700, 3)).astype(float)
+    y[7, 1], y[11, 0] = np.nan, np.inf
+    ids, weights = rng.permutation(700), rng.integers(1, 4, 700)
+    own, bound, need = ids.copy(), np.where(np.arange(700) % 3, np.inf, 1.5), np.arange(700) % 9
+    found = neighbours._nearest(y, own, bound, need, y, ids, weights)
+    expected = []
+    with np.errstate(invalid="ignore"):
+        for i in range(700):
+            d = np.sqrt(((y - y[i]) ** 2).sum(axis=1))
+            left = need[i]
+            for j in np.lexsort((ids, d)):
+                if np.isfinite(d[j]) and ids[j] != own[i] and d[j] <= bound[i] and left > 0:
+                    expected.append((i, ids[j], d[j], weights[j]))
+                    left -= weights[j]
+    assert sorted(zip(*(c.tolist() for c in found), strict=True)) == sorted(expected)
+
+
+def test_wide_points_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_LEAST_ROWS", 50)
+    x = np.random.default_rng(6).normal(size=(260, 40))
+    x[200:210] = x[:10]
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "event_id long, v array<double>")
+    # boxes would make a row for nearly every pair of a point and a cell
+    monkeypatch.setattr(neighbours, "_touched", None)
+    got = sorted(local_outlier_factor(df, "v", 7, cell_rows=10).collect())
+    kd, lrd, lof = _brute(x, 7)
+    np.testing.assert_allclose([r.k_distance for r in got], kd, rtol=1e-9)
+    np.testing.assert_allclose([r.lof for r in got], lof, rtol=1e-6)
+
+
+def test_own_cell_sends_one_row_a_point(spark, monkeypatch):
+    # neighbours go through one ranking only; before, those of the own cell and of the first cells were ranked and stored too
+    ranked = []
+    best = neighbours._best
+    monkeypatch.setattr(neighbours, "_best", lambda edges, k: ranked.append(k) or best(edges, k))
+    x = np.random.default_rng(8).normal(size=(300, 2))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    edges = nearest_neighbours(distinct_points(df, "v", "id"), 5, cell_rows=20)
+    assert edges.count() == 1500 and len(ranked) == 1
