@@ -22,23 +22,23 @@ _BROADCAST_VECTORS = 100_000
 
 def point_factors(edges: DataFrame) -> DataFrame:
     """``pid, k_distance, density, lof`` from weighted neighbour edges."""
-    weight = F.sum("w")
-    distances = edges.groupBy("pid").agg(F.max("d").alias("k_distance"))
+    # the weights are added up where a point's edges lie together, so that less moves after the joins
+    distances = edges.groupBy("pid").agg(F.max("d").alias("k_distance"), F.sum("w").alias("_w"))
+    weight = F.col("_w")
     of_neighbour = distances.select(F.col("pid").alias("nid"), F.col("k_distance").alias("_kd"))
     reach = F.greatest("d", "_kd")
     densities = materialise(
         edges.join(of_neighbour, "nid")
         .groupBy("pid")
-        .agg((1.0 / (F.sum(reach * F.col("w")) / weight + _TINY)).alias("density")),
+        .agg(F.sum(reach * F.col("w")).alias("_sum"))
+        .join(distances, "pid")
+        .select("pid", "k_distance", "_w", (1.0 / (F.col("_sum") / weight + _TINY)).alias("density")),
         "density",
     )
     around = densities.select(F.col("pid").alias("nid"), F.col("density").alias("_nd"))
-    near = edges.join(around, "nid").groupBy("pid").agg((F.sum(F.col("_nd") * F.col("w")) / weight).alias("_mean"))
-    return (
-        distances.join(densities, "pid")
-        .join(near, "pid")
-        .select("pid", "k_distance", "density", (F.col("_mean") / F.col("density")).alias("lof"))
-    )
+    near = edges.join(around, "nid").groupBy("pid").agg(F.sum(F.col("_nd") * F.col("w")).alias("_sum"))
+    lof = (F.col("_sum") / weight / F.col("density")).alias("lof")
+    return densities.join(near, "pid").select("pid", "k_distance", "density", lof)
 
 
 def _back_to_rows(rows: DataFrame, points: DataFrame, factors: DataFrame, id_col: str) -> DataFrame:
