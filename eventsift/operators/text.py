@@ -239,20 +239,21 @@ def gram_product(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        # column by column: each then lies in one piece, and sums go straight to their terms
+        own = np.ascontiguousarray(shared.value.T)
         total = np.zeros_like(own)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                term, weight = part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                term, weight = part.column(0).flatten().to_numpy().astype(np.intp), part.column(1).flatten().to_numpy()
+                lengths = np.diff(part.column(0).offsets.to_numpy())
+                lengths = lengths[lengths > 0]
                 if len(term):
-                    row = np.repeat(np.arange(part.num_rows), np.diff(part.column(0).offsets.to_numpy()))
-                    scaled = own[term] * weight[:, None]
-                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    sums = np.add.reduceat(scaled, starts)
-                    back = np.repeat(sums, np.diff(np.r_[starts, len(row)]), axis=0) * weight[:, None]
-                    found, place = np.unique(term, return_inverse=True)
-                    total[found] += np.stack([np.bincount(place, back[:, c]) for c in range(width)], axis=1)
+                    starts = np.cumsum(lengths) - lengths
+                    for c in range(width):
+                        sums = np.add.reduceat(own[c].take(term) * weight, starts)
+                        total[c] += np.bincount(term, np.repeat(sums, lengths) * weight, own.shape[1])
+        total = total.T
         used = np.flatnonzero(total.any(axis=1))
         columns = [pa.array(used.astype(np.int32)), *(pa.array(total[used, c]) for c in range(width))]
         yield pa.RecordBatch.from_arrays(columns, ["term", *(f"c{c}" for c in range(width))])
