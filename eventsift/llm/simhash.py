@@ -42,7 +42,8 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
     """(key, fp) of every row; fp is the SimHash as a signed bigint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        prints = np.array([simhash(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        # one text at a time is a Python object, so that a worker keeps little memory for what comes after
+        prints = np.array([simhash(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], [key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
