@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from eventsift.storage import materialise
 
@@ -25,10 +25,12 @@ _SAMPLE_PER_CELL = 24
 _PART_ROWS = 50_000
 _BROADCAST_ROWS = 100_000
 _TOUCH_ROWS = 20_000
-_BLOCK_CELLS = 1 << 19  # distances held at once
+_BLOCK_CELLS = 1 << 18  # distances held at once
 _BOX_WIDTH = 16  # in more dimensions than this every box is near every point
 _BLOCK_ROWS = 1 << 15
 _LEAST_BLOCKS, _LEAST_ROWS = 8, 1 << 12  # small tables are cut into more blocks than memory asks for
+_TOUCH_STEP = 128  # points whose common box says which boxes are looked at
+_MERGE_VISITS = 20_000  # visits that are ranked in one call
 
 
 def distinct_points(df: DataFrame, vector: str, id_col: str) -> DataFrame:
@@ -102,21 +104,26 @@ def _nearest(
     squares = (moved * moved).sum(axis=1)
     rounding = 16 * (x.shape[1] + 4) * np.finfo(float).eps
     group = max(1, len(y) // (8 * (k + 1)))
-    whole = len(y) // group * group
-    step = max(16, _BLOCK_CELLS // len(y))
+    groups = -(-len(y) // group)
+    table = np.zeros((x.shape[1] + 1, group * groups))  # its last row adds the squares; places beyond the points are near nothing
+    table[:-1, : len(y)], table[-1, : len(y)], table[-1, len(y) :] = moved.T, squares, np.inf
+    step = min(len(fine), max(16, _BLOCK_CELLS // len(y)))
+    space = np.empty((step, group * groups))  # taken once: fresh memory costs more than the product
     for a in range(0, len(fine), step):
         at = fine[a : a + step]
         block = x[at] - centre
         size = (block * block).sum(axis=1)
-        about = (-2 * block) @ moved.T
-        about += squares
-        about += size[:, None]
-        limit = (bound[at] * (1 + 1e-9)) ** 2
-        if len(y) > k + 1:  # of the least of each group, one more than wanted, as a point finds itself
-            least = about[:, :whole].reshape(len(at), group, -1).min(axis=1)
+        # squared distances less ``size``
+        about = np.matmul(np.column_stack([-2 * block, np.ones(len(at))]), table, out=space[: len(at)]).reshape(len(at), group, groups)
+        limit = (bound[at] * (1 + 1e-9)) ** 2 - size
+        least = about.min(axis=1)
+        if groups > k + 1:  # of the least of each group, one more than wanted, as a point finds itself
             limit = np.minimum(limit, np.partition(least, k, axis=1)[:, k])
         limit = limit + rounding * (size + squares.max())
-        row, col = np.divmod(np.flatnonzero(~(about > limit[:, None])), len(y))
+        row, col = np.divmod(np.flatnonzero(~(least > limit[:, None])), groups)
+        which, member = np.nonzero(~(about[row, :, col] > limit[row][:, None]))
+        row, col = row[which], member * groups + col[which]
+        row, col = row[col < len(y)], col[col < len(y)]
         others = own[at[row]] != ids[col]
         row, col = row[others], col[others]
         d2, own_columns = np.zeros(len(row)), np.ascontiguousarray(x[at].T)
@@ -134,8 +141,37 @@ def _nearest(
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+# lists of neighbours go as bytes of their numbers: Spark moves them whole; the upper halves of most ids are equal, which packs well
+_LIST_TYPES = {name: np.dtype(kind) for name, kind in (("nid", "<u4"), ("nid_high", "<i4"), ("d", "<f8"), ("w", "<i4"))}
+_LISTS = ", ".join(f"{name} binary" for name in _LIST_TYPES)
+_FOUND = f"pid bigint, own bigint, cell bigint, m bigint, {_LISTS}"
+_PACKED = f"pid bigint, own bigint, cell bigint, k_distance double, total bigint, {_LISTS}"
 _EDGES = "pid bigint, nid bigint, d double, w bigint"
-_NO_EDGES = pa.schema([("pid", pa.int64()), ("nid", pa.int64()), ("d", pa.float64()), ("w", pa.int64())]).empty_table()
+
+
+def _listed(rows: pa.Table, counts: np.ndarray, nid: np.ndarray, d: np.ndarray, w: np.ndarray) -> pa.Table:
+    """``rows`` with list columns: the next ``counts`` of the values belong to each row."""
+    ends = np.r_[0, np.cumsum(counts)]
+    for (name, kind), v in zip(_LIST_TYPES.items(), (nid & 0xFFFFFFFF, nid >> 32, d, w), strict=True):
+        buffers = [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v, kind))]
+        rows = rows.append_column(name, pa.Array.from_buffers(pa.binary(), rows.num_rows, buffers))
+    return rows
+
+
+def unlisted(rows: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
+    """The row of each neighbour in the list columns, its id and the values ``names``."""
+    counts = pa.compute.binary_length(rows.column("nid").combine_chunks()).to_numpy(zero_copy_only=False) // 4
+    low, high, *more = (_numbers(rows, name) for name in ("nid", "nid_high", *names))
+    return np.repeat(np.arange(rows.num_rows), counts), (high.astype(np.int64) << 32) | low, *more
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    lists = rows.column(name).combine_chunks()
+    _, offsets, data = lists.buffers()
+    if not len(lists) or data is None:
+        return np.empty(0, _LIST_TYPES[name])
+    first, last = np.frombuffer(offsets, np.int32)[[lists.offset, lists.offset + len(lists)]]
+    return np.frombuffer(data, np.uint8)[first:last].view(_LIST_TYPES[name])
 
 
 def _matrix(v: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -158,9 +194,9 @@ def _copied(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     return table.join(parts, key).select(*[F.col(c).alias(c) for c in table.columns], part)
 
 
-def _dealt(table: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+def _dealt(table: DataFrame, parts: DataFrame, key: str, by: str = "pid") -> DataFrame:
     """``table`` with the part of its cell that a row belongs to."""
-    return table.join(parts, key).withColumn("part", F.pmod(F.hash("pid"), F.col("n"))).drop("n")
+    return table.join(parts, key).withColumn("part", F.pmod(F.hash(by), F.col("n"))).drop("n")
 
 
 def _cell_trees(drawn: DataFrame) -> DataFrame:
@@ -227,11 +263,11 @@ def _edges_between(left: pa.Table, right: pa.Table, bound: np.ndarray, k: int) -
     return _nearest(_matrix(left.column("v")), pids, bound, _needed(left, k), _matrix(right.column("v")), ids, weights)
 
 
-def _cogrouped_with_cells(visits: DataFrame, placed: DataFrame, cell_rows: int):
-    """Visits ``pid, v, m, cell`` (and more) with the points of their cell, in parts of bounded size."""
+def cogrouped_with_cells(visits: DataFrame, hosts: DataFrame, cell_rows: int):
+    """Visits ``pid, cell`` (and more) with the ``hosts`` of their cell, in parts of bounded size."""
     sizes = visits.groupBy("cell").agg(_parts(F.count("*"), 4 * cell_rows).alias("n"))
     parts = _checked(materialise(sizes, "parts"))
-    hosts = _copied(placed.select("cell", "pid", "v", "m"), parts, "cell")
+    hosts = _copied(hosts, parts, "cell")
     return _dealt(visits, parts, "cell").groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part"))
 
 
@@ -247,120 +283,190 @@ def _own_reach(placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
             reach[np.bincount(row, w, left.num_rows) < _needed(left, k)] = np.inf
         return left.append_column("reach", pa.array(reach))
 
-    grouped = _cogrouped_with_cells(placed, placed, cell_rows)
+    grouped = cogrouped_with_cells(placed, placed.select("cell", "pid", "v", "m"), cell_rows)
     return grouped.applyInArrow(visit, "pid bigint, v array<double>, m bigint, cell bigint, reach double")
 
 
-def _edge_table(left: pa.Table, found: tuple[np.ndarray, ...]) -> pa.Table:
-    row, *rest = found
-    return pa.table([pa.array(c) for c in (left.column("pid").to_numpy()[row], *rest)], ["pid", "nid", "d", "w"])
+def _packed(left: pa.Table, right: pa.Table, bound: np.ndarray, k: int) -> pa.Table:
+    """A row for every visit that finds something and for every point in its own cell, with lists of what is found."""
+    if not left.num_rows or not right.num_rows:  # the empty side has no columns
+        fields = [("pid", pa.int64()), ("own", pa.int64()), ("cell", pa.int64()), ("m", pa.int64())]
+        return pa.schema([*fields, *((name, pa.binary()) for name in _LIST_TYPES)]).empty_table()
+    row, nid, d, w = _edges_between(left, right, bound, k)
+    counts = np.bincount(row, minlength=left.num_rows)
+    kept = (counts > 0) | (left.column("own").to_numpy() == left.column("cell").to_numpy())
+    rows = left.select(["pid", "own", "cell", "m"]).filter(pa.array(kept))
+    return _listed(rows, counts[kept], nid=nid, d=d, w=np.minimum(w, k))
 
 
 def _search(visits: DataFrame, placed: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """``pid, nid, d, w``: for each visit ``pid, v, m, cell, reach`` the neighbours in that cell, no farther than the reach."""
+    """For each visit ``pid, v, m, cell, reach, own`` the neighbours in that cell, no farther than the reach, as lists."""
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _NO_EDGES
-        return _edge_table(left, _edges_between(left, right, left.column("reach").to_numpy(), k))
+        bound = left.column("reach").to_numpy() if left.num_rows else None
+        return _packed(left, right, bound, k)
 
-    return _cogrouped_with_cells(visits, placed, cell_rows).applyInArrow(visit, _EDGES)
+    found = cogrouped_with_cells(visits, placed.select("cell", "pid", "v", "m"), cell_rows).applyInArrow(visit, _FOUND)
+    return _bucketed(found, visits.count())
 
 
 def _by_blocks(points: DataFrame, k: int) -> DataFrame:
-    """``pid, nid, d, w`` by all pairs of blocks of points: every point's nearest in each block.
+    """Every point's nearest in each block of points, by all pairs of blocks, as lists; the cell is the other block.
 
     The work is quadratic; a task holds two blocks, and each point goes to twice as many tasks as there are blocks.
     """
     points = materialise(points.select("pid", F.col("v").cast("array<double>").alias("v"), "m"), "points")
     n = points.count()
     blocks = max(1, -(-n // _BLOCK_ROWS), min(_LEAST_BLOCKS, -(-n // _LEAST_ROWS)))
-    own, other = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.select("pid", "v", "m", own.alias("a"), other.alias("b"))
-    right = points.select("pid", "v", "m", other.alias("a"), own.alias("b"))
+    own, other = F.pmod(F.xxhash64("pid"), F.lit(blocks)), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))
+    left = points.select("pid", "v", "m", own.alias("own"), other.alias("cell"))
+    # as columns of its own: it meets rows of the same table
+    right = points.select(*[F.col(c).alias(c) for c in ("pid", "v", "m")], other.alias("own"), own.alias("cell"))
 
     def visit(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not mine.num_rows or not theirs.num_rows:
-            return _NO_EDGES
-        return _edge_table(mine, _edges_between(mine, theirs, np.full(mine.num_rows, np.inf), k))
-
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(visit, _EDGES)
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """Edges of each point, nearest first by ``(d, nid)``, until their weights add up to ``k``."""
-    near_first = Window.partitionBy("pid").orderBy("d", "nid")
-    ahead = F.sum("w").over(near_first.rowsBetween(Window.unboundedPreceding, -1))
-    kept = edges.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("_ahead") < k)
-    return kept.select("pid", "nid", "d", F.least("w", F.lit(k) - F.col("_ahead")).alias("w"))
+        return _packed(mine, theirs, np.full(mine.num_rows, np.inf), k)
+
+    found = left.groupBy("own", "cell").cogroup(right.groupBy("own", "cell")).applyInArrow(visit, _FOUND)
+    return _bucketed(found, n * blocks)
+
+
+def _ranked(rows: pa.Table, k: int) -> pa.Table:
+    pid, own, cell, m = (rows.column(c).to_numpy() for c in ("pid", "own", "cell", "m"))
+    at, nid, d, w = unlisted(rows, "d", "w")
+    mine = own == cell
+    copied = np.flatnonzero(mine & (m > 1))
+    at, nid, d = np.r_[at, copied], np.r_[nid, pid[copied]], np.r_[d, np.zeros(len(copied))]
+    w = np.r_[w, np.minimum(m[copied] - 1, k)]
+    order = np.lexsort((nid, d, pid[at]))
+    at, nid, d, w = at[order], nid[order], d[order], w[order].astype(np.int64)
+    points, first = np.unique(pid[at], return_index=True)
+    ahead = np.cumsum(w) - w
+    ahead -= np.repeat(ahead[first], np.diff(np.r_[first, len(at)]))
+    kept = ahead < k
+    w = np.minimum(w, k - ahead)
+    # as distances rise, that of the last one kept is the largest
+    last = first + np.add.reduceat(kept, first, dtype=np.int64) - 1 if len(first) else first
+    order = np.flatnonzero(kept)[np.argsort(at[kept], kind="stable")]
+    counts = np.bincount(at[order], minlength=rows.num_rows)
+    out = np.flatnonzero((counts > 0) | (mine & np.isin(pid, points)))
+    last = last[np.searchsorted(points, pid[out])]
+    found = [pa.array(c) for c in (pid[out], own[out], cell[out], d[last], (ahead + w)[last])]
+    packed = pa.table(found, ["pid", "own", "cell", "k_distance", "total"])
+    return _listed(packed, counts[out], nid=nid[order], d=d[order], w=w[order])
+
+
+def _bucketed(found: DataFrame, visits: int) -> DataFrame:
+    """``found`` with a bucket of its point, one for some 20,000 of the ``visits``."""
+    return found.withColumn("bucket", F.pmod(F.xxhash64("pid"), F.lit(visits // _MERGE_VISITS + 1)))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """Neighbours of each point, nearest first by ``(d, nid)``, until their weights add up to ``k``; points without any are left out.
+
+    ``pid, own, cell, k_distance, total`` and lists ``nid, d, w``: a row for the neighbours in each ``cell``, and for each point
+    one whose cell is its ``own``.
+    """
+    return found.groupBy("bucket").applyInArrow(lambda rows: _ranked(rows, k), _PACKED)
 
 
 def _boxes(placed: DataFrame, shift: int, bits: int, width: int) -> DataFrame:
-    """``node, child, lo, hi``: the bounding boxes of the cells of one level under those of the level above."""
+    """``node, child, weight, lo, hi``: the bounding boxes of the cells of one level under those of the level above."""
     child = F.shiftright("cell", shift)
     edges = [f(F.get("v", i)).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(width)]
-    boxes = placed.groupBy(child.alias("child")).agg(*edges)
+    boxes = placed.groupBy(child.alias("child")).agg(F.sum("m").alias("weight"), *edges)
     sides = (F.array(*[f"{s}{i}" for i in range(width)]).alias(s) for s in ("lo", "hi"))
-    return boxes.select(F.shiftright("child", bits).alias("node"), "child", *sides)
+    return boxes.select(F.shiftright("child", bits).alias("node"), "child", "weight", *sides)
+
 
+def _enclosing(x: np.ndarray, low: np.ndarray, high: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each row of ``x`` has boxes of a weight above ``k``, as a point counts itself; infinite if there are none."""
+    found = np.full(len(x), np.inf)
+    for i, c in enumerate(x):
+        far = np.sqrt((np.maximum(np.abs(c - low), np.abs(high - c)) ** 2).sum(axis=1))
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(weights[order]), k + 1)
+        if enough < len(order) and np.isfinite(far[order[enough]]):
+            found[i] = far[order[enough]] * (1 + 1e-9)
+    return found
 
-def _touched(visits: DataFrame, boxes: DataFrame, shift: int) -> DataFrame:
+
+def _touched(visits: DataFrame, boxes: DataFrame, shift: int, k: int) -> DataFrame:
     """Visits ``pid, v, m, reach, own, cell`` of the children of each visited ``cell`` whose boxes are within reach.
 
-    ``shift`` 0 is the last level, where the own cell of a point is left out.
+    ``shift`` 0 is the last level, where the own cell of a point is left out. Points of one cell are looked at together, in the
+    order of their reach: only boxes near their common box are compared with each of them, so the work of a point does not
+    grow with the number of boxes. An infinite reach is first brought down to that of the nearest boxes with enough weight.
     """
     sizes = visits.groupBy("cell").agg(_parts(F.count("*"), _TOUCH_ROWS).alias("n"))
     parts = _checked(materialise(sizes, "parts"))
     right = _copied(boxes.withColumnRenamed("node", "cell"), parts, "cell")
-    kept = ["pid", "v", "m", "reach", "own"]
 
     def touch(points: pa.Table, children: pa.Table) -> pa.Table:
-        rows, cells = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        rows, cells, far = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.empty(0)
+        if points.num_rows:
+            far = points.column("reach").to_numpy()
         if points.num_rows and children.num_rows:
             names, low, high = children.column("child").to_numpy(), _matrix(children.column("lo")), _matrix(children.column("hi"))
-            far, own_cell = points.column("reach").to_numpy(), points.column("own").to_numpy()
-            x = _matrix(points.column("v"))
-            for a in range(0, len(x), 128):
-                part = slice(a, a + 128)
-                squares = np.zeros((len(x[part]), len(names)))
+            x, own_cell, open_ = _matrix(points.column("v")), points.column("own").to_numpy(), np.isinf(far)
+            if open_.any():
+                far = far.copy()
+                far[open_] = _enclosing(x[open_], low, high, children.column("weight").to_numpy(), k)
+            order = np.lexsort((far, own_cell))
+            for a in range(0, len(x), _TOUCH_STEP):
+                part = order[a : a + _TOUCH_STEP]
+                most, least = np.fmax.reduce(x[part]), np.fmin.reduce(x[part])
+                apart = np.maximum(np.maximum(low - most, least - high), 0.0)
+                # A hair of slack: box and point distances round differently.
+                boxes_ = np.flatnonzero(~(np.sqrt((apart**2).sum(axis=1)) * (1 - 1e-9) > far[part].max()))
+                squares = np.zeros((len(part), len(boxes_)))
                 for j in range(x.shape[1]):
                     c = x[part, j][:, None]
-                    squares += np.maximum(np.maximum(low[:, j] - c, c - high[:, j]), 0.0) ** 2
-                # A hair of slack: box and point distances round differently.
-                off = np.sqrt(squares) * (1 - 1e-9)
-                near = off <= far[part][:, None]
+                    squares += np.maximum(np.maximum(low[boxes_, j] - c, c - high[boxes_, j]), 0.0) ** 2
+                near = np.sqrt(squares) * (1 - 1e-9) <= far[part][:, None]
                 if shift == 0:
-                    near &= names != own_cell[part][:, None]
+                    near &= names[boxes_] != own_cell[part][:, None]
                 row, at = np.nonzero(near)
-                rows.append(a + row)
-                cells.append(names[at])
-        return points.select(kept).take(pa.array(np.concatenate(rows))).append_column("cell", pa.array(np.concatenate(cells)))
+                rows.append(part[row])
+                cells.append(names[boxes_[at]])
+        kept = points.select(["pid", "v", "m"]).append_column("reach", pa.array(far)).append_column("own", points.column("own"))
+        return kept.take(pa.array(np.concatenate(rows))).append_column("cell", pa.array(np.concatenate(cells)))
 
-    grouped = _dealt(visits, parts, "cell").groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
+    grouped = _dealt(visits, parts, "cell", "own").groupBy("cell", "part").cogroup(right.groupBy("cell", "part"))
     return grouped.applyInArrow(touch, "pid bigint, v array<double>, m bigint, reach double, own bigint, cell bigint")
 
 
-def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits: int = _BITS) -> DataFrame:
-    """``pid, nid, d, w`` over ``points (pid, v, m)``: the neighbours of each point, nearest first by
-    ``(d, nid)``, with weights that add up to ``k`` (fewer only if the table is smaller).
+def packed_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits: int = _BITS) -> DataFrame:
+    """The neighbours that ``nearest_neighbours`` gives, as lists by the cell they are in (see ``_best``).
 
-    The other copies of a point are its first neighbour, at distance 0. An empty table gives no rows.
     Boxes do not help in many dimensions, so wide points are compared block by block.
     """
     width = points.agg(F.max(F.size("v"))).first()[0] or 0
-    copies = points.where("m > 1").select("pid", F.col("pid").alias("nid"), F.lit(0.0).alias("d"), (F.col("m") - 1).alias("w"))
     if width > _BOX_WIDTH:
-        return _best(_by_blocks(points, k).unionByName(copies), k)
+        return _best(_by_blocks(points, k), k)
     placed, levels = place(points, cell_rows, bits)
+    own = F.col("cell").alias("own")
     if levels == 0:
-        everyone = placed.withColumn("reach", F.lit(float("inf")))
-        return _best(_search(everyone, placed, k, cell_rows).unionByName(copies), k)
+        return _best(_search(placed.select("*", F.lit(float("inf")).alias("reach"), own), placed, k, cell_rows), k)
     # what a point finds in its own cell bounds its search; only that distance is kept, not the neighbours
-    reached = materialise(_own_reach(placed, k, cell_rows), "reach").where(F.col("m") <= k)
-    visits = reached.where("reach > 0").select("pid", "v", "m", "reach", F.col("cell").alias("own"), F.lit(0).cast("bigint").alias("cell"))
+    reached = materialise(_own_reach(placed, k, cell_rows), "reach").select("pid", "v", "m", "reach", own, "cell")
+    visits = reached.where("reach > 0").withColumn("cell", F.lit(0).cast("bigint"))
     for level in range(1, levels + 1):
         shift = bits * (levels - level)
         boxes = materialise(_boxes(placed, shift, bits, width), "boxes")
-        visits = materialise(_touched(visits, boxes, shift), "visits")
-    everywhere = reached.unionByName(visits.drop("own"))
-    return _best(_search(everywhere, placed, k, cell_rows).unionByName(copies), k)
+        visits = materialise(_touched(visits, boxes, shift, k), "visits")
+    return _best(_search(reached.unionByName(visits), placed, k, cell_rows), k)
+
+
+def nearest_neighbours(points: DataFrame, k: int, cell_rows: int = 2_000, bits: int = _BITS) -> DataFrame:
+    """``pid, nid, d, w`` over ``points (pid, v, m)``: the neighbours of each point, nearest first by
+    ``(d, nid)``, with weights that add up to ``k`` (fewer only if the table is smaller).
+
+    The other copies of a point are its first neighbour, at distance 0. An empty table gives no rows.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nid, d, w = unlisted(pa.Table.from_batches([batch]), "d", "w")
+            yield pa.record_batch([pa.array(c) for c in (batch.column("pid").to_numpy()[at], nid, d, w.astype(np.int64))], ["pid", "nid", "d", "w"])
+
+    return packed_neighbours(points, k, cell_rows, bits).select("pid", *_LIST_TYPES).mapInArrow(flat, _EDGES)

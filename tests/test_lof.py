@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventsift.operators import neighbours
+from eventsift.operators import lof, neighbours
 from eventsift.operators.lof import local_outlier_factor
 from eventsift.operators.neighbours import distinct_points, nearest_neighbours, place
+from eventsift.storage import materialise
 
 
 def _points(copies):
@@ -118,3 +119,31 @@ def test_own_cell_sends_one_row_a_point(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, v array<double>")
     edges = nearest_neighbours(distinct_points(df, "v", "id"), 5, cell_rows=20)
     assert edges.count() == 1500 and len(ranked) == 1
+
+
+def test_open_search_visits_near_boxes_only(spark):
+    # a point whose cell holds too few others went to every box of the table
+    kind = "node long, child long, weight long, lo array<double>, hi array<double>"
+    boxes = spark.createDataFrame([(0, c, 10, [10.0 * c], [10.0 * c + 9]) for c in range(200)], kind)
+    kind = "pid long, v array<double>, m long, reach double, own long, cell long"
+    visits = spark.createDataFrame([(7, [51.0], 1, float("inf"), 5, 0), (8, [503.0], 1, 4.5, 50, 0)], kind)
+    got = neighbours._touched(visits, boxes, 0, 15).collect()
+    assert sorted((r.pid, r.cell) for r in got) == [(7, 4), (7, 6), (8, 49)]
+    assert all(np.isfinite(r.reach) for r in got)
+
+
+def test_lists_are_stored_by_cell(spark, monkeypatch):
+    # before, a row for every neighbour was stored, ranked and joined twice
+    rows = {}
+
+    def stored(df, label):
+        out = materialise(df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lof, "materialise", stored)
+    x = np.random.default_rng(9).normal(size=(400, 2))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "event_id long, v array<double>")
+    got = sorted(local_outlier_factor(df, "v", 12, cell_rows=60).collect())
+    np.testing.assert_allclose([r.lof for r in got], _brute(x, 12)[2], rtol=1e-6)
+    assert 400 <= rows["edges"] < 1600 and rows["density"] == 400
