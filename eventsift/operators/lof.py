@@ -69,7 +69,10 @@ def _back_to_rows(rows: DataFrame, points: DataFrame, factors: DataFrame, id_col
     crowded = points.filter(F.col("m") > _CROWDED).select("v", (F.floor(F.col("m") / _CROWDED) + 1).cast("int").alias("n"))
     n_crowded = crowded.count()
     if n_crowded == 0:
-        return rows.join(factors.drop("m"), "v").drop("v")
+        # sorted by one number instead of by vectors; an equality of vectors would become a key of the join
+        key = F.xxhash64("v").alias("_key")
+        known = factors.select(F.col("v").alias("_v"), key, *[c for c in factors.columns if c not in ("v", "m")])
+        return rows.select("*", key).join(known, "_key").where("v <= _v and v >= _v").drop("v", "_v", "_key")
     # At most rows / _CROWDED vectors; too many to broadcast only beyond 10^11 crowded rows.
     sizes = F.broadcast(crowded) if n_crowded <= _BROADCAST_VECTORS else crowded
     parts = F.when(F.col("m") > _CROWDED, F.floor(F.col("m") / _CROWDED)).otherwise(0).cast("int")

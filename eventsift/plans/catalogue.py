@@ -605,7 +605,7 @@ def lof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detector_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events flagged by the forest, by LOF and by both."""
     matrix = _forest_table(spark, sf_dir)
-    forest = AnomalyDetector().fit_score(matrix, NUMERIC_FEATURES)
+    forest = AnomalyDetector().fit_score(matrix, NUMERIC_FEATURES, ["event_id"])
     return report.detector_agreement(forest, local_outlier_factor(matrix, NUMERIC_FEATURES))
 
 

@@ -147,3 +147,14 @@ def test_lists_are_stored_by_cell(spark, monkeypatch):
     got = sorted(local_outlier_factor(df, "v", 12, cell_rows=60).collect())
     np.testing.assert_allclose([r.lof for r in got], _brute(x, 12)[2], rtol=1e-6)
     assert 400 <= rows["edges"] < 1600 and rows["density"] == 400
+
+
+def test_rows_meet_vectors_by_number(spark):
+    # sorting vectors takes most of the time of such a join
+    x = [[0.0, 1.0], [-0.0, 1.0], [2.0, 1.0], [2.0, 3.0], [2.0, 3.5], [9.0, 9.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "event_id long, v array<double>")
+    points = distinct_points(df, "v", "event_id")
+    back = lof._back_to_rows(df, points, points.withColumnRenamed("pid", "lof"), "event_id")
+    assert [tuple(r) for r in sorted(back.collect())] == [(0, 0), (1, 0), (2, 2), (3, 3), (4, 4), (5, 5)]
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "_key" in plan and "transform" not in plan[: plan.index("Aggregate")]
